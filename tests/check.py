@@ -1,0 +1,55 @@
+"""Comparison of a Spark result with DuckDB running the oracle SQL on the same files."""
+
+from __future__ import annotations
+
+import collections
+import glob
+import math
+import os
+
+import duckdb
+
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "DATE": "date",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"create view {name} as select * from '{path}'")
+    return con
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    return value
+
+
+def differences(df, con, sql: str) -> str | None:
+    """What differs between the Spark frame and the SQL result, or None."""
+    relation = con.sql(sql)
+    want_types = {c: TYPES.get(str(t), str(t)) for c, t in zip(relation.columns, relation.types)}
+    have_types = dict(df.dtypes)
+    if want_types != have_types:
+        return f"schema: spark {sorted(have_types.items())} oracle {sorted(want_types.items())}"
+    columns = sorted(have_types)
+    want = collections.Counter(
+        tuple(_cell(row[relation.columns.index(c)]) for c in columns) for row in relation.fetchall()
+    )
+    have = collections.Counter(tuple(_cell(row[c]) for c in columns) for row in df.collect())
+    if want != have:
+        return (
+            f"columns {columns}\nonly spark: {list((have - want).items())[:3]}\n"
+            f"only oracle: {list((want - have).items())[:3]}\n"
+            f"rows: spark {have.total()} oracle {want.total()}"
+        )
+    return None
