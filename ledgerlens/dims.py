@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-TARGETS_SCHEMA = "office string, target_cy bigint, target_py bigint"
-SECTOR_LABELS_SCHEMA = "sector string, label string"
+TARGETS_COLUMNS = {"office": pa.string(), "target_cy": pa.int64(), "target_py": pa.int64()}
+SECTOR_LABELS_COLUMNS = {"sector": pa.string(), "label": pa.string()}
 
 # Fixed values: (office, target 2023, target 2022).
 OFFICE_TARGETS = [
@@ -48,11 +51,24 @@ SECTOR_LABELS = [
 ]
 
 
+def local_table(
+    spark: SparkSession, rows: Sequence[tuple], columns: dict[str, pa.DataType]
+) -> DataFrame:
+    """A few rows as a DataFrame whose size the optimizer knows.
+
+    Built from Arrow data the rows become a local relation, so a join with them is planned
+    as a broadcast from the start; built from Python rows their size would count as unknown.
+    """
+    schema = pa.schema(list(columns.items()))
+    data = [dict(zip(columns, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=schema))
+
+
 def office_targets(spark: SparkSession) -> DataFrame:
     """The published office targets; their sum is the regional target."""
-    return spark.createDataFrame(OFFICE_TARGETS, TARGETS_SCHEMA)
+    return local_table(spark, OFFICE_TARGETS, TARGETS_COLUMNS)
 
 
 def sector_labels(spark: SparkSession) -> DataFrame:
     """The short sector names."""
-    return spark.createDataFrame(SECTOR_LABELS, SECTOR_LABELS_SCHEMA)
+    return local_table(spark, SECTOR_LABELS, SECTOR_LABELS_COLUMNS)

@@ -21,13 +21,12 @@ def one_year_earlier(day: dt.date) -> dt.date:
 
 
 def _within(start: dt.date | None, end: dt.date | None) -> Column:
-    paid_on = F.col("paid_on")
     bounds = []
     if start is not None:
-        bounds.append(paid_on >= F.lit(start))
+        bounds.append(f"paid_on >= DATE'{start.isoformat()}'")
     if end is not None:
-        bounds.append(paid_on <= F.lit(end))
-    return reduce(and_, bounds, F.lit(True))
+        bounds.append(f"paid_on <= DATE'{end.isoformat()}'")
+    return F.expr(" AND ".join(bounds) or "true")
 
 
 @dataclass(frozen=True)

@@ -36,14 +36,25 @@ def flow_nodes(links: DataFrame, source: str, target: str, values: Sequence[str]
     )
 
 
-def flow_links(links: DataFrame, source: str, target: str, values: Sequence[str]) -> DataFrame:
-    """Add the node number of both ends; a label used on both sides is two nodes."""
+def flow_links(
+    links: DataFrame,
+    source: str,
+    target: str,
+    values: Sequence[str],
+    without_source: str | None = None,
+) -> DataFrame:
+    """Add the node number of both ends; a label used on both sides is two nodes.
+
+    Links leaving the node labelled ``without_source`` are left out. The test is on the
+    node, not on the link: as a condition on ``links`` it would reach the ledger scan of
+    the links but not that of the nodes, and the two could not share a shuffle.
+    """
     nodes = flow_nodes(links, source, target, values)
     for side, column in (("source", source), ("target", target)):
         end = nodes.where(F.col("side") == side).select(
             F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label")
         )
-        links = links.join(
-            end, F.col(column).eqNullSafe(F.col(f"{side}_label")), "left"
-        ).drop(f"{side}_label")
-    return links
+        links = links.join(end, F.col(column).eqNullSafe(F.col(f"{side}_label")), "left")
+    if without_source is not None:
+        links = links.where(~F.col("source_label").eqNullSafe(F.lit(without_source)))
+    return links.drop("source_label", "target_label")

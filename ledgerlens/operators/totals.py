@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +21,23 @@ def grand_totals(detail: DataFrame, measures: Sequence[str]) -> Column:
     return detail.agg(sums.alias("totals")).scalar()
 
 
-def with_share_within(
-    detail: DataFrame, measure: str, keys: Sequence[str], name: str
+def with_group_shares(
+    detail: DataFrame, measure: str, shares: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Add the share in percent of ``measure`` in its group of equal ``keys``.
+    """Add, per entry of ``shares``, the share in percent of ``measure`` in its key group.
 
-    Group totals are aggregated and joined back instead of a window over the group, so
-    a group holding most of the rows is never sorted inside one task.
+    Group totals are aggregated from ``detail`` and joined back instead of a window over
+    the group, so a group holding most of the rows is never sorted inside one task.
     """
-    sums = detail.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.sum(measure).alias("_sum")
-    )
-    same_keys = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return (
-        detail.join(sums, same_keys, "left")
-        .withColumn(name, share_pct(F.col(measure), F.col("_sum")))
-        .drop("_sum", *[f"_{k}" for k in keys])
-    )
+    report = detail
+    for name, keys in shares.items():
+        sums = detail.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+            F.sum(measure).alias("_sum")
+        )
+        same_keys = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        report = (
+            report.join(sums, same_keys, "left")
+            .withColumn(name, share_pct(F.col(measure), F.col("_sum")))
+            .drop("_sum", *[f"_{k}" for k in keys])
+        )
+    return report

@@ -18,7 +18,7 @@ from ledgerlens.functions.measures import (
     sum_in_period,
     sum_where,
 )
-from ledgerlens.operators.totals import grand_totals, with_share_within
+from ledgerlens.operators.totals import grand_totals, with_group_shares
 from ledgerlens.schema import PLACEHOLDER_PREFIX
 
 # Offices left out of the per-office payer comparison and of officer shares.
@@ -120,6 +120,9 @@ def officer_contribution(
         rows = rows.where(~F.col("office").isin(list(excluded_offices)))
     officers = rows.groupBy("office", "section", "officer").agg(F.sum("nominal").alias("gross"))
     whole = grand_totals(officers, ["gross"])
-    shares = with_share_within(officers, "gross", ["section"], "section_share_pct")
-    shares = with_share_within(shares, "gross", ["office"], "office_share_pct")
+    shares = with_group_shares(
+        officers,
+        "gross",
+        {"section_share_pct": ["section"], "office_share_pct": ["office"]},
+    )
     return shares.withColumn("region_share_pct", share_pct(F.col("gross"), whole.getField("gross")))

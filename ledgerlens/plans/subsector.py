@@ -86,7 +86,7 @@ def subsector_flow_links(
     industry code.
     """
     detail = _of_sector(subsector_yoy(ledger, flt), sector)
-    links = flow_links(detail, "sector", "subsector", MEASURES).where(F.col("sector") != "")
+    links = flow_links(detail, "sector", "subsector", MEASURES, without_source="")
     if per_klu:
         return links
     ends = ("sector", "subsector", "source_node", "target_node")

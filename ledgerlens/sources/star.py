@@ -7,15 +7,28 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.dims import SECTOR_LABELS_SCHEMA
+from ledgerlens.dims import SECTOR_LABELS_COLUMNS, local_table
 from ledgerlens.schema import LEDGER_SCHEMA
 
+# The columns used here, given so that opening a table reads no file footer.
+_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_extendedprice double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
 # Ledger column -> expression, grouped by the table that has to be joined to reach it.
 _FROM_LINEITEM = {
     "paid_on": "cast(l_shipdate as date)",
     "pay_year": "cast(year(l_shipdate) as int)",
     "pay_month": "cast(month(l_shipdate) as int)",
-    "nominal": "cast(round(l_extendedprice * 100) as bigint)"
+    # Prices are not negative, so this is rounding, without a decimal object per row.
+    "nominal": "cast(floor(l_extendedprice * 100 + 0.5D) as bigint)"
     " * (case when l_returnflag = 'R' then -1 else 1 end)",
     "kind": "case when l_returnflag = 'N' then 'MPN'"
     " when l_returnflag = 'A' and l_linestatus = 'F' then 'SPM'"
@@ -45,7 +58,7 @@ _FROM_PART = {"tax_type": "p_type", "deposit_code": "p_brand"}
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of the star."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def star_ledger(
@@ -102,9 +115,10 @@ def star_targets(spark: SparkSession, directory: str) -> DataFrame:
 
 def star_sector_labels(spark: SparkSession) -> DataFrame:
     """Short names of the market segments; MACHINERY has none on purpose."""
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         [("FURNITURE", "FURN"), ("BUILDING", "BLDG"), ("AUTOMOBILE", "AUTO"), ("HOUSEHOLD", "HOME")],
-        SECTOR_LABELS_SCHEMA,
+        SECTOR_LABELS_COLUMNS,
     )
 
 
@@ -125,5 +139,5 @@ def star_plan(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "orders").selectExpr(
         "cast(month(o_orderdate) as int) as pay_month",
         "o_orderpriority as plan_kind",
-        "cast(round(o_totalprice * 100) as bigint) as amount",
+        "cast(floor(o_totalprice * 100 + 0.5D) as bigint) as amount",
     )
