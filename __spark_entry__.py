@@ -164,6 +164,9 @@ def queries() -> dict[str, Query]:
         "monthly_growth_gross_as_refund": _report(
             trend.monthly_growth, "pay_year", "pay_month", refund_kinds=("MPN", "SPM"), **flt
         ),
+        "monthly_growth_labels": _report(
+            trend.monthly_growth, "pay_year", "pay_month", labels=True, **flt
+        ),
         "sector_totals": _report(sector.sector_totals, "sector", dims=labels, **flt),
         "sector_totals_all_dates": _report(
             sector.sector_totals, "sector", dims=labels, flt=ALL_DATES

@@ -43,6 +43,11 @@ def percent_label(value: Column, places: int) -> Column:
     return F.concat(F.format_number(value, places), F.lit("%"))
 
 
+def plain_percent_label(value: Column) -> Column:
+    """Percentage with two places and no thousands separator."""
+    return F.when(value.isNotNull(), F.format_string("%.2f%%", value))
+
+
 def month_name(month: Column) -> Column:
     """English month name for 1..12, NULL otherwise."""
     names = F.array(*[F.lit(name) for name in calendar.month_name[1:]])

@@ -99,12 +99,13 @@ def rank_bands(payers: DataFrame, rank_by: str, share_of: str) -> DataFrame:
         *[F.coalesce(F.sum(F.col(m) * F.col("weight")), F.lit(0)).alias(m) for m in measures],
         F.sum(F.col("n") * F.col("weight")).alias("n"),
     )
-    # At most ten payers, the bands and the total are left here.
+    # At most ten payers, the bands and the total are left here, in one partition.
     everything = W.partitionBy()
     is_total = F.col("row_kind") == "total"
     whole = F.max(F.when(is_total, F.col(share_of))).over(everything)
     payer_count = F.max(F.when(is_total, F.col("n"))).over(everything)
-    return rows.select(
+    row_order = F.array_position(F.array(F.lit("payer"), F.lit("band"), F.lit("total")), "row_kind")
+    report = rows.select(
         "row_kind",
         "pos",
         "npwp",
@@ -118,3 +119,4 @@ def rank_bands(payers: DataFrame, rank_by: str, share_of: str) -> DataFrame:
         "n",
         share_pct(F.col(share_of), whole).alias("share_pct"),
     )
+    return report.sortWithinPartitions(row_order, "pos")

@@ -110,7 +110,7 @@ def kpi_cards(ledger: DataFrame, targets: DataFrame, flt: LedgerFilter) -> DataF
     target_cy, target_py = F.col("target.target_cy"), F.col("target.target_py")
     attainment_cy = share_pct(net_cy, target_cy)
     attainment_py = share_pct(net_py, target_py)
-    return row.select(
+    cards = row.select(
         target_cy.alias("target_cy"),
         target_py.alias("target_py"),
         F.col("target.target_growth_pct"),
@@ -124,9 +124,20 @@ def kpi_cards(ledger: DataFrame, targets: DataFrame, flt: LedgerFilter) -> DataF
         ((F.col("share_cy") - F.col("share_py")) * 100).alias("share_change"),
         attainment_cy.alias("attainment_pct"),
         (attainment_cy - attainment_py).alias("attainment_change"),
-        L.target_label(target_cy).alias("target_label"),
-        L.amount_label(gross_cy).alias("gross_label"),
-        L.amount_label(net_cy).alias("net_label"),
+    )
+    return cards.withColumns(
+        {
+            "target_label": L.target_label(F.col("target_cy")),
+            "gross_label": L.amount_label(gross_cy),
+            "net_label": L.amount_label(net_cy),
+            **{
+                f"{name}_label": L.percent_label(F.col(f"{name}_pct"), 2)
+                for name in ("target_growth", "gross_growth", "net_growth", "share")
+            },
+            "share_change_label": L.percent_label(F.col("share_change"), 2),
+            "attainment_label": L.plain_percent_label(F.col("attainment_pct")),
+            "attainment_change_label": L.plain_percent_label(F.col("attainment_change")),
+        }
     )
 
 

@@ -46,11 +46,16 @@ def office_attainment(ledger: DataFrame, targets: DataFrame, flt: LedgerFilter)
         share_pct(F.col("net_cy"), F.col("target_cy")).alias("attainment_pct"),
         share_pct(F.col("net_cy") - F.col("net_py"), F.col("target_py")).alias("growth_pct"),
     )
-    for name in ("target_cy", "target_py", "net_py", "net_cy"):
-        report = report.withColumn(f"{name}_label", L.unit_label(F.col(name), "M", 2))
-    for name in ("attainment", "growth"):
-        report = report.withColumn(f"{name}_label", L.percent_label(F.col(f"{name}_pct"), 2))
-    return report
+    return report.withColumns(
+        {
+            f"{name}_label": L.unit_label(F.col(name), "M", 2)
+            for name in ("target_cy", "target_py", "net_py", "net_cy")
+        }
+        | {
+            f"{name}_label": L.percent_label(F.col(f"{name}_pct"), 2)
+            for name in ("attainment", "growth")
+        }
+    )
 
 
 def office_attainment_mean(ledger: DataFrame, targets: DataFrame, flt: LedgerFilter) -> DataFrame:

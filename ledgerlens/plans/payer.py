@@ -44,10 +44,12 @@ def payer_movers(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:
         F.row_number().over(W.orderBy(difference.asc_nulls_last(), *PAYER)).alias("pos"),
         "*",
     )
-    movers = top.unionByName(bottom)
-    for name in ("gross_py", "gross_cy", "difference"):
-        movers = movers.withColumn(f"{name}_label", F.format_number(L.billions(F.col(name)), 1))
-    return movers
+    return top.unionByName(bottom).withColumns(
+        {
+            f"{name}_label": F.format_number(L.billions(F.col(name)), 1)
+            for name in ("gross_py", "gross_cy", "difference")
+        }
+    )
 
 
 def payer_bands_gross(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:

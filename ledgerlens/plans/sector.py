@@ -50,10 +50,12 @@ def _relabel(sums: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFra
 
 def _with_rises(sums: DataFrame) -> DataFrame:
     gross_cy, gross_py = F.col("gross_cy"), F.col("gross_py")
-    return (
-        sums.withColumn("rise_gross", gross_cy - gross_py)
-        .withColumn("rise_net", F.col("net_cy") - F.col("net_py"))
-        .withColumn("growth_gross_pct", growth_pct(gross_cy, gross_py))
+    return sums.withColumns(
+        {
+            "rise_gross": gross_cy - gross_py,
+            "rise_net": F.col("net_cy") - F.col("net_py"),
+            "growth_gross_pct": growth_pct(gross_cy, gross_py),
+        }
     )
 
 
@@ -74,7 +76,8 @@ def sector_totals(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> Da
 def sector_yoy(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> DataFrame:
     """Gross and net of both periods per labelled sector, their rises and gross growth."""
     sums = ledger.where(flt.either()).groupBy("sector").agg(*_yoy_sums(flt))
-    return _with_rises(_relabel(sums, labels, ()))
+    report = _with_rises(_relabel(sums, labels, ()))
+    return report.orderBy(F.col("gross_cy").desc_nulls_last(), "sector")
 
 
 def sector_payer_yoy(
@@ -116,16 +119,21 @@ def sector_top10(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> Dat
     sectors = _relabel(sums, labels, ())
     whole = grand_totals(sectors, MEASURES)
     top = largest(_with_rises(sectors), "net_cy", ["sector"])
-    for period in ("cy", "py"):
-        gross = F.col(f"gross_{period}")
-        top = (
-            top.withColumn(f"share_{period}_pct", share_pct(gross, whole.getField(f"gross_{period}")))
-            .withColumn(f"gross_{period}_label", L.amount_label(gross, 2))
-            .withColumn(f"share_{period}_label", L.percent_label(F.col(f"share_{period}_pct"), 1))
+    shares = {
+        f"share_{period}_pct": share_pct(
+            F.col(f"gross_{period}"), whole.getField(f"gross_{period}")
         )
-    return top.withColumn(
-        "growth_label", L.percent_label(F.col("growth_gross_pct"), 1)
-    ).orderBy(F.col("gross_cy").asc_nulls_last(), "sector")
+        for period in ("cy", "py")
+    }
+    captions = {"growth_label": L.percent_label(F.col("growth_gross_pct"), 1)}
+    for period in ("cy", "py"):
+        captions[f"gross_{period}_label"] = L.amount_label(F.col(f"gross_{period}"), 2)
+        captions[f"share_{period}_label"] = L.percent_label(F.col(f"share_{period}_pct"), 1)
+    return (
+        top.withColumns(shares)
+        .withColumns(captions)
+        .orderBy(F.col("gross_cy").asc_nulls_last(), "sector")
+    )
 
 
 def sector_daily(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:

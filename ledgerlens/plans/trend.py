@@ -45,14 +45,17 @@ def monthly_trend(
     year_target = F.when(F.col("pay_year") == year, target.getField("target_cy")).when(
         F.col("pay_year") == year - 1, target.getField("target_py")
     )
-    return (
-        months.withColumn("cumulative", F.sum("net").over(to_date))
-        .withColumn("cumulative_pct", share_pct(F.col("cumulative"), year_target))
-        .withColumn("month", L.month_name(F.col("pay_month")))
-        .withColumn("net_label", L.amount_label(F.col("net")))
-        .withColumn("cumulative_label", L.amount_label(F.col("cumulative")))
-        .withColumn("cumulative_pct_label", L.percent_label(F.col("cumulative_pct"), 2))
+    report = months.withColumn("cumulative", F.sum("net").over(to_date)).withColumn(
+        "cumulative_pct", share_pct(F.col("cumulative"), year_target)
     )
+    return report.withColumns(
+        {
+            "month": L.month_name(F.col("pay_month")),
+            "net_label": L.amount_label(F.col("net")),
+            "cumulative_label": L.amount_label(F.col("cumulative")),
+            "cumulative_pct_label": L.percent_label(F.col("cumulative_pct"), 2),
+        }
+    ).orderBy(F.col("pay_year").desc(), "pay_month")
 
 
 def monthly_growth(

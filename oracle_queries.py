@@ -191,7 +191,15 @@ def _cards(where: str, offices: str) -> str:
       round(net_cy / target_cy * 100 - net_py / target_py * 100, 6) as attainment_change,
       {_target_label('target_cy')} as target_label,
       {_amount_label('gross_cy')} as gross_label,
-      {_amount_label('net_cy')} as net_label
+      {_amount_label('net_cy')} as net_label,
+      {_pct_label('((target_cy - target_py) / target_py * 100)', 2)} as target_growth_label,
+      {_pct_label(f"(({step('gross_cy', 'gross_py')}) * 100)", 2)} as gross_growth_label,
+      {_pct_label(f"(({step('net_cy', 'net_py')}) * 100)", 2)} as net_growth_label,
+      {_pct_label('(share_cy * 100)', 2)} as share_label,
+      {_pct_label('((share_cy - share_py) * 100)', 2)} as share_change_label,
+      printf('%.2f%%', net_cy / target_cy * 100) as attainment_label,
+      printf('%.2f%%', net_cy / target_cy * 100 - net_py / target_py * 100)
+        as attainment_change_label
     from wide, goal""",
         _kpi(where),
         """
@@ -291,15 +299,16 @@ payers as (
 )"""
 
 
-def _monthly_growth(refund: str) -> str:
+def _monthly_growth(refund: str, labels: bool = False) -> str:
     names = [
         "January", "February", "March", "April", "May", "June",
         "July", "August", "September", "October", "November", "December",
     ]
-    cells = ", ".join(
-        f"round(coalesce(max(g) filter (where pay_month = {i}), 0), 6) as \"{name}\""
-        for i, name in enumerate(names, start=1)
-    )
+    cells = []
+    for i, name in enumerate(names, start=1):
+        cell = f"coalesce(max(g) filter (where pay_month = {i}), 0)"
+        cells.append((_pct_label(cell, 2) if labels else f"round({cell}, 6)") + f' as "{name}"')
+    cells = ", ".join(cells)
 
     def amounts(period: str, dates: str, year: int) -> str:
         return f"""
@@ -627,6 +636,7 @@ moves as (
         ),
         "monthly_growth": _monthly_growth("'SPMKP'"),
         "monthly_growth_gross_as_refund": _monthly_growth("'MPN', 'SPM'"),
+        "monthly_growth_labels": _monthly_growth("'SPMKP'", labels=True),
         "subsector_yoy": _with("select * from detail", SUBSECTORS),
         "subsector_rollup": _rollup("subsector"),
         "subsector_rollup_of_sector": _rollup("subsector", "sector = 'BUILDING'"),
