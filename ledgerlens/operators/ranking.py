@@ -104,7 +104,8 @@ def rank_bands(payers: DataFrame, rank_by: str, share_of: str) -> DataFrame:
     is_total = F.col("row_kind") == "total"
     whole = F.max(F.when(is_total, F.col(share_of))).over(everything)
     payer_count = F.max(F.when(is_total, F.col("n"))).over(everything)
-    row_order = F.array_position(F.array(F.lit("payer"), F.lit("band"), F.lit("total")), "row_kind")
+    kinds_in_order = F.array(F.lit("payer"), F.lit("band"), F.lit("total"))
+    row_order = F.array_position(kinds_in_order, F.col("row_kind"))
     report = rows.select(
         "row_kind",
         "pos",

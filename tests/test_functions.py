@@ -1,0 +1,69 @@
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import labels as L
+from ledgerlens.functions.measures import growth_or_step, growth_or_zero, growth_pct, share_pct
+
+
+def _values(spark, rows, schema, function):
+    """Results of a function of all columns, row by row."""
+    df = spark.createDataFrame(rows, schema)
+    return [r[0] for r in df.select(function(*map(F.col, df.columns))).collect()]
+
+
+PAIRS = "x bigint, y bigint"
+
+
+def test_growth_pct(spark):
+    rows = [(150, 100), (5, 0), (None, 3), (3, None), (-50, -100)]
+    assert _values(spark, rows, PAIRS, growth_pct) == [50.0, None, None, None, -50.0]
+
+
+def test_growth_or_step(spark):
+    rows = [(150, 100), (5, 0), (0, 0), (-5, 0)]
+    assert _values(spark, rows, PAIRS, growth_or_step) == [0.5, 1.0, 0.0, 0.0]
+
+
+def test_growth_or_zero(spark):
+    rows = [(150, 100), (5, 0), (7, 7)]
+    assert _values(spark, rows, PAIRS, growth_or_zero) == [0.5, 0.0, 0.0]
+
+
+def test_share_of_zero_total(spark):
+    assert _values(spark, [(1, 4), (1, 0)], PAIRS, share_pct) == [25.0, None]
+
+
+def _python_label(value, places):
+    """The label written with Python's own formatting."""
+    for suffix, unit in (("T", 10**12), ("M", 10**9), ("Jt", 10**6)):
+        if abs(value) > unit:
+            return f"{value / unit:,.{places}f}{suffix}"
+    return f"{value:,.0f}"
+
+
+def test_amount_label_units_and_thresholds(spark):
+    amounts = [0, 999, 10**6, 10**6 + 1, 1234567890, 10**9, 10**12, 10**12 + 10**9]
+    amounts += [-a for a in amounts] + [27601733880000, 987654321, -22656373555000]
+    rows = [(a,) for a in amounts]
+    for places in (2, 3):
+        have = _values(spark, rows, "x bigint", lambda x: L.amount_label(x, places))
+        assert have == [_python_label(a, places) for a in amounts]
+    assert _values(spark, [(None,)], "x bigint", L.amount_label) == [None]
+
+
+def test_target_label(spark):
+    rows = [(27601733880000,), (608265424000,), (10**12,)]
+    assert _values(spark, rows, "x bigint", L.target_label) == ["27.60T", "608.27M", "1,000.00M"]
+
+
+def test_percent_and_unit_labels(spark):
+    rows = [(1234.567,), (-0.25,), (None,)]
+    assert _values(spark, rows, "x double", lambda x: L.percent_label(x, 1)) == ["1,234.6%", "-0.2%", None]
+    assert _values(spark, rows, "x double", L.plain_percent_label) == ["1234.57%", "-0.25%", None]
+    assert _values(spark, [(2500000000,)], "x bigint", lambda x: L.unit_label(x, "M", 1)) == ["2.5M"]
+
+
+def test_month_name(spark):
+    rows = [(1,), (12,), (0,), (13,), (None,)]
+    assert _values(spark, rows, "x int", L.month_name) == [
+        "January", "December", None, None, None,
+    ]
