@@ -54,23 +54,66 @@ class TextSearch:
 ColumnFilter = Membership | NumberRange | DateRange | TextSearch
 
 
-def _as_time(df: DataFrame, name: str) -> Column:
-    """The column as a timestamp without time zone; NULL where it is none."""
-    column = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        iso = F.when(column.rlike(_ISO_DATE), column)
-        return F.try_to_timestamp(iso).cast("timestamp_ntz")
-    return column.cast("timestamp_ntz")
+def _name(column: str) -> str:
+    """A column name as an SQL identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _is_number(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)
+def _as_time(field: T.StructField) -> str:
+    """The column as a timestamp without time zone; NULL where it is none."""
+    name = _name(field.name)
+    if isinstance(field.dataType, T.StringType):
+        name = f"try_to_timestamp(if({name} rlike r'{_ISO_DATE}', {name}, null))"
+    return f"cast({name} as timestamp_ntz)"
 
 
 def _is_time(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
+def _columns_at_a_glance(df: DataFrame) -> DataFrame:
+    """One pass over all columns: sketched distinct count, missing values, kind and range."""
+    times, sums, rows = [], [], []
+    for i, field in enumerate(df.schema.fields):
+        name, dtype = _name(field.name), field.dataType
+        sums += [
+            f"approx_count_distinct({name}) as approx_{i}",
+            f"count({name}) as present_{i}",
+        ]
+        kind, low, high = "'text'", "cast(null as double)", "cast(null as double)"
+        first = last = "cast(null as timestamp_ntz)"
+        if isinstance(dtype, T.NumericType):
+            kind, low, high = "'number'", f"low_{i}", f"high_{i}"
+            sums += [
+                f"cast(min({name}) as double) as low_{i}",
+                f"cast(max({name}) as double) as high_{i}",
+            ]
+        elif _is_time(dtype) or isinstance(dtype, T.StringType):
+            kind = f"if(present_{i} > 0 and times_{i} = present_{i}, 'date', 'text')"
+            first, last = f"first_{i}", f"last_{i}"
+            times.append(f"{_as_time(field)} as _time_{i}")
+            sums += [
+                f"count(_time_{i}) as times_{i}",
+                f"min(_time_{i}) as first_{i}",
+                f"max(_time_{i}) as last_{i}",
+            ]
+        rows.append(
+            f"struct({i} as column_no, {_text(field.name)} as column_name, approx_{i} as approx,"
+            f" rows > present_{i} as has_missing, {kind} as kind,"
+            f" {low} as low, {high} as high, {first} as first, {last} as last)"
+        )
+    return (
+        df.selectExpr("*", *times)
+        .selectExpr("count(*) as rows", *sums)
+        .selectExpr(f"inline(array({', '.join(rows)}))")
+    )
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """How each column of a report can be filtered, one row per column.
 
@@ -83,94 +126,41 @@ def column_profile(df: DataFrame) -> DataFrame:
     more values; only the remaining ones are deduplicated, which map-side aggregation
     reduces to a handful of rows per task.
     """
-    none_double = F.lit(None).cast("double")
-    none_time = F.lit(None).cast("timestamp_ntz")
-    sketch, describe = [], []
-    for i, field in enumerate(df.schema.fields):
-        name, dtype = field.name, field.dataType
-        column = F.col(f"`{name}`")
-        sketch += [
-            F.approx_count_distinct(column).alias(f"approx_{i}"),
-            F.count(column).alias(f"present_{i}"),
-            F.count(F.lit(1)).alias(f"rows_{i}"),
-        ]
-        numeric = _is_number(dtype)
-        timelike = _is_time(dtype) or isinstance(dtype, T.StringType)
-        if numeric:
-            sketch += [
-                F.min(column).cast("double").alias(f"low_{i}"),
-                F.max(column).cast("double").alias(f"high_{i}"),
-            ]
-        if timelike:
-            sketch += [
-                F.count(_as_time(df, name)).alias(f"times_{i}"),
-                F.min(_as_time(df, name)).alias(f"from_{i}"),
-                F.max(_as_time(df, name)).alias(f"to_{i}"),
-            ]
-        all_times = (
-            (F.col(f"times_{i}") == F.col(f"present_{i}")) & (F.col(f"present_{i}") > 0)
-            if timelike
-            else F.lit(False)
-        )
-        kind = F.lit("number") if numeric else F.when(all_times, "date").otherwise("text")
-        describe.append(
-            F.struct(
-                F.lit(i).alias("column_no"),
-                F.lit(name).alias("column_name"),
-                F.col(f"approx_{i}").alias("approx"),
-                (F.col(f"rows_{i}") > F.col(f"present_{i}")).alias("has_missing"),
-                kind.alias("kind"),
-                (F.col(f"low_{i}") if numeric else none_double).alias("low"),
-                (F.col(f"high_{i}") if numeric else none_double).alias("high"),
-                (F.when(all_times, F.col(f"from_{i}")) if timelike else none_time).alias("first"),
-                (F.when(all_times, F.col(f"to_{i}")) if timelike else none_time).alias("last"),
-            )
-        )
-    columns = df.agg(*sketch).select(F.inline(F.array(*describe)))
-
+    columns = _columns_at_a_glance(df)
+    cells = ", ".join(
+        f"struct({i} as column_no, cast({_name(name)} as string) as value)"
+        for i, name in enumerate(df.columns)
+    )
     candidates = columns.where(F.col("approx") <= _SKETCH_BOUND).select("column_no")
-    values = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("column_no"),
-                        F.col(f"`{field.name}`").cast("string").alias("value"),
-                    )
-                    for i, field in enumerate(df.schema.fields)
-                ]
-            )
-        )
-    ).where(F.col("value").isNotNull())
     few = (
-        values.join(candidates, "column_no", "left_semi")
+        df.selectExpr(f"inline(array({cells}))")
+        .where("value is not null")
+        .join(candidates, "column_no", "left_semi")
         .distinct()
         .groupBy("column_no")
         .agg(F.sort_array(F.collect_list("value")).alias("choices"))
         .where(F.size("choices") < FEW_VALUES)
     )
-
-    all_missing = F.col("approx") == 0
-    is_few = F.col("choices").isNotNull() | all_missing
-    by_number = ~is_few & (F.col("kind") == "number")
-    by_date = ~is_few & (F.col("kind") == "date")
-    return columns.join(few, "column_no", "left").select(
-        "column_name",
-        F.when(is_few, "membership").otherwise(F.col("kind")).alias("filter_kind"),
-        "has_missing",
-        F.when(all_missing, F.array().cast("array<string>"))
-        .otherwise(F.col("choices"))
-        .alias("choices"),
-        F.when(by_number, F.col("low")).alias("low"),
-        F.when(by_number, F.col("high")).alias("high"),
-        F.when(by_number, (F.col("high") - F.col("low")) / 100).alias("step"),
-        F.when(by_date, F.col("first")).alias("first"),
-        F.when(by_date, F.col("last")).alias("last"),
+    return (
+        columns.join(few, "column_no", "left")
+        .withColumn("choices", F.expr("if(approx = 0, cast(array() as array<string>), choices)"))
+        .withColumn("filter_kind", F.expr("if(choices is not null, 'membership', kind)"))
+        .selectExpr(
+            "column_name",
+            "filter_kind",
+            "has_missing",
+            "choices",
+            "if(filter_kind = 'number', low, null) as low",
+            "if(filter_kind = 'number', high, null) as high",
+            "if(filter_kind = 'number', (high - low) / 100, null) as step",
+            "if(filter_kind = 'date', first, null) as first",
+            "if(filter_kind = 'date', last, null) as last",
+        )
     )
 
 
 def _predicate(df: DataFrame, name: str, rule: ColumnFilter) -> Column:
-    column = F.col(f"`{name}`")
+    column = F.col(_name(name))
     if isinstance(rule, Membership):
         present = [v for v in rule.values if v is not None]
         kept = column.isin(present) if present else F.lit(False)
@@ -181,7 +171,7 @@ def _predicate(df: DataFrame, name: str, rule: ColumnFilter) -> Column:
         low, high = (
             F.lit(v.isoformat()).cast("timestamp_ntz") for v in (rule.low, rule.high)
         )
-        return _as_time(df, name).between(low, high)
+        return F.expr(_as_time(df.schema[name])).between(low, high)
     return column.rlike(rule.pattern) if rule.pattern else F.lit(True)
 
 

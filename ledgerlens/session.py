@@ -11,7 +11,8 @@ def session_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
     """Settings for a job that shuffles about ``shuffle_bytes`` on ``cores`` task slots.
 
     Shuffles start with partitions of about 128 MB and at least one per slot; adaptive
-    execution then merges small ones and splits skewed ones.
+    execution then merges small ones and splits skewed ones. Recording the Python line of
+    every expression is off: it costs more round trips than building the expression.
     """
     partitions = max(cores, -(-shuffle_bytes // _TARGET_PARTITION_BYTES))
     return {
@@ -22,6 +23,7 @@ def session_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.exchange.reuse": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
 
 
