@@ -19,6 +19,7 @@ def session_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(_TARGET_PARTITION_BYTES),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TARGET_PARTITION_BYTES),
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.exchange.reuse": "true",

@@ -1,0 +1,115 @@
+"""A star in which one order, customer and part hold a third of all rows."""
+
+import pytest
+
+import __spark_entry__ as registry
+from ledgerlens.sources import read_ledger, write_ledger
+from ledgerlens.sources.star import star_ledger
+from tests.check import connect, differences
+from tests.test_plans import executed_plan, fact_scans
+
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
+# Sizes at which this small star is as skewed as a large one: nothing is broadcast, and a
+# shuffle partition counts as skewed from a few kilobytes.
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.files.maxPartitionBytes": "100000",
+    "spark.sql.files.openCostInBytes": "0",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture(scope="module")
+def star_dir(spark, tmp_path_factory):
+    directory = str(tmp_path_factory.mktemp("star"))
+    tables = {}
+    tables["lineitem"] = spark.range(0, 60_000, 1, 12).selectExpr(
+        "if(id % 3 = 0, 7, pmod(xxhash64(id), 3000)) as l_orderkey",
+        "if(id % 3 = 0, 7, pmod(xxhash64(id, 1), 400)) as l_partkey",
+        "cast(pmod(xxhash64(id, 2), 1000000) as double) / 100 as l_extendedprice",
+        "element_at(array('N', 'A', 'R'), cast(pmod(xxhash64(id, 3), 3) as int) + 1) as l_returnflag",
+        "element_at(array('F', 'O'), cast(pmod(xxhash64(id, 4), 2) as int) + 1) as l_linestatus",
+        "cast(date_add(date'1999-01-01', cast(pmod(xxhash64(id, 5), 700) as int)) as timestamp_ntz)"
+        " as l_shipdate",
+    )
+    tables["orders"] = spark.range(3000).selectExpr(
+        "id as o_orderkey",
+        "if(id % 3 = 1, 11, id % 500) as o_custkey",
+        "100D as o_totalprice",
+        "cast(date'1999-05-05' as timestamp_ntz) as o_orderdate",
+        "concat(id % 5 + 1, '-P') as o_orderpriority",
+    )
+    tables["customer"] = spark.range(500).selectExpr(
+        "id as c_custkey",
+        "concat('Customer#', id) as c_name",
+        "cast(if(id % 3 = 0, 3, id % 25) as int) as c_nationkey",
+        "cast(id % 7 - 2 as double) as c_acctbal",
+        "element_at(array('BUILDING', 'FURNITURE', 'MACHINERY'), cast(id % 3 as int) + 1)"
+        " as c_mktsegment",
+    )
+    tables["nation"] = spark.range(25).selectExpr(
+        "cast(id as int) as n_nationkey", "concat('NATION_', id) as n_name"
+    )
+    tables["part"] = spark.range(400).selectExpr(
+        "id as p_partkey", "concat('B', id % 25) as p_brand", "concat('T', id % 6) as p_type"
+    )
+    for name, table in tables.items():
+        table.write.parquet(f"{directory}/{name}.parquet")
+    return directory
+
+
+@pytest.fixture()
+def as_if_large(spark):
+    before = {key: spark.conf.get(key, None) for key in SMALL}
+    for key, value in SMALL.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+SAMPLE = [
+    "top10_payers_per_office",
+    "sector_payer_yoy",
+    "payer_bands_net",
+    "tax_type_payer_yoy",
+    "filter_options",
+    "officer_contribution",
+    "payer_kind_receipts",
+    "subsector_flow_links",
+    "column_profile",
+]
+
+
+@pytest.mark.parametrize("name", SAMPLE)
+def test_results_on_a_skewed_star(spark, star_dir, as_if_large, name):
+    assert differences(QUERIES[name](spark, star_dir), connect(star_dir), SQL[name]) is None
+
+
+def test_hot_order_is_split_over_tasks(spark, star_dir, as_if_large):
+    plan = executed_plan(QUERIES["payer_totals_all_dates"](spark, star_dir))
+    assert "skew=true" in plan
+    assert fact_scans(plan) == 1
+
+
+def test_hot_group_is_reduced_before_the_shuffle(spark, star_dir, as_if_large):
+    """The office holding a third of the rows sends at most ten payers per task."""
+    plan = executed_plan(QUERIES["top10_payers_per_office"](spark, star_dir))
+    exchange = plan.index("Exchange hashpartitioning(office")
+    assert plan.index("row_number(), 10, Partial") > exchange
+
+
+def test_hot_month_is_written_by_several_tasks(spark, star_dir, as_if_large, tmp_path):
+    ledger = star_ledger(spark, star_dir, ["paid_on", "nominal", "kind"])
+    hot = ledger.selectExpr("if(nominal % 3 = 0, date'2000-03-15', paid_on) as paid_on", "nominal", "kind")
+    path = str(tmp_path / "ledger")
+    write_ledger(hot, path)
+    files = read_ledger(spark, path).inputFiles()
+    assert sum("paid_ym=200003" in f for f in files) > 1
+    stored = read_ledger(spark, path).agg({"nominal": "sum", "*": "count"}).first()
+    assert stored == hot.agg({"nominal": "sum", "*": "count"}).first()
