@@ -29,10 +29,11 @@ def session_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
 
 
 def configure(spark: SparkSession, shuffle_bytes: int) -> SparkSession:
-    """Apply :func:`session_conf` to a running session."""
+    """Apply those of :func:`session_conf` that can change in a running session."""
     cores = spark.sparkContext.defaultParallelism
     for key, value in session_conf(shuffle_bytes, cores).items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 

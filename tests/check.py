@@ -35,18 +35,36 @@ def _cell(value):
     return value
 
 
+def executed_plan(df) -> str:
+    """The final adaptive plan after a run, without the plans it started from."""
+    kept, skipping = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if skipping is not None and depth >= skipping:
+            continue
+        skipping = depth if "== Initial Plan ==" in line else None
+        if skipping is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def differences(df, con, sql: str) -> str | None:
     """What differs between the Spark frame and the SQL result, or None."""
+    return row_differences(df.dtypes, df.collect(), con, sql)
+
+
+def row_differences(dtypes, rows, con, sql: str) -> str | None:
+    """What differs between collected rows and the SQL result, or None."""
     relation = con.sql(sql)
     want_types = {c: TYPES.get(str(t), str(t)) for c, t in zip(relation.columns, relation.types)}
-    have_types = dict(df.dtypes)
+    have_types = dict(dtypes)
     if want_types != have_types:
         return f"schema: spark {sorted(have_types.items())} oracle {sorted(want_types.items())}"
     columns = sorted(have_types)
     want = collections.Counter(
         tuple(_cell(row[relation.columns.index(c)]) for c in columns) for row in relation.fetchall()
     )
-    have = collections.Counter(tuple(_cell(row[c]) for c in columns) for row in df.collect())
+    have = collections.Counter(tuple(_cell(row[c]) for c in columns) for row in rows)
     if want != have:
         return (
             f"columns {columns}\nonly spark: {list((have - want).items())[:3]}\n"

@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 import pathlib
 import sys
 
@@ -7,9 +8,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
+import __spark_entry__  # noqa: E402
 from ledgerlens import LedgerFilter  # noqa: E402
 from ledgerlens.schema import LEDGER_SCHEMA  # noqa: E402
 from ledgerlens.session import session_conf  # noqa: E402
+from tests.check import executed_plan  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,12 +22,27 @@ def spark():
     builder = SparkSession.builder.master("local[8]").appName("ledgerlens-tests")
     for key, value in session_conf(shuffle_bytes=0, cores=8).items():
         builder = builder.config(key, value)
-    session = builder.config("spark.ui.enabled", "false").getOrCreate()
+    builder = builder.config("spark.ui.enabled", "false")
+    session = builder.config("spark.sql.maxMetadataValueLength", "1000").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def run(spark):
+    """Types, rows and final plan of a registered query on the small star, run once each."""
+    queries = __spark_entry__.queries()
+
+    @functools.cache
+    def result(name):
+        df = queries[name](spark, SF_DIR)
+        rows = df.collect()
+        return df.dtypes, rows, executed_plan(df)
+
+    return result
+
+
 @pytest.fixture(scope="session")
 def flt():
     return LedgerFilter(dt.date(2000, 1, 1), dt.date(2000, 6, 30))

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from tests.check import connect, differences
+from tests.check import connect, row_differences
 from tests.conftest import SF_DIR
 
 QUERIES = registry.queries()
@@ -20,8 +20,9 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_matches_sql(spark, duck, name):
-    assert differences(QUERIES[name](spark, SF_DIR), duck, SQL[name]) is None
+def test_matches_sql(run, duck, name):
+    dtypes, rows, _ = run(name)
+    assert row_differences(dtypes, rows, duck, SQL[name]) is None
 
 
 def test_entry_returns_ten_payers_per_office(spark):

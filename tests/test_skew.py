@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as registry
 from ledgerlens.sources import read_ledger, write_ledger
 from ledgerlens.sources.star import star_ledger
-from tests.check import connect, differences
-from tests.test_plans import executed_plan, fact_scans
+from tests.check import connect, differences, executed_plan
+from tests.test_plans import fact_scans
 
 QUERIES = registry.queries()
 SQL = registry.oracle_sql()
@@ -92,14 +92,18 @@ def test_results_on_a_skewed_star(spark, star_dir, as_if_large, name):
 
 
 def test_hot_order_is_split_over_tasks(spark, star_dir, as_if_large):
-    plan = executed_plan(QUERIES["payer_totals_all_dates"](spark, star_dir))
+    df = QUERIES["payer_totals_all_dates"](spark, star_dir)
+    df.collect()
+    plan = executed_plan(df)
     assert "skew=true" in plan
     assert fact_scans(plan) == 1
 
 
 def test_hot_group_is_reduced_before_the_shuffle(spark, star_dir, as_if_large):
     """The office holding a third of the rows sends at most ten payers per task."""
-    plan = executed_plan(QUERIES["top10_payers_per_office"](spark, star_dir))
+    df = QUERIES["top10_payers_per_office"](spark, star_dir)
+    df.collect()
+    plan = executed_plan(df)
     exchange = plan.index("Exchange hashpartitioning(office")
     assert plan.index("row_number(), 10, Partial") > exchange
 
