@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -104,3 +104,13 @@ class LedgerFilter:
         if prior[1] >= current[0] - dt.timedelta(days=1):
             return [(prior[0], current[1])]
         return [prior, current]
+
+
+def restrict_to(ledger: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose ``column`` occurs in the first column of ``values``.
+
+    For lists too long for a filter's value lists: a semi join, which broadcasts the list
+    when its size allows and shuffles both sides otherwise.
+    """
+    listed = values.select(F.col(values.columns[0]).alias(column))
+    return ledger.join(listed, column, "left_semi")

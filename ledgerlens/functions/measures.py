@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.filters import LedgerFilter
 from ledgerlens.schema import GROSS_2_KINDS, GROSS_4_KINDS, REFUND_KIND
 
+YOY_MEASURES = ("gross_py", "gross_cy", "net_py", "net_cy")
+
 
 def gross2() -> Column:
     """Receipts only: the two receipt kinds."""
@@ -43,6 +46,17 @@ def sum_in_period(period: Column, condition: Column | None = None) -> Column:
     return F.sum(F.when(period & condition, nominal).when(period, F.lit(0)))
 
 
+def yoy_sums(flt: LedgerFilter) -> list[Column]:
+    """Gross and net of both periods as one list of aggregates, named as in YOY_MEASURES."""
+    in_cy, in_py = flt.in_cy(), flt.in_py()
+    return [
+        sum_in_period(in_py, gross2()).alias("gross_py"),
+        sum_in_period(in_cy, gross2()).alias("gross_cy"),
+        sum_in_period(in_py).alias("net_py"),
+        sum_in_period(in_cy).alias("net_cy"),
+    ]
+
+
 def growth_pct(current: Column, prior: Column) -> Column:
     """Change against the prior amount in percent; NULL for a zero or missing prior."""
     return F.try_divide(current - prior, prior) * 100

@@ -68,8 +68,8 @@ def _as_time(field: T.StructField) -> str:
     """The column as a timestamp without time zone; NULL where it is none."""
     name = _name(field.name)
     if isinstance(field.dataType, T.StringType):
-        name = f"try_to_timestamp(if({name} rlike r'{_ISO_DATE}', {name}, null))"
-    return f"cast({name} as timestamp_ntz)"
+        name = f"if({name} rlike r'{_ISO_DATE}', {name}, null)"
+    return f"try_cast({name} as timestamp_ntz)"
 
 
 def _is_time(dtype: T.DataType) -> bool:

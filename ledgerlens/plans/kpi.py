@@ -85,10 +85,13 @@ def kpi_totals(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:
 
 
 def target_totals(targets: DataFrame, offices: Sequence[str] = ()) -> DataFrame:
-    """Target of both years for the chosen offices, or for the region when none is chosen."""
+    """Target of both years for the chosen offices, or for the region when none is chosen.
+
+    Offices without a target count as 0.
+    """
     chosen = targets.where(F.col("office").isin(list(offices))) if offices else targets
     totals = chosen.agg(
-        F.sum("target_cy").alias("target_cy"), F.sum("target_py").alias("target_py")
+        *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in ("target_cy", "target_py")]
     )
     return totals.withColumn(
         "target_growth_pct", growth_pct(F.col("target_cy"), F.col("target_py"))

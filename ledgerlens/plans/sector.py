@@ -10,32 +10,23 @@ from pyspark.sql import functions as F
 from ledgerlens.filters import LedgerFilter
 from ledgerlens.functions import labels as L
 from ledgerlens.functions.measures import (
+    YOY_MEASURES,
     gross2,
     growth_pct,
     share_pct,
     sum_in_period,
     sum_where,
+    yoy_sums,
 )
 from ledgerlens.operators.ranking import average_rank, largest
 from ledgerlens.operators.totals import grand_totals
 
-MEASURES = ("gross_py", "gross_cy", "net_py", "net_cy")
 # Sector names that mark a missing classification.
 UNCLASSIFIED = ("KLU ERROR", " ")
 # Fixed value: caption of the remaining sectors.
 OTHER_CAPTION = "LAINNYA"
 
 
-def _yoy_sums(flt: LedgerFilter) -> list[Column]:
-    in_cy, in_py = flt.in_cy(), flt.in_py()
-    return [
-        sum_in_period(in_py, gross2()).alias("gross_py"),
-        sum_in_period(in_cy, gross2()).alias("gross_cy"),
-        sum_in_period(in_py).alias("net_py"),
-        sum_in_period(in_cy).alias("net_cy"),
-    ]
-
-
 def _relabel(sums: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace raw sectors by their labels, adding up sectors that share one.
 
@@ -44,7 +35,7 @@ def _relabel(sums: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFra
     """
     named = sums.join(labels, "sector").where(F.col("label").isNotNull())
     return named.groupBy(F.col("label").alias("sector"), *keys).agg(
-        *[F.sum(m).alias(m) for m in MEASURES]
+        *[F.sum(m).alias(m) for m in YOY_MEASURES]
     )
 
 
@@ -75,7 +66,7 @@ def sector_totals(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> Da
 
 def sector_yoy(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> DataFrame:
     """Gross and net of both periods per labelled sector, their rises and gross growth."""
-    sums = ledger.where(flt.either()).groupBy("sector").agg(*_yoy_sums(flt))
+    sums = ledger.where(flt.either()).groupBy("sector").agg(*yoy_sums(flt))
     report = _with_rises(_relabel(sums, labels, ()))
     return report.orderBy(F.col("gross_cy").desc_nulls_last(), "sector")
 
@@ -95,7 +86,7 @@ def sector_payer_yoy(
         .drop("sector")
         .withColumnRenamed("label", "sector")
     )
-    report = _with_rises(named.groupBy("payer", "sector").agg(*_yoy_sums(flt)))
+    report = _with_rises(named.groupBy("payer", "sector").agg(*yoy_sums(flt)))
     if ordered:
         report = report.orderBy(F.col("gross_cy").desc_nulls_last(), "payer", "sector")
     return report
@@ -103,21 +94,21 @@ def sector_payer_yoy(
 
 def sector_month_yoy(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> DataFrame:
     """Gross and net of both periods per labelled sector and month."""
-    sums = ledger.where(flt.either()).groupBy("sector", "pay_month").agg(*_yoy_sums(flt))
+    sums = ledger.where(flt.either()).groupBy("sector", "pay_month").agg(*yoy_sums(flt))
     return _relabel(sums.where(F.col("pay_month").isNotNull()), labels, ["pay_month"])
 
 
 def sector_sparkline(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> DataFrame:
     """Monthly amounts of every sector with 0 for a period without rows."""
     months = sector_month_yoy(ledger, labels, flt)
-    return months.fillna(0, list(MEASURES))
+    return months.fillna(0, list(YOY_MEASURES))
 
 
 def sector_top10(ledger: DataFrame, labels: DataFrame, flt: LedgerFilter) -> DataFrame:
     """Ten sectors with the largest current net, with their shares of all sectors' gross."""
-    sums = ledger.where(flt.either()).groupBy("sector").agg(*_yoy_sums(flt))
+    sums = ledger.where(flt.either()).groupBy("sector").agg(*yoy_sums(flt))
     sectors = _relabel(sums, labels, ())
-    whole = grand_totals(sectors, MEASURES)
+    whole = grand_totals(sectors, YOY_MEASURES)
     top = largest(_with_rises(sectors), "net_cy", ["sector"])
     shares = {
         f"share_{period}_pct": share_pct(
@@ -170,11 +161,11 @@ def sector_surplus_shortfall(
     share the mean of their places. Sectors are read once and listed on every side they
     belong to.
     """
-    if rank_by not in (*MEASURES, "growth_gross_pct"):
+    if rank_by not in (*YOY_MEASURES, "growth_gross_pct"):
         raise ValueError(f"cannot rank by {rank_by}")
-    sums = ledger.where(flt.either()).groupBy("sector").agg(*_yoy_sums(flt))
+    sums = ledger.where(flt.either()).groupBy("sector").agg(*yoy_sums(flt))
     labelled = _relabel(sums, labels, ())
-    whole = grand_totals(labelled, MEASURES)
+    whole = grand_totals(labelled, YOY_MEASURES)
     sectors = _with_rises(labelled).withColumn(
         "share_pct", share_pct(F.col("gross_cy"), whole.getField("gross_cy"))
     )

@@ -11,32 +11,27 @@ from pyspark.sql import functions as F
 
 from ledgerlens.filters import LedgerFilter
 from ledgerlens.functions import labels as L
-from ledgerlens.functions.measures import gross2, growth_pct, share_pct, sum_in_period
+from ledgerlens.functions.measures import (
+    YOY_MEASURES,
+    gross2,
+    growth_pct,
+    share_pct,
+    yoy_sums,
+)
 from ledgerlens.operators.ranking import largest
 from ledgerlens.operators.totals import grand_totals
 
-MEASURES = ("gross_py", "gross_cy", "net_py", "net_cy")
 PAYER_KEYS = ("payer", "tax_type", "payer_kind")
 
 
 def _yoy_by(ledger: DataFrame, flt: LedgerFilter, keys: Sequence[str]) -> DataFrame:
-    in_cy, in_py = flt.in_cy(), flt.in_py()
     present = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    sums = (
-        ledger.where(flt.either() & present)
-        .groupBy(*keys)
-        .agg(
-            sum_in_period(in_py, gross2()).alias("gross_py"),
-            sum_in_period(in_cy, gross2()).alias("gross_cy"),
-            sum_in_period(in_py).alias("net_py"),
-            sum_in_period(in_cy).alias("net_cy"),
-        )
-    )
-    whole = grand_totals(sums, MEASURES)
+    sums = ledger.where(flt.either() & present).groupBy(*keys).agg(*yoy_sums(flt))
+    whole = grand_totals(sums, YOY_MEASURES)
     gross_cy, gross_py = F.col("gross_cy"), F.col("gross_py")
     return sums.select(
         *keys,
-        *MEASURES,
+        *YOY_MEASURES,
         F.bround(growth_pct(gross_cy, gross_py), 2).alias("growth_pct"),
         F.bround(share_pct(gross_cy, whole.getField("gross_cy")), 2).alias("share_cy_pct"),
         F.bround(share_pct(gross_py, whole.getField("gross_py")), 2).alias("share_py_pct"),

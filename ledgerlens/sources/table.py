@@ -50,8 +50,11 @@ def month_predicate(flt: LedgerFilter) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str, flt: LedgerFilter | None = None) -> DataFrame:
-    """A stored ledger; with a filter only the month partitions of its windows are listed."""
+    """A stored ledger; with a filter only the month partitions of its windows are listed.
+
+    A Parquet ledger laid out in another way is read as it is.
+    """
     ledger = spark.read.parquet(path)
-    if flt is not None:
+    if flt is not None and MONTH_PARTITION in ledger.columns:
         ledger = ledger.where(month_predicate(flt))
     return ledger.drop(MONTH_PARTITION)

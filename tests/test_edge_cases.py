@@ -353,6 +353,8 @@ def test_target_totals(targets):
     assert kpi.target_totals(targets).first().target_cy == 1500
     chosen = kpi.target_totals(targets, ["B"]).first()
     assert (chosen.target_cy, chosen.target_growth_pct) == (500, 150.0)
+    none = kpi.target_totals(targets, ["C"]).first()
+    assert (none.target_cy, none.target_growth_pct) == (0, None)
 
 
 # -- sectors --------------------------------------------------------------------------

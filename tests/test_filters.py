@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from ledgerlens import LedgerFilter
-from ledgerlens.filters import one_year_earlier
+from ledgerlens.filters import one_year_earlier, restrict_to
 
 D = dt.date
 
@@ -72,3 +72,11 @@ def test_as_of_year_needs_an_end():
     assert LedgerFilter(D(2023, 1, 1), D(2024, 6, 30)).as_of_year == 2024
     with pytest.raises(ValueError):
         LedgerFilter().as_of_year
+
+
+def test_long_lists_are_a_semi_join(spark, make_ledger):
+    ledger = make_ledger(*[{"payer": f"P{i}"} for i in range(5)], {"payer": None})
+    listed = spark.range(2, 100_000).selectExpr("concat('P', id) as name")
+    twice = listed.union(listed)
+    assert {r.payer for r in restrict_to(ledger, "payer", twice).collect()} == {"P2", "P3", "P4"}
+    assert restrict_to(ledger, "payer", twice).count() == 3

@@ -95,6 +95,12 @@ def test_stored_ledger_without_bounds(spark, full, tmp_path):
     )
 
 
+def test_ledger_in_another_layout(spark, full, flt, tmp_path):
+    path = str(tmp_path / "flat")
+    full.write.parquet(path)
+    assert read_ledger(spark, path, flt).count() == full.count()
+
+
 # -- database -------------------------------------------------------------------------
 
 
