@@ -123,19 +123,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     Distinct counts are exact without shuffling the values of high-cardinality columns: a
     first pass sketches all columns at once and rules out those that certainly have ten or
-    more values; only the remaining ones are deduplicated, which map-side aggregation
-    reduces to a handful of rows per task.
+    more values; a second pass turns only the others into (column, value) rows, which
+    map-side aggregation reduces to a handful per task.
     """
     columns = _columns_at_a_glance(df)
+    candidates = columns.where(F.col("approx") <= _SKETCH_BOUND).agg(F.collect_list("column_no"))
     cells = ", ".join(
-        f"struct({i} as column_no, cast({_name(name)} as string) as value)"
+        f"if(array_contains(_candidates, {i}),"
+        f" struct({i} as column_no, cast({_name(name)} as string) as value), null)"
         for i, name in enumerate(df.columns)
     )
-    candidates = columns.where(F.col("approx") <= _SKETCH_BOUND).select("column_no")
     few = (
-        df.selectExpr(f"inline(array({cells}))")
+        df.withColumn("_candidates", candidates.scalar())
+        .selectExpr(f"inline(array_compact(array({cells})))")
         .where("value is not null")
-        .join(candidates, "column_no", "left_semi")
         .distinct()
         .groupBy("column_no")
         .agg(F.sort_array(F.collect_list("value")).alias("choices"))
