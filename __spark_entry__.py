@@ -17,6 +17,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from ledgerlens import LedgerFilter  # noqa: E402
+from ledgerlens.filters import restrict_to  # noqa: E402
 from ledgerlens.operators import column_filters as cf  # noqa: E402
 from ledgerlens.plans import (  # noqa: E402
     extras,
@@ -118,17 +119,31 @@ def _filtered(report: Query, rules: dict[str, cf.ColumnFilter]) -> Query:
     return lambda spark, sf_dir: cf.apply_column_filters(report(spark, sf_dir), rules)
 
 
-def _exported(report: Query) -> Query:
-    """The report written by office and read back."""
+def _exported(report: Query, fmt: str, partition_by: tuple[str, ...] = ()) -> Query:
+    """A report written to files and read back."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result, path = report(spark, sf_dir), _scratch(spark, "report")
-        export_report(result, path, fmt="parquet", partition_by=["office"])
-        return spark.read.schema(result.schema).parquet(path).select(result.columns)
+        export_report(result, path, fmt=fmt, partition_by=partition_by)
+        reader = spark.read.schema(result.schema)
+        if fmt == "csv":
+            return reader.csv(path, header=True, escape='"')
+        return reader.parquet(path).select(result.columns)
 
     return run
 
 
+def _payers_with_debts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payer totals of a long list of payers: the customers with a negative balance."""
+    ledger = star.star_ledger(spark, sf_dir, (*BASE, "npwp", "payer"))
+    listed = star.read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_name")
+    return payer.payer_totals(restrict_to(ledger, "payer", listed), HALF_YEAR)
+
+
+def _largest_payers(ledger: DataFrame) -> DataFrame:
+    return payer.largest_payers(payer.payer_bands_net(ledger, HALF_YEAR))
+
+
 def _ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report on the stored ledger, reading only the month partitions of its windows."""
     path = _scratch(spark, "ledger")
@@ -223,6 +238,8 @@ def queries() -> dict[str, Query]:
         "payer_bands_net_all_dates": _report(
             payer.payer_bands_net, "npwp", "payer", flt=ALL_DATES
         ),
+        "largest_payers": _report(_largest_payers, "npwp", "payer"),
+        "payer_totals_of_listed": _payers_with_debts,
         "payer_totals": _report(payer.payer_totals, "npwp", "payer", **flt),
         "payer_totals_all_dates": _report(payer.payer_totals, "npwp", "payer", flt=ALL_DATES),
         "office_attainment": _report(office.office_attainment, "office", dims=targets, **flt),
@@ -294,7 +311,8 @@ def queries() -> dict[str, Query]:
                 "paid_on": cf.DateRange(dt.date(2000, 2, 10), dt.date(2000, 4, 20)),
             },
         ),
-        "export_report": _exported(top10),
+        "export_report": _exported(top10, "parquet", ("office",)),
+        "export_report_csv": _exported(daily, "csv"),
         "ledger_table": _ledger_table,
     }
 

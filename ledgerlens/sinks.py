@@ -18,7 +18,8 @@ def export_report(
 ) -> None:
     """Write a report as CSV with a header line, or as Parquet, in parallel.
 
-    CSV files keep empty text and missing values apart by quoting the former.
+    In CSV empty text is a pair of quotes and a missing value is nothing at all; quotes
+    inside text are doubled.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
@@ -26,6 +27,6 @@ def export_report(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.csv(path, header=True, nullValue="", emptyValue='""', escape='"')
+        writer.csv(path, header=True, escape='"')
     else:
         writer.parquet(path)

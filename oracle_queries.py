@@ -602,6 +602,10 @@ moves as (
         "payer_bands_net": _bands(_payers_net(CY), "net", "gross", ["net", "gross"]),
         "payer_bands_net_all_dates": _bands(_payers_net("true"), "net", "gross", ["net", "gross"]),
         "payer_totals": _with("select * from payers", _payers_net(CY)),
+        "payer_totals_of_listed": _with(
+            "select * from payers where payer in (select c_name from customer where c_acctbal < 0)",
+            _payers_net(CY),
+        ),
         "payer_totals_all_dates": _with("select * from payers", _payers_net("true")),
         "office_attainment": _with(
             f"""select office, target_cy, target_py, net_py, net_cy,
@@ -740,6 +744,8 @@ master as (
         ),
     }
     q["export_report"] = q["top10_payers_per_office"]
+    q["export_report_csv"] = q["sector_daily"]
+    q["largest_payers"] = f"select * from ({q['payer_bands_net']}) where row_kind = 'payer'"
     q["ledger_table"] = q["sector_payer_yoy"]
     return q
 

@@ -163,13 +163,11 @@ def test_export_keeps_missing_and_empty_text_apart(spark, tmp_path):
     )
     path = str(tmp_path / "csv")
     export_report(report, path)
-    back = spark.read.schema(report.schema).csv(
-        path, header=True, nullValue="", emptyValue='""', escape='"'
-    )
+    back = spark.read.schema(report.schema).csv(path, header=True, escape='"')
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
     assert text.startswith("k,t,n\n")
+    assert 'b,"",\n' in text and "c,,3\n" in text
     assert {(r.k, r.n) for r in back.collect()} == {("a", 1), ("b", None), ("c", 3)}
-    assert 'b,"",' in text.replace('""""""', '""') and "c,,3" in text
     assert back.where("k = 'a'").first().t == 'say "x", y'
 
 
