@@ -1,5 +1,5 @@
 from ledgerlens.sources.jdbc import read_ledger_jdbc
 from ledgerlens.sources.star import star_ledger
-from ledgerlens.sources.table import read_ledger, write_ledger
+from ledgerlens.sources.table import compact_ledger, read_ledger, write_ledger
 
-__all__ = ["read_ledger", "read_ledger_jdbc", "star_ledger", "write_ledger"]
+__all__ = ["compact_ledger", "read_ledger", "read_ledger_jdbc", "star_ledger", "write_ledger"]

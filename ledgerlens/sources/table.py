@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -50,7 +51,7 @@ def month_predicate(flt: LedgerFilter) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str, flt: LedgerFilter | None = None) -> DataFrame:
-    """A stored ledger; with a filter only the month partitions of its windows are listed.
+    """A stored ledger; with a filter only the month partitions of its windows are read.
 
     A Parquet ledger laid out in another way is read as it is.
     """
@@ -58,3 +59,16 @@ def read_ledger(spark: SparkSession, path: str, flt: LedgerFilter | None = None)
     if flt is not None and MONTH_PARTITION in ledger.columns:
         ledger = ledger.where(month_predicate(flt))
     return ledger.drop(MONTH_PARTITION)
+
+
+def compact_ledger(ledger: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A smaller ledger of the same meaning: one row per combination of ``columns``.
+
+    Reports depend on a ledger only through sums of ``nominal`` and through which
+    combinations occur, so every report that uses no other columns gives the same result on
+    the compact ledger. Written once without payer columns it answers all reports by
+    sector, tax type, office and month from a table that grows with the days and the code
+    lists instead of the payments.
+    """
+    keys = [c for c in columns if c != "nominal"]
+    return ledger.groupBy(*keys).agg(F.sum("nominal").alias("nominal"))

@@ -747,6 +747,7 @@ master as (
     q["export_report_csv"] = q["sector_daily"]
     q["largest_payers"] = f"select * from ({q['payer_bands_net']}) where row_kind = 'payer'"
     q["ledger_table"] = q["sector_payer_yoy"]
+    q["ledger_table_compact"] = q["sector_month_yoy"]
     return q
 
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import LedgerFilter
-from ledgerlens.plans import kpi, office, payer, sector, subsector, tax_type
-from ledgerlens.sources import star_ledger
-from ledgerlens.sources.star import star_sector_labels
+from ledgerlens.plans import kpi, office, payer, sector, subsector, tax_type, trend
+from ledgerlens.sources import compact_ledger, star_ledger
+from ledgerlens.sources.star import star_sector_labels, star_targets
 from tests.conftest import SF_DIR
 
 
@@ -103,3 +103,27 @@ def test_ordered_variants_hold_the_same_rows(ledger, labels, flt):
         assert report(True).exceptAll(report(False)).count() == 0
     nets = [r.net for r in payer.payer_totals(ledger, flt, ordered=True).collect()]
     assert nets == sorted(nets, reverse=True)
+
+
+def test_compact_ledger_gives_the_same_reports(spark, ledger, labels, flt):
+    targets = star_targets(spark, SF_DIR)
+    compact = compact_ledger(
+        ledger,
+        ["paid_on", "pay_year", "pay_month", "kind", "office", "sector", "tax_type", "segment"],
+    ).cache()
+    assert compact.count() < ledger.count()
+    chosen = LedgerFilter(flt.start, flt.end, segments=["1-URGENT"], sectors=["BUILDING"])
+    for report in (
+        lambda x: kpi.kpi_cards(x, targets, flt),
+        lambda x: kpi.kpi_totals(x, chosen),
+        lambda x: kpi.receipt_kind_yoy(x, flt),
+        lambda x: trend.monthly_trend(x, targets, chosen),
+        lambda x: trend.monthly_growth(x, flt),
+        lambda x: sector.sector_month_yoy(x, labels, flt),
+        lambda x: tax_type.tax_type_yoy(x, chosen),
+        lambda x: office.office_attainment(x, targets, flt),
+        lambda x: subsector.sector_tax_flow_links(x, flt),
+    ):
+        full, small = report(ledger), report(compact)
+        assert full.columns == small.columns
+        assert full.exceptAll(small).count() == small.exceptAll(full).count() == 0

@@ -10,7 +10,7 @@ from tests.check import executed_plan
 from tests.conftest import SF_DIR
 
 QUERIES = registry.queries()
-WRITES_FIRST = {"export_report", "export_report_csv", "ledger_table"}
+WRITES_FIRST = {"export_report", "export_report_csv", "ledger_table", "ledger_table_compact"}
 REPORTS = sorted(set(QUERIES) - WRITES_FIRST)
 # Without the variants that differ in their filter or display only.
 VARIANTS = ("_chosen", "_all_dates", "_labels", "_of_sector", "_as_refund", "_by_growth", "_daily")
