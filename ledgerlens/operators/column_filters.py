@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: a column with fewer distinct values is filtered by choosing among them.
+# A column with fewer distinct values is filtered by choosing among them; a
+# number range is divided into this many steps.
 FEW_VALUES = 10
+RANGE_STEPS = 100
 
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 # Fewer than FEW_VALUES values fill at most that many registers of the sketch, so its
@@ -153,7 +155,7 @@ def column_profile(df: DataFrame) -> DataFrame:
             "choices",
             "if(filter_kind = 'number', low, null) as low",
             "if(filter_kind = 'number', high, null) as high",
-            "if(filter_kind = 'number', (high - low) / 100, null) as step",
+            f"if(filter_kind = 'number', (high - low) / {RANGE_STEPS}, null) as step",
             "if(filter_kind = 'date', first, null) as first",
             "if(filter_kind = 'date', last, null) as last",
         )
