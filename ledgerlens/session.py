@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 _TARGET_PARTITION_BYTES = 128 * 1024**2
 
@@ -40,3 +42,45 @@ def configure(spark: SparkSession, shuffle_bytes: int) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder shared by all executors that the cluster names, if it names one."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Where work files go: the folder the cluster shares, else one below the warehouse.
+
+    Both are visible to the driver and to every executor; a machine-local folder is not.
+    """
+    return shared_dir(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in :func:`scratch_dir`; pass it to :func:`remove_at_exit` once written."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the written ``path`` removed when the session's JVM ends."""
+    files, location = _file_system(spark, path)
+    files.deleteOnExit(location)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path that nothing reads any more."""
+    files, location = _file_system(spark, path)
+    files.delete(location, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` computed once into a scratch table, and that table's path.
+
+    Reading it again needs nothing of what made it, so a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
