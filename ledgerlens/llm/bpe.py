@@ -193,10 +193,11 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         pieces = _vocabulary(path).pieces
-        return pa.array(
+        texts = [
             b"".join([pieces[i] for i in row.as_py() or ()]).decode("utf-8", "replace")
             for row in column
-        )
+        ]
+        return pa.array(texts, pa.string())
 
     return decode(ids)
 
@@ -208,9 +209,8 @@ def ids_digest(ids: Column) -> Column:
     def digest(column: pa.Array) -> pa.Array:
         values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
         ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        starts = np.concatenate([[0], ends[:-1]])
-        return pa.array(
-            hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends)
-        )
+        starts = ends - np.diff(ends, prepend=0)
+        digests = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends)]
+        return pa.array(digests, pa.string())
 
     return digest(ids)

@@ -199,7 +199,7 @@ def scored(vectors: Column, model: QualityModel) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         rows = column.flatten().to_numpy().reshape(-1, len(STATISTICS))
-        return pa.array(model.score(rows))
+        return pa.array(model.score(rows), pa.float64())
 
     return score(vectors)
 
@@ -210,7 +210,7 @@ def scored_text(text: Column, model: QualityModel) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         rows = np.array([document_vector(t.as_py()) for t in column]).reshape(-1, len(STATISTICS))
-        return pa.array(model.score(rows))
+        return pa.array(model.score(rows), pa.float64())
 
     return score(text)
 

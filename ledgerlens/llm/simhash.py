@@ -203,7 +203,8 @@ def one_of_each(
     ids = known.groupBy(id_col).agg(
         F.count("*").alias("n"), F.min(F.col(id_col) != F.col("component_id")).alias("goes")
     )
-    kept = docs.join(ids.where("goes").select(id_col), id_col, "left_anti").select(docs.columns)
+    kept = docs.join(ids.where("goes").select(id_col), id_col, "left_anti")
+    kept = kept.select([F.col(f"`{c}`") for c in docs.columns])
     if ids.where("n > 1").isEmpty():
         return kept
     with_id = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])

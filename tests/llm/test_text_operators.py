@@ -1,0 +1,311 @@
+"""BPE, quality, personal data and secrets against plain versions and libraries."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ledgerlens.llm import bpe, pii, quality, queries, secrets
+from tests.conftest import SF_DIR
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
+# --- BPE ---------------------------------------------------------------------------------------
+
+
+def test_round_trip_digests_match_the_library(spark, library, texts):
+    rows = queries.op1_bpe(spark, SF_DIR).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = library.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        text = library.decode(ids, skip_special_tokens=False)
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \n\t'sdé<|endoftext|>")))
+def test_any_text_encodes_as_in_the_library(text):
+    ids = bpe.encoder(PATH)(text).tolist()
+    assert ids == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>a <|endoftext|><|endoftext|>", "\x1c \x85 b", "I'LL'll"])
+def test_control_strings_and_odd_space(library, text):
+    assert bpe.encoder(PATH)(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_take_the_same_merges_from_a_heap():
+    vocabulary = bpe.Vocabulary(PATH)
+    rng = random.Random(5)
+    for _ in range(50):
+        word = "".join(rng.choice("abcde th") for _ in range(rng.randint(1, 400))).encode()
+        parts = [vocabulary.byte_ids[b] for b in word]
+        assert vocabulary._merge_heap(list(parts)) == vocabulary._merge_scan(list(parts))
+
+
+def test_bpe_odd_rows(odd_documents, no_documents, library):
+    encoded = bpe.encode(odd_documents, PATH)
+    rows = encoded.withColumn("back", bpe.decoded(F.col("ids"), PATH)).collect()
+    want = sorted(map(str, [r["text"] or "" for r in odd_documents.collect()]))
+    assert sorted(r["back"] for r in rows) == want
+    for r in rows:
+        assert r["ids"] == library.encode(r["back"], add_special_tokens=False).ids
+    assert queries.bpe_round_trip(no_documents, PATH).collect() == []
+
+
+# --- quality -------------------------------------------------------------------------------------
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op2_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 500
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_held_out_is_the_remainder_of_the_id(spark):
+    for row in queries.op2_quality(spark, SF_DIR).collect():
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+
+
+def test_model_equals_plain_quadratic_discriminant():
+    rng = np.random.default_rng(1)
+    size = len(quality.STATISTICS)
+    x = {c: rng.normal(c, 1 + c, (200, size)) @ rng.normal(size=(size, size)) for c in (0, 1)}
+    moments = {
+        c: np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).ravel()]) for c, v in x.items()
+    }
+    model = quality.model_from_moments(moments, size)
+    covariances = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = (covariances[0] + covariances[1]) / 2
+    points, logs = rng.normal(size=(20, size)), []
+    for c in (0, 1):
+        s = (1 - quality.POOLED_SHARE) * covariances[c] + quality.POOLED_SHARE * pooled
+        s = (1 - quality.IDENTITY_SHARE) * s
+        s += quality.IDENTITY_SHARE * np.trace(s) / (1 - quality.IDENTITY_SHARE) / size * np.eye(size)
+        d = points - x[c].mean(axis=0)
+        logs.append(-0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.sum(d @ np.linalg.inv(s) * d, axis=1))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    assert np.allclose(model.score(points), want)
+
+
+@pytest.mark.parametrize("labels, score", [([], 0.5), ([(1, 1), (7, 1)], 1.0), ([(1, 0)], 0.0)])
+def test_missing_classes(spark, odd_documents, labels, score):
+    labels = spark.createDataFrame(labels + [(5, None), (6, 9)], "doc_id bigint, quality int")
+    vectors = quality.statistics(odd_documents)
+    model = quality.fit_labels(vectors, labels)
+    rows = vectors.select(quality.scored(F.col("x"), model).alias("s")).collect()
+    trained = [i for i in (1, 7) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) == 13 and trained
+    assert {r["s"] for r in rows} == {score}
+
+
+def test_quality_of_nothing(spark, no_documents):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    model = quality.fit_labels(quality.statistics(no_documents), labels)
+    assert no_documents.where(quality.scored_text(F.col("text"), model) > 0).collect() == []
+
+
+def test_scoring_text_in_place_equals_scoring_statistics(spark, odd_documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit_labels(quality.statistics(docs), labels)
+    a = quality.statistics(odd_documents).select(quality.scored(F.col("x"), model)).collect()
+    b = odd_documents.select(quality.scored_text(F.col("text"), model)).collect()
+    assert sorted(r[0] for r in a) == pytest.approx(sorted(r[0] for r in b))
+
+
+# --- personal data -------------------------------------------------------------------------------
+
+
+def luhn(digits):
+    values = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(v // 10 + v % 10 for v in values) % 10 == 0
+
+
+def plain_pii(text):
+    spans = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        spans.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            spans.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            spans.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            spans.append(("phone", *m.span()))
+    return spans
+
+
+ALPHABETS = ["a1.@-+ 2", "01.+ -()", "0123456789 -", "4 1-", "a@.b@c", "256.01"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_base_spans_of_random_texts(alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120)))
+        assert pii.base_spans(text) == plain_pii(text)
+
+
+DISGUISED = [
+    ("doe at example dot com", "email"),
+    ("j.d [at] host (dot) org", "email"),
+    ("user(at)mail.host.org", "email"),
+    ("a&#64;b.com", "email"),
+    ("jоhn@exаmple.com", "email"),
+    ("jane@exam​ple.com", "email"),
+    ("plus four nine one seven two five five five one two three four five", "phone"),
+    ("+4 nine 1 seven 2 five five five one", "phone"),
+    ("４１１１ 1111 1111 1111", "card"),
+    ("4111​111111111111", "card"),
+    ("four one one one one one one one one one one one one one one one", "card"),
+    ("one nine two [dot] 1 6 8 [dot] one [dot] two zero", "ip"),
+]
+
+
+@pytest.mark.parametrize("disguise, kind", DISGUISED)
+def test_disguises_are_found_at_their_place(disguise, kind):
+    before, after = "Grüße ​, see ", " , and so on."
+    base, added = pii.find_spans(before + disguise + after)
+    span = pii.Span(kind, len(before), len(before) + len(disguise))
+    if kind == "email" and base:  # a plain part of the address stays, the whole is added
+        assert all(s.start >= span.start and s.end <= span.end for s in base)
+    assert span in added
+
+
+def test_plain_prose_is_left_alone(texts):
+    assert pii.find_spans("We met at the dot on the map, one or two of us; un dos tres.") == ([], [])
+    assert all(not pii.find_spans(t)[1] for t in texts.values())
+
+
+def test_pii_query(spark, texts):
+    for row in queries.op3_pii(spark, SF_DIR).collect():
+        want = plain_pii(texts[row["doc_id"]])
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) <= set(row["spans"].split(","))
+        for kind in pii.KINDS:
+            assert row[f"n_{kind}"] == sum(s[0] == kind for s in want)
+
+
+# --- secrets -------------------------------------------------------------------------------------
+
+
+def plain_secrets(text):
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [("assign", *m.span()) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 6]
+    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+@pytest.mark.parametrize("alphabet", ["abcdef0123456789G", "AKIA1 Z", None])
+def test_base_secrets_of_random_texts(alphabet):
+    rng = random.Random(alphabet)
+    words = alphabet or ["token", "=", ":", '"', " ", "API_", "key", "Secret", "abc123", "ſ", "."]
+    for _ in range(1500):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(0, 120)))
+        assert secrets.base_spans(text) == plain_secrets(text)
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+KEY = der(0x30, der(2, b"\0"), der(2, bytes(range(1, 200))), der(2, b"\1\0\1"))
+
+
+def b64(data, url=False):
+    return (base64.urlsafe_b64encode if url else base64.b64encode)(data).decode()
+
+
+def jwt(header, claims, signature=b"s" * 32):
+    parts = [json.dumps(header).encode(), json.dumps(claims).encode(), signature]
+    return ".".join(b64(p, url=True).rstrip("=") for p in parts)
+
+
+def ssh(*fields):
+    return "".join(["AAAA", b64(b"".join(len(f).to_bytes(4, "big") + f for f in fields))[4:]])
+
+
+STRUCTURED = [
+    ("pem", f"-----BEGIN KEY-----\n{b64(KEY)}\n-----END KEY-----"),
+    ("sshkey", ssh(b"ssh-ed25519", bytes(range(32)))),
+    ("token", jwt({"alg": "HS256"}, {"sub": "1"})),
+    ("der", b64(KEY)),
+    ("hexkey", KEY.hex()),
+    ("hexkey", KEY.hex().upper()),
+]
+
+
+@pytest.mark.parametrize("kind, secret", STRUCTURED)
+def test_structured_secrets_are_confirmed(kind, secret):
+    _, added = secrets.find_spans(f"é {secret} , and")
+    assert secrets.Span(kind, 2, 2 + len(secret)) in added
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"-----BEGIN KEY-----\n{b64(KEY[:-3])}\n-----END KEY-----",
+        ssh(b"ssh-ed25519", bytes(range(32)))[:-4] + "====",
+        jwt({"typ": "x"}, {"sub": "1"}),
+        jwt({"alg": "HS256"}, [1]),
+        jwt({"alg": "HS256"}, {"sub": "1"}, b"short"),
+        b64(KEY[:-5] + b"12345678"),
+        KEY.hex()[:-2],
+        "M" + "abcd" * 20,
+    ],
+)
+def test_broken_structures_are_not(text):
+    assert secrets.find_spans(f" {text} ")[1] == []
+
+
+def test_secrets_query(spark, texts):
+    for row in queries.op4_secrets(spark, SF_DIR).collect():
+        want = plain_secrets(texts[row["doc_id"]])
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) <= set(row["spans"].split(","))
+        assert row["n_hex"] == sum(s[0] == "hex" for s in want)
+
+
+@pytest.mark.parametrize("operator", [pii, secrets])
+def test_scanners_odd_rows(operator, odd_documents, no_documents):
+    rows = operator.find(odd_documents).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(
+        str(r["doc_id"]) for r in odd_documents.collect()
+    )
+    assert all(r["spans"] == [] for r in rows if r["doc_id"] in (2, 3, 4))
+    assert operator.find(no_documents).collect() == []
