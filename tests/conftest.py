@@ -18,11 +18,14 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     builder = SparkSession.builder.master("local[8]").appName("ledgerlens-tests")
     for key, value in session_conf(shuffle_bytes=0, cores=8).items():
         builder = builder.config(key, value)
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.checkpoint.dir", str(shared))
+    builder = builder.config("spark.sql.warehouse.dir", str(shared / "warehouse"))
     session = builder.config("spark.sql.maxMetadataValueLength", "1000").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

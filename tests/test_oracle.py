@@ -6,8 +6,8 @@ import __spark_entry__ as registry
 from tests.check import connect, row_differences
 from tests.conftest import SF_DIR
 
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registry.ledger_queries()
+SQL = registry.oracle_queries.build()
 
 
 @pytest.fixture(scope="module")

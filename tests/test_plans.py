@@ -9,7 +9,7 @@ import __spark_entry__ as registry
 from tests.check import executed_plan
 from tests.conftest import SF_DIR
 
-QUERIES = registry.queries()
+QUERIES = registry.ledger_queries()
 WRITES_FIRST = {"export_report", "export_report_csv", "ledger_table", "ledger_table_compact"}
 REPORTS = sorted(set(QUERIES) - WRITES_FIRST)
 # Without the variants that differ in their filter or display only.
