@@ -39,7 +39,7 @@ _ASCII_PATTERN = (
 #: Bytes up to which a word is merged by scanning.
 SHORT_WORD = 256
 #: Words whose ids a Python worker remembers; the older half goes when there are more.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 
 _NO_MERGE = 1 << 62
 
