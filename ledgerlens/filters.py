@@ -45,6 +45,11 @@ class LedgerFilter:
     segments: Sequence[str] = ()
     payers: Sequence[str] = ()
 
+    @classmethod
+    def of_year(cls, year: int) -> LedgerFilter:
+        """The window of one calendar year."""
+        return cls(dt.date(year, 1, 1), dt.date(year, 12, 31))
+
     @property
     def prior_start(self) -> dt.date | None:
         return one_year_earlier(self.start) if self.start else None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -66,19 +66,25 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _as_time(field: T.StructField) -> str:
-    """The column as a timestamp without time zone; NULL where it is none."""
+def _as_time(field: T.StructField, formats: Sequence[str]) -> str:
+    """The column as a timestamp without time zone; NULL where it is none.
+
+    Text is tried as an ISO date first and then by each of the formats.
+    """
     name = _name(field.name)
-    if isinstance(field.dataType, T.StringType):
-        name = f"if({name} rlike r'{_ISO_DATE}', {name}, null)"
-    return f"try_cast({name} as timestamp_ntz)"
+    if not isinstance(field.dataType, T.StringType):
+        return f"try_cast({name} as timestamp_ntz)"
+    tries = [f"try_cast(if({name} rlike r'{_ISO_DATE}', {name}, null) as timestamp_ntz)"]
+    for pattern in formats:
+        tries.append(f"cast(try_to_timestamp({name}, {_text(pattern)}) as timestamp_ntz)")
+    return f"coalesce({', '.join(tries)})"
 
 
 def _is_time(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _columns_at_a_glance(df: DataFrame) -> DataFrame:
+def _columns_at_a_glance(df: DataFrame, formats: Sequence[str]) -> DataFrame:
     """One pass over all columns: sketched distinct count, missing values, kind and range."""
     times, sums, rows = [], [], []
     for i, field in enumerate(df.schema.fields):
@@ -98,7 +104,7 @@ def _columns_at_a_glance(df: DataFrame) -> DataFrame:
         elif _is_time(dtype) or isinstance(dtype, T.StringType):
             kind = f"if(present_{i} > 0 and times_{i} = present_{i}, 'date', 'text')"
             first, last = f"first_{i}", f"last_{i}"
-            times.append(f"{_as_time(field)} as _time_{i}")
+            times.append(f"{_as_time(field, formats)} as _time_{i}")
             sums += [
                 f"count(_time_{i}) as times_{i}",
                 f"min(_time_{i}) as first_{i}",
@@ -116,19 +122,20 @@ def _columns_at_a_glance(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
     """How each column of a report can be filtered, one row per column.
 
     ``filter_kind`` is ``membership`` for fewer than ten distinct values (with the choices),
     ``number`` or ``date`` (with the range and, for numbers, the slider step) or ``text``.
-    Text in which every value is an ISO date counts as a date.
+    Text in which every value is a date counts as a date. ISO dates are recognised;
+    ``date_formats`` lists further patterns such as ``dd/MM/yyyy``, tried in order.
 
     Distinct counts are exact without shuffling the values of high-cardinality columns: a
     first pass sketches all columns at once and rules out those that certainly have ten or
     more values; a second pass turns only the others into (column, value) rows, which
     map-side aggregation reduces to a handful per task.
     """
-    columns = _columns_at_a_glance(df)
+    columns = _columns_at_a_glance(df, date_formats)
     candidates = columns.where(F.col("approx") <= _SKETCH_BOUND).agg(F.collect_list("column_no"))
     cells = ", ".join(
         f"if(array_contains(_candidates, {i}),"
@@ -162,7 +169,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _predicate(df: DataFrame, name: str, rule: ColumnFilter) -> Column:
+def _predicate(df: DataFrame, name: str, rule: ColumnFilter, formats: Sequence[str]) -> Column:
     column = F.col(_name(name))
     if isinstance(rule, Membership):
         present = [v for v in rule.values if v is not None]
@@ -174,12 +181,16 @@ def _predicate(df: DataFrame, name: str, rule: ColumnFilter) -> Column:
         low, high = (
             F.lit(v.isoformat()).cast("timestamp_ntz") for v in (rule.low, rule.high)
         )
-        return F.expr(_as_time(df.schema[name])).between(low, high)
+        return F.expr(_as_time(df.schema[name], formats)).between(low, high)
     return column.rlike(rule.pattern) if rule.pattern else F.lit(True)
 
 
-def apply_column_filters(df: DataFrame, rules: Mapping[str, ColumnFilter]) -> DataFrame:
-    """Rows of a report that satisfy the rule of every named column."""
-    return df.where(
-        reduce(and_, [_predicate(df, name, rule) for name, rule in rules.items()], F.lit(True))
-    )
+def apply_column_filters(
+    df: DataFrame, rules: Mapping[str, ColumnFilter], date_formats: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of a report that satisfy the rule of every named column.
+
+    Text compared with a date range is read as :func:`column_profile` reads it.
+    """
+    tests = [_predicate(df, name, rule, date_formats) for name, rule in rules.items()]
+    return df.where(reduce(and_, tests, F.lit(True)))

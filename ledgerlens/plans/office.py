@@ -121,10 +121,11 @@ def officer_contribution(
 ) -> DataFrame:
     """Gross without refunds per account officer and its share of section, office and region.
 
+    The year of a payment is that of its date, so the dates of the year limit the scan.
     Sections are compared by name alone, so offices using the same section name share
     one denominator.
     """
-    rows = ledger.where((F.col("pay_year") == year) & gross_ex_refund())
+    rows = ledger.where(LedgerFilter.of_year(year).in_cy() & gross_ex_refund())
     if excluded_offices:
         rows = rows.where(~F.col("office").isin(list(excluded_offices)))
     officers = rows.groupBy("office", "section", "officer").agg(F.sum("nominal").alias("gross"))

@@ -13,9 +13,9 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("pay_month", T.IntegerType(), False),
         T.StructField("nominal", T.LongType(), False),
         T.StructField("kind", T.StringType(), False),
-        T.StructField("office", T.StringType(), False),
-        T.StructField("section", T.StringType(), False),
-        T.StructField("officer", T.StringType(), False),
+        T.StructField("office", T.StringType()),
+        T.StructField("section", T.StringType()),
+        T.StructField("officer", T.StringType()),
         T.StructField("tax_type", T.StringType()),
         T.StructField("deposit_code", T.StringType()),
         T.StructField("sector", T.StringType()),

@@ -10,21 +10,43 @@ from ledgerlens.filters import LedgerFilter
 from ledgerlens.schema import from_legacy_columns
 
 
-def date_slices(flt: LedgerFilter, days: int = 31, column: str = "paid_on") -> list[str]:
+def date_slices(
+    flt: LedgerFilter,
+    days: int = 31,
+    column: str = "paid_on",
+    span: tuple[dt.date, dt.date] | None = None,
+) -> list[str]:
     """Disjoint SQL conditions that together cover both windows of a filter.
 
-    Each condition becomes one read task, so the date filter runs inside the database
-    and no task reads more than ``days`` days.
+    Each condition becomes one read task, so the date filter runs inside the database. Slices
+    are half-open, so a time of day belongs to exactly one of them. A bounded window is cut
+    every ``days`` days. A side without a bound is one more slice beyond the first or last
+    day of ``span``, the dates the table is known to hold; without ``span`` it is not cut.
+    A filter without any dates also reads the rows without a date.
     """
-    if flt.start is None or flt.end is None:
-        raise ValueError("date slices need a filter with a start and an end")
     slices = []
     for start, end in flt.windows():
-        lower = start
-        while lower <= end:
-            upper = min(lower + dt.timedelta(days=days - 1), end)
-            slices.append(f"{column} >= DATE '{lower}' AND {column} <= DATE '{upper}'")
-            lower = upper + dt.timedelta(days=1)
+        first, last = start, end
+        if span is not None:
+            first, last = start or span[0], end or span[1]
+            if start is None and end is not None:
+                first = min(first, end + dt.timedelta(days=1))
+        elif start is None or end is None:
+            first = last = start or end
+        if first is None:
+            return ["1 = 1"]
+        after = last + dt.timedelta(days=1) if end or span else first
+        if start is None:
+            slices.append(f"{column} < DATE '{first}'")
+        lower = first
+        while lower < after:
+            upper = min(lower + dt.timedelta(days=days), after)
+            slices.append(f"{column} >= DATE '{lower}' AND {column} < DATE '{upper}'")
+            lower = upper
+        if end is None:
+            slices.append(f"{column} >= DATE '{max(after, first)}'")
+    if flt.start is None and flt.end is None:
+        slices.append(f"{column} IS NULL")
     return slices
 
 
@@ -36,15 +58,18 @@ def read_ledger_jdbc(
     properties: dict[str, str] | None = None,
     days_per_task: int = 31,
     legacy_names: bool = False,
+    span: tuple[dt.date, dt.date] | None = None,
 ) -> DataFrame:
-    """A database ledger restricted to both windows of a filter.
+    """A database ledger restricted to both windows of a filter, or all of it.
 
+    ``span`` names the first and last day the table is known to hold; with it a read without
+    dates runs in parallel too, and rows outside it are still read.
     With ``legacy_names`` the table uses the upper-case column names of an existing
     installation; they are renamed to the ledger schema.
     """
     column = '"DATEBAYAR"' if legacy_names else "paid_on"
     options = {"fetchsize": "10000", **(properties or {})}
     rows = spark.read.jdbc(
-        url, table, predicates=date_slices(flt, days_per_task, column), properties=options
+        url, table, predicates=date_slices(flt, days_per_task, column, span), properties=options
     )
     return from_legacy_columns(rows) if legacy_names else rows

@@ -27,8 +27,8 @@ _FROM_LINEITEM = {
     "paid_on": "cast(l_shipdate as date)",
     "pay_year": "cast(year(l_shipdate) as int)",
     "pay_month": "cast(month(l_shipdate) as int)",
-    # Prices are not negative, so this is rounding, without a decimal object per row.
-    "nominal": "cast(floor(l_extendedprice * 100 + 0.5D) as bigint)"
+    # Rounding half away from zero on either sign, without a decimal object per row.
+    "nominal": "cast(sign(l_extendedprice) * floor(abs(l_extendedprice) * 100 + 0.5D) as bigint)"
     " * (case when l_returnflag = 'R' then -1 else 1 end)",
     "kind": "case when l_returnflag = 'N' then 'MPN'"
     " when l_returnflag = 'A' and l_linestatus = 'F' then 'SPM'"
@@ -50,7 +50,7 @@ _FROM_CUSTOMER = {
     "klu": "concat(c_mktsegment, '-', cast(c_nationkey % 4 as string), '-',"
     " cast(c_custkey % 10 as string))",
     "payer": "c_name",
-    "payer_kind": "case when c_acctbal < 0 then 'BADAN' else 'OP' end",
+    "payer_kind": "case when c_acctbal < 0 then 'BADAN' when c_custkey is not null then 'OP' end",
 }
 _FROM_NATION = {"office": "n_name"}
 _FROM_PART = {"tax_type": "p_type", "deposit_code": "p_brand"}
@@ -66,10 +66,13 @@ def star_ledger(
 ) -> DataFrame:
     """The ledger over the star, joining only the tables the wanted columns come from.
 
-    Every foreign key of the star has exactly one match, so a table none of whose
-    columns is wanted neither adds nor drops rows and its join is left out. Joins carry
-    no hints: sides below the broadcast threshold are broadcast, larger ones are shuffled
-    on their key and adaptive execution splits hot keys.
+    Joins are left joins on the key of the other table: a row whose order, customer, nation
+    or part is absent stays, with NULL in what would come from there, and a table none of
+    whose columns is wanted is not joined. So every report sees the same rows. Orders get
+    their customer and nation first and the payments are joined with the result, so without
+    broadcasts the payments move once by order, and once by part if that is asked for.
+    Joins carry no hints: sides below the broadcast threshold are broadcast, larger ones are
+    shuffled on their key and adaptive execution splits hot keys.
     """
     wanted = list(columns) if columns is not None else LEDGER_SCHEMA.fieldNames()
     unknown = set(wanted) - set(LEDGER_SCHEMA.fieldNames())
@@ -83,33 +86,30 @@ def star_ledger(
     via_customer = needs & _FROM_CUSTOMER.keys()
     if via_nation or via_customer or needs & _FROM_ORDERS.keys():
         orders = read_table(spark, directory, "orders")
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         available.update(_FROM_ORDERS)
-    if via_nation or via_customer:
-        customer = read_table(spark, directory, "customer")
-        if via_nation:
-            nation = read_table(spark, directory, "nation")
-            customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            available.update(_FROM_NATION)
-        rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        available.update(_FROM_CUSTOMER)
+        if via_nation or via_customer:
+            customer = read_table(spark, directory, "customer")
+            if via_nation:
+                nation = read_table(spark, directory, "nation")
+                in_nation = F.col("c_nationkey") == F.col("n_nationkey")
+                customer = customer.join(nation, in_nation, "left")
+                available.update(_FROM_NATION)
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+            available.update(_FROM_CUSTOMER)
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if needs & _FROM_PART.keys():
         part = read_table(spark, directory, "part")
-        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         available.update(_FROM_PART)
     return rows.select(*[F.expr(available[name]).alias(name) for name in wanted])
 
 
 def star_targets(spark: SparkSession, directory: str) -> DataFrame:
-    """Office targets: one row per nation but one, which stays without a target."""
-    return (
-        read_table(spark, directory, "nation")
-        .where("n_name <> 'NATION_6'")
-        .selectExpr(
-            "n_name as office",
-            "cast((n_nationkey + 1) * 100000000L as bigint) as target_cy",
-            "cast((n_nationkey + 1) * 90000000L as bigint) as target_py",
-        )
+    """Office targets: one row per nation."""
+    return read_table(spark, directory, "nation").selectExpr(
+        "n_name as office",
+        "cast((n_nationkey + 1) * 100000000L as bigint) as target_cy",
+        "cast((n_nationkey + 1) * 90000000L as bigint) as target_py",
     )
 
 
@@ -123,14 +123,10 @@ def star_sector_labels(spark: SparkSession) -> DataFrame:
 
 
 def star_payer_master(spark: SparkSession, directory: str) -> DataFrame:
-    """Taxpayer master: customers but every seventh, who stay without a master record."""
-    return (
-        read_table(spark, directory, "customer")
-        .where("c_custkey % 7 <> 0")
-        .selectExpr(
-            _FROM_ORDERS["npwp15"].replace("o_custkey", "c_custkey") + " as npwp15",
-            _FROM_CUSTOMER["payer_kind"] + " as payer_kind",
-        )
+    """Taxpayer master: one row per customer."""
+    return read_table(spark, directory, "customer").selectExpr(
+        _FROM_ORDERS["npwp15"].replace("o_custkey", "c_custkey") + " as npwp15",
+        _FROM_CUSTOMER["payer_kind"] + " as payer_kind",
     )
 
 
@@ -139,5 +135,5 @@ def star_plan(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "orders").selectExpr(
         "cast(month(o_orderdate) as int) as pay_month",
         "o_orderpriority as plan_kind",
-        "cast(floor(o_totalprice * 100 + 0.5D) as bigint) as amount",
+        "cast(sign(o_totalprice) * floor(abs(o_totalprice) * 100 + 0.5D) as bigint) as amount",
     )

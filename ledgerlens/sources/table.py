@@ -36,11 +36,11 @@ def write_ledger(ledger: DataFrame, path: str, mode: str = "error") -> None:
     )
 
 
-def month_predicate(flt: LedgerFilter) -> Column:
-    """Partitions that can hold rows of either window of a filter."""
+def month_predicate(flt: LedgerFilter, prior: bool = True) -> Column:
+    """Partitions that can hold rows of a filter's window, and of the prior one."""
     month = F.col(MONTH_PARTITION)
     ranges = []
-    for start, end in flt.windows():
+    for start, end in flt.windows() if prior else [(flt.start, flt.end)]:
         bounds = []
         if start is not None:
             bounds.append(month >= _month_of(start))
@@ -50,14 +50,17 @@ def month_predicate(flt: LedgerFilter) -> Column:
     return reduce(or_, ranges)
 
 
-def read_ledger(spark: SparkSession, path: str, flt: LedgerFilter | None = None) -> DataFrame:
+def read_ledger(
+    spark: SparkSession, path: str, flt: LedgerFilter | None = None, prior: bool = True
+) -> DataFrame:
     """A stored ledger; with a filter only the month partitions of its windows are read.
 
+    ``prior`` says whether a report needs the window a year earlier as well.
     A Parquet ledger laid out in another way is read as it is.
     """
     ledger = spark.read.parquet(path)
     if flt is not None and MONTH_PARTITION in ledger.columns:
-        ledger = ledger.where(month_predicate(flt))
+        ledger = ledger.where(month_predicate(flt, prior))
     return ledger.drop(MONTH_PARTITION)
 
 

@@ -20,30 +20,30 @@ ledger as (
          when l_returnflag = 'R' and l_linestatus = 'F' then 'PBK KIRIM'
          when l_returnflag = 'R' and l_linestatus = 'O' then 'SPMKP' end as kind,
     n_name as office,
-    concat('S', cast(c_custkey % 6 as varchar)) as section,
-    concat('AR', cast(c_custkey % 40 as varchar)) as officer,
+    'S' || cast(o_custkey % 6 as varchar) as section,
+    'AR' || cast(o_custkey % 40 as varchar) as officer,
     p_type as tax_type,
     p_brand as deposit_code,
     case when c_custkey % 97 = 0 then null else c_mktsegment end as sector,
-    concat(c_mktsegment, '-', cast(c_nationkey % 4 as varchar)) as subsector,
-    concat(c_mktsegment, '-', cast(c_nationkey % 4 as varchar), '-',
-           cast(c_custkey % 10 as varchar)) as klu,
+    c_mktsegment || '-' || cast(c_nationkey % 4 as varchar) as subsector,
+    c_mktsegment || '-' || cast(c_nationkey % 4 as varchar) || '-'
+      || cast(c_custkey % 10 as varchar) as klu,
     case when o_orderpriority = '4-NOT SPECIFIED' then '' else o_orderpriority end as segment,
-    case when c_acctbal < 0 then 'BADAN' else 'OP' end as payer_kind,
-    case when c_custkey % 50 = 0 then concat('000000000', cast(c_custkey as varchar))
-         else concat('9', cast(1000000 + c_custkey as varchar)) end as npwp15,
-    concat('N', cast(c_custkey as varchar)) as npwp,
+    case when c_acctbal < 0 then 'BADAN' when c_custkey is not null then 'OP' end as payer_kind,
+    case when o_custkey % 50 = 0 then '000000000' || cast(o_custkey as varchar)
+         else '9' || cast(1000000 + o_custkey as varchar) end as npwp15,
+    'N' || cast(o_custkey as varchar) as npwp,
     c_name as payer
   from lineitem
-  join orders on l_orderkey = o_orderkey
-  join customer on o_custkey = c_custkey
-  join nation on c_nationkey = n_nationkey
-  join part on l_partkey = p_partkey
+  left join orders on l_orderkey = o_orderkey
+  left join customer on o_custkey = c_custkey
+  left join nation on c_nationkey = n_nationkey
+  left join part on l_partkey = p_partkey
 ),
 targets as (
   select n_name as office, (cast(n_nationkey as bigint) + 1) * 100000000 as target_cy,
          (cast(n_nationkey as bigint) + 1) * 90000000 as target_py
-  from nation where n_name <> 'NATION_6'
+  from nation
 ),
 labels as (
   select * from (values ('FURNITURE', 'FURN'), ('BUILDING', 'BLDG'),
@@ -408,7 +408,7 @@ listed as (
 
 
 def _profile(report: str, columns: list[tuple[str, str]]) -> str:
-    """One row per column; ``columns`` pairs each name with number, date or text."""
+    """One row per column; ``columns`` pairs each name with number, date (:pattern) or text."""
     rows = []
     for name, kind in columns:
         low, high, first, last = "null::double", "null::double", "null", "null"
@@ -416,6 +416,9 @@ def _profile(report: str, columns: list[tuple[str, str]]) -> str:
             low, high = f"min({name})::double", f"max({name})::double"
         if kind == "date":
             first, last = f"min({name})::timestamp", f"max({name})::timestamp"
+        if kind.startswith("date:"):
+            kind, pattern = kind.split(":")
+            first, last = (f"{f}(strptime({name}, '{pattern}'))" for f in ("min", "max"))
         rows.append(
             f"""select '{name}' as column_name, '{kind}' as kind,
               count(*) > count({name}) as has_missing, count(distinct {name}) as n,
@@ -690,6 +693,18 @@ pairs as (
 report as (select paid_on, sector, cast(sum(nominal) as bigint) as gross
            from ledger where {GROSS2} and {CY} group by paid_on, sector)""",
         ),
+        "column_profile_date_text": _with(
+            _profile("report", [("paid_on", "date:%d/%m/%Y"), ("sector", "text"), ("gross", "number")]),
+            f"""
+report as (select strftime(paid_on, '%d/%m/%Y') as paid_on, sector, cast(sum(nominal) as bigint) as gross
+           from ledger where {GROSS2} and {CY} group by paid_on, sector)""",
+        ),
+        "apply_column_filters_date_text": _with(
+            f"""select strftime(paid_on, '%d/%m/%Y') as paid_on, sector, gross from (
+              select paid_on, sector, cast(sum(nominal) as bigint) as gross
+              from ledger where {GROSS2} and {CY} group by paid_on, sector)
+            where paid_on between date '2000-02-10' and date '2000-04-20'"""
+        ),
         "apply_column_filters": _with(
             f"""select * from (select *, {RISES} from sectors)
             where sector in ('BLDG', 'HOME') and gross_cy between 1000000 and 30000000
@@ -720,7 +735,7 @@ master as (
   select case when c_custkey % 50 = 0 then concat('000000000', cast(c_custkey as varchar))
          else concat('9', cast(1000000 + c_custkey as varchar)) end as npwp15,
     case when c_acctbal < 0 then 'BADAN' else 'OP' end as payer_kind
-  from customer where c_custkey % 7 <> 0
+  from customer
 )""",
         ),
         "plan_vs_actual": f"""

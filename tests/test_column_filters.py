@@ -1,6 +1,9 @@
 import datetime as dt
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import column_filters as cf
 
 
@@ -62,6 +65,19 @@ def test_dates_and_date_text(spark):
     assert p["t"]["first"] == dt.datetime(2024, 1, 1, 10)
 
 
+@pytest.mark.parametrize("pattern", ["dd/MM/yyyy", "yyyyMMdd"])
+def test_date_text_in_other_formats(spark, pattern):
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=7 * i) for i in range(12)]
+    rows = spark.createDataFrame([(d,) for d in days], "d date").select(
+        F.date_format("d", pattern).alias("d")
+    )
+    assert cf.column_profile(rows).first().filter_kind == "text"
+    found = cf.column_profile(rows, (pattern,)).first()
+    assert (found.filter_kind, found.first.date(), found["last"].date()) == ("date", days[0], days[-1])
+    kept = cf.apply_column_filters(rows, {"d": cf.DateRange(days[2], days[4])}, (pattern,))
+    assert kept.count() == 3
+
+
 def test_missing_values(spark):
     df = spark.createDataFrame([("a", None), (None, None)], "s string, n double")
     p = profile(df)

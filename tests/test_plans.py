@@ -10,8 +10,10 @@ from tests.check import executed_plan
 from tests.conftest import SF_DIR
 
 QUERIES = registry.ledger_queries()
-WRITES_FIRST = {"export_report", "export_report_csv", "ledger_table", "ledger_table_compact"}
-REPORTS = sorted(set(QUERIES) - WRITES_FIRST)
+# These read what a query has written: a finished report or the stored ledger.
+WRITTEN = {"export_report", "export_report_csv"}
+STORED = {"ledger_table", "ledger_table_compact"}
+REPORTS = sorted(QUERIES)
 # Without the variants that differ in their filter or display only.
 VARIANTS = ("_chosen", "_all_dates", "_labels", "_of_sector", "_as_refund", "_by_growth", "_daily")
 SHAPES = [n for n in REPORTS if not n.endswith(VARIANTS)]
@@ -47,10 +49,25 @@ def check_operators(plan):
 @pytest.mark.parametrize("name", REPORTS)
 def test_ledger_is_scanned_once(run, name):
     plan = run(name)[2]
-    assert fact_scans(plan) == (0 if name in ("target_totals", "plan_vs_actual") else 1)
+    without = {"target_totals", "plan_vs_actual"} | WRITTEN | STORED
+    assert fact_scans(plan) == (0 if name in without else 1)
     check_operators(plan)
 
 
+@pytest.mark.parametrize("name", sorted(STORED))
+def test_stored_ledger_is_scanned_once_and_pruned(run, name):
+    (scan,) = re.findall(r"FileScan parquet .*", run(name)[2])
+    assert re.search(r"PartitionFilters: \[.*paid_ym", scan)
+
+
+@pytest.mark.parametrize("name", sorted(STORED))
+def test_report_on_a_stored_ledger_writes_nothing_again(spark, run, name):
+    run(name)
+    before = dict(registry._STORED)
+    assert QUERIES[name](spark, SF_DIR).inputFiles()
+    assert registry._STORED == before
+
+
 @pytest.mark.parametrize("name", REPORTS)
 def test_single_partition_only_above_an_aggregate(run, name):
     """Whatever moves into one task has been aggregated or cut to a top list before."""

@@ -1,5 +1,7 @@
 """A star in which one order, customer and part hold a third of all rows."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registry
@@ -8,8 +10,8 @@ from ledgerlens.sources.star import star_ledger
 from tests.check import connect, differences, executed_plan
 from tests.test_plans import fact_scans
 
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registry.ledger_queries()
+SQL = registry.oracle_queries.build()
 # Sizes at which this small star is as skewed as a large one: nothing is broadcast, and a
 # shuffle partition counts as skewed from a few kilobytes.
 SMALL = {
@@ -86,6 +88,21 @@ SAMPLE = [
 ]
 
 
+def test_payments_move_once_for_payers_and_offices(spark, star_dir, as_if_large):
+    """Orders meet customers and nations before the payments, which move by order only."""
+    ledger = star_ledger(spark, star_dir, ["nominal", "payer", "sector", "office"])
+    ledger.write.format("noop").mode("overwrite").save()
+    plan = executed_plan(ledger)
+    fact = next(i for i, x in enumerate(plan.splitlines()) if "lineitem.parquet" in x)
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in plan.splitlines()]
+    above, at = [], depth[fact]
+    for i in range(fact, -1, -1):
+        if depth[i] < at:
+            at = depth[i]
+            above.append(plan.splitlines()[i])
+    assert sum(bool(re.search(r"\bExchange ", x)) for x in above) == 1
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_results_on_a_skewed_star(spark, star_dir, as_if_large, name):
     assert differences(QUERIES[name](spark, star_dir), connect(star_dir), SQL[name]) is None

@@ -2,15 +2,18 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from ledgerlens import LedgerFilter
 from ledgerlens.dims import office_targets, sector_labels
-from ledgerlens.plans import kpi, payer
+from ledgerlens.plans import kpi, office, payer
 from ledgerlens.schema import LEDGER_SCHEMA, LEGACY_COLUMNS, from_legacy_columns
 from ledgerlens.session import configure, session_conf, shared_dir
 from ledgerlens.sinks import export_report
 from ledgerlens.sources import read_ledger, star_ledger, write_ledger
 from ledgerlens.sources.jdbc import date_slices
+from tests.check import connect, differences, executed_plan
 from tests.conftest import SF_DIR
 
 D = dt.date
@@ -107,27 +110,39 @@ def test_ledger_in_another_layout(spark, full, flt, tmp_path):
 def test_date_slices_cover_both_windows_once():
     flt = LedgerFilter(D(2024, 1, 1), D(2024, 3, 10))
     slices = date_slices(flt, days=30)
-    assert slices[0] == "paid_on >= DATE '2023-01-01' AND paid_on <= DATE '2023-01-30'"
-    assert slices[-1] == "paid_on >= DATE '2024-03-01' AND paid_on <= DATE '2024-03-10'"
-    days = [D(2022, 12, 1) + dt.timedelta(n) for n in range(500)]
-    for day in days:
-        hits = sum(_within(day, s) for s in slices)
-        inside = flt.start <= day <= flt.end or flt.prior_start <= day <= flt.prior_end
-        assert hits == int(inside)
-
-
-def _within(day, condition):
-    low, high = (part.split("'")[1] for part in condition.split(" AND "))
-    return low <= day.isoformat() <= high
-
-
-def test_date_slices_of_overlapping_windows_do_not_overlap():
-    flt = LedgerFilter(D(2023, 1, 1), D(2024, 6, 30))
-    slices = date_slices(flt, days=31)
-    day = D(2023, 3, 1)
-    assert sum(_within(day, s) for s in slices) == 1
-    with pytest.raises(ValueError):
-        date_slices(LedgerFilter(start=D(2023, 1, 1)))
+    assert slices[0] == "paid_on >= DATE '2023-01-01' AND paid_on < DATE '2023-01-31'"
+    assert slices[-1] == "paid_on >= DATE '2024-03-01' AND paid_on < DATE '2024-03-11'"
+
+
+SLICED = [
+    (LedgerFilter(D(2024, 1, 1), D(2024, 3, 10)), None),
+    (LedgerFilter(D(2023, 1, 1), D(2024, 6, 30)), None),
+    (LedgerFilter(), None),
+    (LedgerFilter(), (D(2023, 2, 1), D(2023, 5, 5))),
+    (LedgerFilter(start=D(2024, 2, 1)), None),
+    (LedgerFilter(start=D(2024, 2, 1)), (D(2022, 1, 1), D(2024, 4, 1))),
+    (LedgerFilter(end=D(2023, 3, 1)), None),
+    (LedgerFilter(end=D(2023, 3, 1)), (D(2022, 12, 5), D(2024, 4, 1))),
+    (LedgerFilter(end=D(2022, 12, 20)), (D(2023, 12, 5), D(2024, 4, 1))),
+    (LedgerFilter(start=D(2024, 12, 1)), (D(2022, 1, 1), D(2023, 4, 1))),
+]
+
+
+@pytest.mark.parametrize("flt, span", SLICED)
+def test_every_time_of_day_is_in_one_slice(spark, flt, span):
+    """The conditions as plain SQL over times around midnight, and a missing date."""
+    start = dt.datetime(2022, 12, 1)
+    times = [start + dt.timedelta(days=n, hours=h) for n in range(600) for h in (0, 13)]
+    rows = spark.createDataFrame([(t,) for t in [*times, None]], "paid_on timestamp_ntz")
+    slices = date_slices(flt, days=30, span=span)
+    hits = " + ".join(f"coalesce(cast(({s}) as int), 0)" for s in slices)
+    day = "cast(paid_on as date) as paid_on"
+    wanted = rows.selectExpr("paid_on as at", day).where(flt.either_dates()).select("at")
+    counted = rows.selectExpr("paid_on", f"{hits} as hits")
+    assert counted.where("hits > 1").isEmpty()
+    got = counted.where("hits = 1").select("paid_on")
+    assert got.count() == wanted.count() > 0
+    assert got.exceptAll(wanted).isEmpty()
 
 
 def test_legacy_columns(spark):
@@ -195,3 +210,84 @@ def test_shuffle_partitions_follow_the_data(spark):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_export_by_value_writes_few_files(spark, tmp_path):
+    """A value gets a few files, not one for every task; a hot one is split over writers."""
+    report = spark.range(0, 200_000, 1, 40).selectExpr(
+        "if(id % 3 = 0, 0, pmod(xxhash64(id), 25)) as office", "md5(cast(id as string)) as payer"
+    )
+    path = str(tmp_path / "report")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        export_report(report, path, fmt="parquet", partition_by=["office"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.parquet(path).inputFiles()
+    of_hot = sum("office=0/" in f for f in files)
+    assert of_hot > 1
+    assert len(files) - of_hot < 24 * 4
+    assert spark.read.parquet(path).count() == 200_000
+
+
+# -- incomplete stars -----------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def holey_star(spark, tmp_path_factory):
+    """The small star without every tenth customer, order, part and nation."""
+    directory = str(tmp_path_factory.mktemp("holes"))
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "nation": "n_nationkey"}
+    for table in ("lineitem", *keys):
+        rows = spark.read.parquet(f"{SF_DIR}/{table}.parquet")
+        if table in keys:
+            rows = rows.where(f"{keys[table]} % 10 <> 3")
+        rows.write.parquet(f"{directory}/{table}.parquet")
+    return directory
+
+
+def test_no_report_loses_rows_of_an_incomplete_star(spark, holey_star):
+    flt = LedgerFilter()
+    whole = star_ledger(spark, holey_star, ["nominal"]).agg(F.sum("nominal")).first()[0]
+    full = star_ledger(spark, holey_star).cache()
+    assert full.count() == spark.read.parquet(f"{holey_star}/lineitem.parquet").count()
+    assert kpi.kpi_totals(full, flt).where("period = 'cy'").first().net == whole
+    for key in ("sector", "payer", "tax_type", "office", "officer", "payer_kind"):
+        narrow = star_ledger(spark, holey_star, ["nominal", key])
+        sums = {r[0]: r[1] for r in narrow.groupBy(key).agg(F.sum("nominal")).collect()}
+        assert sum(sums.values()) == whole
+        assert sums[None]
+        assert sums == {r[0]: r[1] for r in full.groupBy(key).agg(F.sum("nominal")).collect()}
+
+
+@pytest.mark.parametrize(
+    "name", ["kpi_totals", "sector_totals", "payer_totals", "tax_type_yoy", "officer_contribution"]
+)
+def test_reports_on_an_incomplete_star_match_sql(spark, holey_star, name):
+    made = registry.ledger_queries()[name](spark, holey_star)
+    assert differences(made, connect(holey_star), registry.oracle_queries.build()[name]) is None
+
+
+def test_officer_report_reads_the_months_of_its_year(spark, full, tmp_path):
+    path = str(tmp_path / "ledger")
+    write_ledger(full, path)
+    ledger = read_ledger(spark, path, LedgerFilter.of_year(2000), prior=False)
+    df = office.officer_contribution(ledger, 2000)
+    df.collect()
+    scan = next(x for x in executed_plan(df).splitlines() if "FileScan" in x)
+    assert re.search(r"PartitionFilters: \[.*paid_ym", scan)
+    read = ledger.select(F.input_file_name()).distinct().collect()
+    months = {r[0].split("paid_ym=")[1][:6] for r in read}
+    assert months and all(m.startswith("2000") for m in months)
+    assert df.count() == office.officer_contribution(full, 2000).count()
+
+
+def test_amounts_round_half_away_from_zero(spark, tmp_path):
+    prices = [0.125, -0.125, 2.5, -2.5, 0.0, -0.004, None]
+    rows = spark.createDataFrame([(p,) for p in prices], "l_extendedprice double").selectExpr(
+        "1L as l_orderkey", "1L as l_partkey", "l_extendedprice", "'N' as l_returnflag",
+        "'O' as l_linestatus", "timestamp_ntz'2000-01-01' as l_shipdate",
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [r.nominal for r in star_ledger(spark, str(tmp_path), ["nominal"]).collect()]
+    assert sorted(x for x in got if x is not None) == [-250, -13, 0, 0, 13, 250]
