@@ -23,15 +23,19 @@ from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.dims import local_table
 from ledgerlens.session import remove_at_exit, written
 
 #: Blocks that documents of one order of magnitude are dealt to in each old shard.
 BINS = 1024
 #: Documents that are numbered in one sort.
 NUMBERED_TOGETHER = 200_000
+_CUT_COLUMNS = {"o": pa.int32(), "start": pa.int64(), "end": pa.int64(), "shard": pa.int32()}
+_STRETCH_COLUMNS = dict.fromkeys(("to_old", "low", "high", "to_shard"), pa.int32())
 #: Bytes a document takes besides its text.
 EXTRA = 16
 
@@ -146,7 +150,7 @@ def plan(
             at += t.size
     if not cuts:
         return Layout([], [])
-    stretches = spark.createDataFrame(cuts, "o int, start long, end long, shard int")
+    stretches = local_table(spark, cuts, _CUT_COLUMNS)
     row = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.sum("size").over(row) - F.col("size") / 2
     placed = blocks.withColumn("middle", middle).join(
@@ -202,9 +206,7 @@ def reshard(
         "placed",
     )
     layout = plan(placed.groupBy("old", "block").agg(F.sum("size").alias("size")), weights, cost)
-    where = spark.createDataFrame(
-        layout.stretches, "to_old int, low int, high int, to_shard int"
-    )
+    where = local_table(spark, layout.stretches, _STRETCH_COLUMNS)
 
     def goes(old: Column, block: Column) -> Column:
         return (old == F.col("to_old")) & (block >= F.col("low")) & (block < F.col("high"))
