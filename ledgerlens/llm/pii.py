@@ -147,7 +147,9 @@ _SPELLED_PART = re.compile(rf"{_DIGIT}|[0-9]", re.IGNORECASE)
 _DIGIT_TOKENS = frozenset({*DIGIT_WORDS, *DIGIT_WORDS.values()})
 _MARKS = ("[", "(", "{", "<", "&#", "&c", "&p", "%4", "%2")
 _DOT_WORDS = (" dot ", " punto ", " punkt ", "\tdot", "\tpunto", "\tpunkt", "dot\t", "punto\t", "punkt\t")
-# Bracketed disguises stand on their own; bare words only as "name at host dot com".
+# Bracketed disguises stand on their own; bare words only as "name at host dot com", since
+# "met at the dot on the map" is prose. Endings that count (fixed values):
+_ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|dev|app|co|de|fr|es|uk|eu|ch|nl|se|ca|au|in|jp|br|mx"
 _BRACKETED = re.compile(
     r"[\[({<][ \t]{0,3}(?:(?P<at>at|arroba|chez|@)|(?P<dot>dot|punto|punkt|point|\.))"
     r"[ \t]{0,3}[\])}>][ \t]{0,3}|(?P<at2>&#64;|&commat;|%40)|(?P<dot2>&#46;|&period;|%2E)",
@@ -156,7 +158,7 @@ _BRACKETED = re.compile(
 _BARE = re.compile(
     r"(?<![\w@.])[A-Za-z0-9._%+-]+(?P<at>[ \t]{1,3}(?:at|arroba)[ \t]{1,3}|@)[A-Za-z0-9-]+"
     r"(?P<dots>(?:(?:[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}|\.)[A-Za-z0-9-]+)*"
-    r"[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}[A-Za-z0-9-]+)(?!\w)",
+    rf"[ \t]{{1,3}}(?:dot|punto|punkt)[ \t]{{1,3}}(?:{_ENDINGS}))(?![\w-])",
     re.IGNORECASE,
 )
 _BARE_DOT = re.compile(r"[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}", re.IGNORECASE)
@@ -201,7 +203,8 @@ def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
         parts = list(_SPELLED_PART.finditer(text, m.end("plus") if m["plus"] else m.start(), m.end()))
         for before, part in zip([None, *parts], parts):
             start = before.end() if before else (m.end("plus") if m["plus"] else part.start())
-            yield start, part.end(), DIGIT_WORDS.get(part[0].lower(), part[0])
+            point = "." if "." in text[start : part.start()] else ""
+            yield start, part.end(), point + DIGIT_WORDS.get(part[0].lower(), part[0])
 
 
 def _bracket_edits(text: str) -> Iterator[tuple[int, int, str]]:
@@ -237,11 +240,11 @@ def normalised(text: str) -> Rewritten:
         out.text = text.translate(folding())  # one character for one: offsets stay
     if any(c in text for c in INVISIBLE):
         out.replace([(*m.span(), "") for m in _INVISIBLE.finditer(out.text)])
+    if any(mark in out.text for mark in _MARKS):
+        out.replace(list(_bracket_edits(out.text)))
     lower = out.text.lower()
     if _may_spell(lower):
         out.replace(list(_spelled_edits(out.text)))
-    if any(mark in out.text for mark in _MARKS):
-        out.replace(list(_bracket_edits(out.text)))
     if any(word in lower for word in _DOT_WORDS):
         out.replace(list(_bare_edits(out.text)))
     return out
