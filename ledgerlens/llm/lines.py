@@ -61,6 +61,8 @@ def boilerplate(
     spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(
         F.col("sites") >= min_sites * (1 - band)
     )
+    # A table of the few lines that spread this far: sketched once, and of known size for the join.
+    spread, _ = written(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + band)).select("line")
     near = spread.where(F.col("sites") <= min_sites * (1 + band)).select("line")
     exact = placed.join(near, "line", "left_semi").distinct().groupBy("line").count()
