@@ -28,21 +28,27 @@ from ledgerlens.session import written
 LG_K = 10
 #: Estimates within this many standard errors of the threshold are counted exactly.
 STANDARD_ERRORS = 6
+#: What is taken from both ends of a line.
+WHITE_SPACE = " \t\n\v\f\r"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE_SPACE))
+
+
 def _comparable(line: Column, min_chars: int) -> Column:
     """Hash of a line without outer white space; null if it is too short to count."""
-    plain = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return F.when(F.char_length(plain) >= min_chars, F.xxhash64(plain))
+    bare = _bare(line)
+    return F.when(F.char_length(bare) >= min_chars, F.xxhash64(bare))
 
 
 def _hashes(text: Column, min_chars: int) -> Column:
-    hashed = F.transform(_lines(text), lambda line: _comparable(line, min_chars))
-    return F.array_distinct(F.filter(hashed, F.isnotnull))
+    bare = F.filter(F.transform(_lines(text), _bare), lambda line: F.char_length(line) >= min_chars)
+    return F.array_distinct(F.transform(bare, lambda line: F.xxhash64(line)))
 
 
 def boilerplate(
