@@ -84,19 +84,27 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-#: Letters of other alphabets and the Latin letters they look like (fixed values).
+#: Cyrillic and Greek letters and the Latin letters and digits they look like (fixed values).
 LOOK_ALIKES = dict(
-    zip("абвгдеѕзіјкӏмнопрстухһԁԛԝАВСЕНІЈКМОРЅТХУαεικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", (
-        "a6brgeS3ijklmHonpctyxhdqwABCEHIJKMOPSTXYaeiknoptuxwABEZHIKMNOPTYX"
-    ))
+    zip(
+        "ЅІЈАВЕКМНОРСТУХабвгдезкмнопрстухѕіјһӏԁԛԝ",
+        "SIJABEKMHOPCTYXa6brde3kmhonpctyxsijhldqw",
+        strict=True,
+    )
+) | dict(
+    zip(
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχω",
+        "ABEZHIKMNOPTYXaeiknoptuxw",
+        strict=True,
+    )
 )
-LOOK_ALIKES |= {"в": "b", "г": "r", "д": "d", "з": "3", "м": "m", "н": "h", "п": "n", "с": "c"}
-LOOK_ALIKES |= {"т": "t", "ѕ": "s", "р": "p", "б": "6"}
 #: Characters that show nothing (fixed values).
-INVISIBLE = "­​‌‍⁠﻿"
-#: Dashes and spaces that stand for the plain ones (fixed values).
-PLAIN_SIGNS = dict.fromkeys("‐‑‒–−", "-") | dict.fromkeys(
-    "    ", " "
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: Dashes, spaces and full stops that stand for the plain ones (fixed values).
+PLAIN_SIGNS = (
+    dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-")
+    | dict.fromkeys("\u00a0\u2007\u2009\u202f", " ")
+    | dict.fromkeys("\u2024\u3002\uff61", ".")
 )
 
 
@@ -104,9 +112,15 @@ PLAIN_SIGNS = dict.fromkeys("‐‑‒–−", "-") | dict.fromkeys(
 def folding() -> dict[int, str]:
     """Code point to its plain form: the tables above, and compatibility forms and digits by rule."""
     folds = {ord(c): plain for c, plain in {**LOOK_ALIKES, **PLAIN_SIGNS}.items()}
-    for block in (range(0x660, 0xE00), range(0x2070, 0x2500), range(0xFF01, 0xFF5F)):
+    blocks = (
+        range(0x660, 0xE00),
+        range(0x2070, 0x2500),
+        range(0xFE50, 0xFE70),
+        range(0xFF01, 0xFF5F),
+        range(0x1D400, 0x1D800),
+    )
+    for block in blocks:
         folds |= {code: plain for code in block if (plain := _plain(chr(code)))}
-    folds |= {code: plain for code in range(0x1D400, 0x1D800) if (plain := _plain(chr(code)))}
     return folds
 
 
@@ -134,34 +148,65 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: Words that say how often the digit after them stands (fixed values).
+TIMES = {"double": 2, "triple": 3}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_GAP = r"(?:[ \t]{1,3}|[ \t]{0,3}[-,.][ \t]{0,3})"
+_ONE = rf"(?:(?:{'|'.join(TIMES)})[ \t]{{1,3}})?(?:{_DIGIT}|(?<![0-9])[0-9])"
+_POINT = r"[ \t]{1,3}(?:dot|punto|punkt|point)[ \t]{1,3}"
+_GAP = rf"(?:{_POINT}|[ \t]{{1,3}}|[ \t]{{0,3}}[-,.][ \t]{{0,3}})"
 # A spelled number: four digit words or more, among which may stand plain digits.
 _SPELLED = re.compile(
-    rf"(?<!\w)(?:(?P<plus>plus)[ \t]{{1,3}})?(?:{_DIGIT}|[0-9])"
-    rf"(?:{_GAP}(?:{_DIGIT}|(?<![0-9])[0-9])){{3,}}(?!\w)",
+    rf"(?<!\w)(?:(?P<plus>plus)[ \t]{{1,3}})?{_ONE}(?:{_GAP}{_ONE}){{3,}}(?!\w)",
     re.IGNORECASE,
 )
-_SPELLED_PART = re.compile(rf"{_DIGIT}|[0-9]", re.IGNORECASE)
+_SPELLED_PART = re.compile(
+    rf"(?<!\w)(?:(?P<times>{'|'.join(TIMES)})[ \t]+)?(?P<digit>{_DIGIT}|[0-9])", re.IGNORECASE
+)
+_SPELLED_POINT = re.compile(rf"\.|{_POINT}", re.IGNORECASE)
+# Letters that look like digits, in a word of those and digits.
+_MIXED_HINT = re.compile("[0-9](?:(?<=[OoIl][0-9])|(?=[OoIl]))")
+_MIXED = re.compile(r"(?<!\w)(?=[OoIl]*+[0-9])[0-9OoIl]++(?!\w)")
+_DIGIT_LOOKS = str.maketrans("OoIl", "0011")
 # Quick tests on the lower-case text, so that plain prose costs one pass or less.
 _DIGIT_TOKENS = frozenset({*DIGIT_WORDS, *DIGIT_WORDS.values()})
 _MARKS = ("[", "(", "{", "<", "&#", "&c", "&p", "%4", "%2")
-_DOT_WORDS = (" dot ", " punto ", " punkt ", "\tdot", "\tpunto", "\tpunkt", "dot\t", "punto\t", "punkt\t")
+_SPOKEN_HINT = re.compile(r"[-_*~ \t](?:dot|punto|punkt)[-_*~ \t]|[ \t]@|@[ \t]")
 # Bracketed disguises stand on their own; bare words only as "name at host dot com", since
 # "met at the dot on the map" is prose. Endings that count (fixed values):
-_ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|dev|app|co|de|fr|es|uk|eu|ch|nl|se|ca|au|in|jp|br|mx"
+_ENDINGS = frozenset(
+    "com org net edu gov mil info biz io dev app co de fr es uk eu ch nl se ca au in jp br mx".split()
+)
+# Words before which "at" is no sign (fixed values).
+_NO_HOSTS = frozenset("the a an this that our my your his her their".split())
+_DOT_NAMES = "dot|punto|punkt|point"
 _BRACKETED = re.compile(
-    r"[\[({<][ \t]{0,3}(?:(?P<at>at|arroba|chez|@)|(?P<dot>dot|punto|punkt|point|\.))"
-    r"[ \t]{0,3}[\])}>][ \t]{0,3}|(?P<at2>&#64;|&commat;|%40)|(?P<dot2>&#46;|&period;|%2E)",
+    rf"[\[({{<][ \t]{{0,3}}(?:(?P<at>at|arroba|chez|@)|(?P<dot>{_DOT_NAMES}|\.))"
+    r"[ \t]{0,3}[\])}>][ \t]{0,3}|(?P<at2>&#64;|&#x40;|&commat;|%40)"
+    r"|(?P<dot2>&#46;|&#x2e;|&period;|%2E)",
+    re.IGNORECASE,
+)
+# A bare "at" counts if the dot after it is bracketed.
+_HALF_BRACKETED = re.compile(
+    r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}(?:at|arroba)[ \t]{1,3}"
+    rf"(?=[A-Za-z0-9-]++[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_DOT_NAMES}|\.)[ \t]{{0,3}}[\])}}>])",
     re.IGNORECASE,
 )
-_BARE = re.compile(
-    r"(?<![\w@.])[A-Za-z0-9._%+-]+(?P<at>[ \t]{1,3}(?:at|arroba)[ \t]{1,3}|@)[A-Za-z0-9-]+"
-    r"(?P<dots>(?:(?:[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}|\.)[A-Za-z0-9-]+)*"
-    rf"[ \t]{{1,3}}(?:dot|punto|punkt)[ \t]{{1,3}}(?:{_ENDINGS}))(?![\w-])",
+_EDGE = r"(?:[ \t]{0,3}[-_*~][ \t]{0,3}|[ \t]{1,3})"
+_SPOKEN_AT = re.compile(
+    rf"{_EDGE}(?P<word>at|arroba){_EDGE}|[ \t]{{0,3}}@[ \t]{{0,3}}", re.IGNORECASE
+)
+_SPOKEN_DOT = re.compile(
+    rf"{_EDGE}(?P<word>dot|punto|punkt){_EDGE}|[ \t]{{1,3}}\.[ \t]{{0,3}}|\.", re.IGNORECASE
+)
+_LABEL = re.compile(
+    r"[A-Za-z0-9]++(?:-(?!(?:dot|punto|punkt|at|arroba)-)[A-Za-z0-9]++)*+", re.IGNORECASE
+)
+_NAME_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}\Z", re.IGNORECASE)
+# Four numbers with "dot" between some of them.
+_NUMBERS = re.compile(
+    r"(?<![\w.])[0-9]{1,3}(?:(?:[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}|\.)[0-9]{1,3}){3}(?!\w)",
     re.IGNORECASE,
 )
-_BARE_DOT = re.compile(r"[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}", re.IGNORECASE)
 
 
 class Rewritten:
@@ -196,18 +241,30 @@ class Rewritten:
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 
 
-def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
+Edit = tuple[int, int, str]
+
+
+def _spelled_edits(text: str) -> Iterator[Edit]:
     for m in _SPELLED.finditer(text):
         if m["plus"]:
             yield m.start("plus"), m.end("plus"), "+"
         parts = list(_SPELLED_PART.finditer(text, m.end("plus") if m["plus"] else m.start(), m.end()))
         for before, part in zip([None, *parts], parts):
             start = before.end() if before else (m.end("plus") if m["plus"] else part.start())
-            point = "." if "." in text[start : part.start()] else ""
-            yield start, part.end(), point + DIGIT_WORDS.get(part[0].lower(), part[0])
+            point = "." if _SPELLED_POINT.search(text, start, part.start()) else ""
+            digit = DIGIT_WORDS.get(part["digit"].lower(), part["digit"])
+            yield start, part.end(), point + digit * TIMES.get((part["times"] or "").lower(), 1)
 
 
-def _bracket_edits(text: str) -> Iterator[tuple[int, int, str]]:
+def _mixed_edits(text: str) -> Iterator[Edit]:
+    for m in _MIXED.finditer(text):
+        digits = m[0].translate(_DIGIT_LOOKS)
+        for i, (letter, digit) in enumerate(zip(m[0], digits), m.start()):
+            if letter != digit:
+                yield i, i + 1, digit
+
+
+def _bracket_edits(text: str) -> Iterator[Edit]:
     done = 0
     for m in _BRACKETED.finditer(text):
         start = m.start()
@@ -217,11 +274,49 @@ def _bracket_edits(text: str) -> Iterator[tuple[int, int, str]]:
         yield start, done, "@" if m["at"] or m["at2"] else "."
 
 
-def _bare_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _BARE.finditer(text):
-        yield m.start("at"), m.end("at"), "@"
-        for dot in _BARE_DOT.finditer(text, m.start("dots"), m.end("dots")):
-            yield dot.start(), dot.end(), "."
+def _spoken_host(text: str, at: re.Match) -> list[re.Match]:
+    """The dots of the host that stands behind a spoken ``at``; none if there is no host."""
+    dots, good = [], 0
+    label = _LABEL.match(text, at.end())
+    if not label or at["word"] and label[0].lower() in _NO_HOSTS:
+        return []
+    while label:
+        if dots and label[0].lower() in _ENDINGS and text[label.end() : label.end() + 1] not in ("-", "_"):
+            good = len(dots)
+        if dot := _SPOKEN_DOT.match(text, label.end()):
+            dots.append(dot)
+        label = dot and _LABEL.match(text, dot.end())
+    dots = dots[:good]
+    return dots if not at["word"] or any(dot["word"] for dot in dots) else []
+
+
+def _spoken_edits(text: str) -> Iterator[Edit]:
+    """Edits of ``name at host dot com`` and the like."""
+    done = 0
+    for at in _SPOKEN_AT.finditer(text):
+        if at.start() <= done or not (dots := _spoken_host(text, at)):
+            continue
+        name, start = [], at.start()
+        while True:
+            end = start
+            while start > done and text[start - 1] in _LOCAL_END:
+                start -= 1
+            dot = start < end and _NAME_DOT.search(text, max(done, start - 16), start)
+            if not dot:
+                break
+            name.append((*dot.span(), "."))
+            start = dot.start()
+        if at.start() > 0 and text[at.start() - 1] in _LOCAL_END:
+            yield from reversed(name)
+            yield *at.span(), "@"
+            yield from ((*dot.span(), ".") for dot in dots)
+            done = dots[-1].end()
+
+
+def _number_edits(text: str) -> Iterator[Edit]:
+    for m in _NUMBERS.finditer(text):
+        for dot in _SPOKEN_DOT.finditer(text, m.start(), m.end()):
+            yield *dot.span(), "."
 
 
 def _may_spell(lower: str) -> bool:
@@ -241,12 +336,16 @@ def normalised(text: str) -> Rewritten:
     if any(c in text for c in INVISIBLE):
         out.replace([(*m.span(), "") for m in _INVISIBLE.finditer(out.text)])
     if any(mark in out.text for mark in _MARKS):
+        out.replace([(*m.span(), "@") for m in _HALF_BRACKETED.finditer(out.text)])
         out.replace(list(_bracket_edits(out.text)))
     lower = out.text.lower()
     if _may_spell(lower):
         out.replace(list(_spelled_edits(out.text)))
-    if any(word in lower for word in _DOT_WORDS):
-        out.replace(list(_bare_edits(out.text)))
+    if _SPOKEN_HINT.search(lower):
+        out.replace(list(_spoken_edits(out.text)))
+        out.replace(list(_number_edits(out.text)))
+    if _MIXED_HINT.search(out.text):
+        out.replace(list(_mixed_edits(out.text)))
     return out
 
 

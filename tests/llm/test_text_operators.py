@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -189,6 +190,18 @@ DISGUISED = [
     ("4111​111111111111", "card"),
     ("four one one one one one one one one one one one one one one one", "card"),
     ("one nine two [dot] 1 6 8 [dot] one [dot] two zero", "ip"),
+    ("john dot doe at mail dot example dot com", "email"),
+    ("john_at_example_dot_com", "email"),
+    ("john -at- example -dot- com", "email"),
+    ("john @ example . com", "email"),
+    ("john at example [dot] org", "email"),
+    ("john&#x40;example&#x2e;org", "email"),
+    ("john@example。com", "email"),
+    ("+44 2O 7946 O958", "phone"),
+    ("plus four four double two zero triple one five six", "phone"),
+    ("4l11 1111 1111 1111", "card"),
+    ("192 dot 168 dot 1 dot 10", "ip"),
+    ("one nine two dot one six eight dot one dot one zero", "ip"),
 ]
 
 
@@ -204,9 +217,17 @@ def test_disguises_are_found_at_their_place(disguise, kind):
 
 def test_plain_prose_is_left_alone(texts):
     assert pii.find_spans("We met at the dot on the map, one or two of us; un dos tres.") == ([], [])
+    assert pii.find_spans("At noon at the dot com office; meet at shop.com. In all 3l, 1O or 1. 2. 3.") == ([], [])
     assert all(not pii.find_spans(t)[1] for t in texts.values())
 
 
+@pytest.mark.parametrize("part", ["a-dot-", "x_at_x.com", "a at b dot com ", "one ", "1 dot ", "1l", "a@ "])
+def test_long_rows_of_disguises_cost_their_length(part):
+    started = time.process_time()
+    pii.find_spans(part * 40_000)
+    assert time.process_time() - started < 5
+
+
 def test_pii_query(spark, texts):
     for row in queries.op3_pii(spark, SF_DIR).collect():
         want = plain_pii(texts[row["doc_id"]])
