@@ -170,7 +170,7 @@ _DIGIT_LOOKS = str.maketrans("OoIl", "0011")
 # Quick tests on the lower-case text, so that plain prose costs one pass or less.
 _DIGIT_TOKENS = frozenset({*DIGIT_WORDS, *DIGIT_WORDS.values()})
 _MARKS = ("[", "(", "{", "<", "&#", "&c", "&p", "%4", "%2")
-_SPOKEN_HINT = re.compile(r"[-_*~ \t](?:dot|punto|punkt)[-_*~ \t]|[ \t]@|@[ \t]")
+_SPOKEN = ("dot", "punto", "punkt", " @", "\t@", "@ ", "@\t")
 # Bracketed disguises stand on their own; bare words only as "name at host dot com", since
 # "met at the dot on the map" is prose. Endings that count (fixed values):
 _ENDINGS = frozenset(
@@ -341,7 +341,7 @@ def normalised(text: str) -> Rewritten:
     lower = out.text.lower()
     if _may_spell(lower):
         out.replace(list(_spelled_edits(out.text)))
-    if _SPOKEN_HINT.search(lower):
+    if any(word in lower for word in _SPOKEN):
         out.replace(list(_spoken_edits(out.text)))
         out.replace(list(_number_edits(out.text)))
     if _MIXED_HINT.search(out.text):
