@@ -5,8 +5,8 @@ every window of the test items are hashed, and so are those of the training text
 hashes are hits, whatever the ignored words are. Around each hit the two word rows are laid side
 by side and the longest stretch is taken in which at least ``min_share`` of the words agree. A
 document contains an item if that stretch is at least ``min_words`` words long, or as long as
-the item if that is shorter. With the masks below no stretch of 13 to 25 words in which a fifth is
-substituted goes without a hit.
+the item if that is shorter. With the masks below no stretch in which a fifth of the words is
+substituted goes without a hit; stretches shorter than 13 words need one more, shorter mask.
 
 The test side is cut into blocks of bounded size, and each block's hashes and words are
 broadcast to one pass over the whole training texts; a larger benchmark means more passes, never
@@ -33,6 +33,8 @@ from ledgerlens.llm.rows import SLICE, map_slices
 
 #: 1: the word counts, 0: any word may stand there (fixed values).
 MASKS = ("1101011", "11100011", "1100101001")
+#: Added where a stretch of fewer than ``MIN_WORDS`` words is enough (fixed value).
+SHORT_MASK = "11011"
 MIN_WORDS = 13
 MIN_SHARE = 0.8
 #: Bytes of test text in one block, and the most items in it.
@@ -47,9 +49,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _masks_for(size: int) -> list[list[int]]:
-    """Positions of each mask, cut to a row of ``size`` words."""
-    cut = {m[:size].rstrip("0") for m in MASKS}
+def _masks_for(size: int, enough: int = MIN_WORDS) -> list[list[int]]:
+    """Positions of each mask, cut to a row of ``size`` words of which ``enough`` have to be met."""
+    masks = MASKS if min(size, enough) >= MIN_WORDS else (*MASKS, SHORT_MASK)
+    cut = {m[:size].rstrip("0") for m in masks}
     return sorted([i for i, c in enumerate(m) if c == "1"] for m in cut)
 
 
@@ -83,7 +86,7 @@ class TestBlock:
         self.tables: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = []
         found: dict[tuple[int, ...], list] = {}
         for i, ids in enumerate(self.items):
-            for positions in _masks_for(len(ids)):
+            for positions in _masks_for(len(ids), min_words):
                 starts, hashes = _seeds(ids, positions)
                 if len(starts):
                     found.setdefault(tuple(positions), []).append((hashes, i, starts))

@@ -209,13 +209,23 @@ def test_decontamination_against_all_alignments(spark):
         pairs = {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["items"]}
         assert pairs <= want
         sure = {(d, i) for d, i in want if brute.contained(texts[d], " ".join(items[i]), 13, 0.8)}
-        # Masks find every stretch of 13 words and more; shorter items only where a mask fits.
-        assert {p for p in sure if len(items[p[1]]) >= 13} <= pairs
+        assert sure <= pairs
         assert (62, 12) in pairs
     kept = {r["doc_id"] for r in decontaminate.without_contaminated(docs, tests).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in pairs}
 
 
+@pytest.mark.parametrize("size", range(1, 25))
+def test_masks_stand_a_fifth_of_the_words_substituted(size):
+    windows = [
+        {start + p for p in positions}
+        for positions in decontaminate._masks_for(size)
+        for start in range(size - positions[-1])
+    ]
+    for places in itertools.combinations(range(size), size // 5):
+        assert any(window.isdisjoint(places) for window in windows)
+
+
 def test_registered_decontamination(spark, documents):
     tests = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
     rows = queries.op7_decontaminate(spark, SF_DIR).collect()
