@@ -13,13 +13,16 @@ non-finite components link with nothing, and only vectors of equal length are co
 repeat or be null: each row is a vector of its own, linked with its equals, and a component's id
 is its smallest id that is not null.
 
-Recall of a link falls with each level and rises with each tree; ``trees`` is to grow with the
-logarithm of the number of vectors.
+Recall of a link falls with each level and rises with each tree. Unless the caller names a number
+of trees, it follows from the number of vectors: as many as find a pair just at the threshold with
+probability ``RECALL``, closer pairs more surely. It grows as a small power of the vectors,
+since a tree has a level more each time they double.
 """
 
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ from ledgerlens.llm.components import components
 from ledgerlens.llm.rows import map_rows
 from ledgerlens.session import remove, written
 
+#: Fewest trees, and the probability to find a pair just at the threshold, by which there are more.
 TREES = 10
+RECALL = 0.95
 SPILL = 0.05
 #: Vectors in a cell that one task splits on, and in a leaf that is compared pair by pair.
 CELL = 8192
@@ -77,6 +82,31 @@ def _projected(nodes: DataFrame, trees: int, levels: int) -> DataFrame:
     return rows.select("node", "tree", F.concat_ws("/", "size", "tree").alias("cell"), "p")
 
 
+def _levels(count: int, size: int, spill: float) -> int:
+    """Splits after which cells of ``count`` vectors hold about ``size``."""
+    return max(0, math.ceil(math.log(max(count, 1) / size) / -math.log(0.5 + spill)))
+
+
+def parting_chance(cosine: float, spill: float) -> float:
+    """Probability that one split parts two vectors of this cosine, for normal projections.
+
+    One of them lies below the share that goes to both sides and the other one above it.
+    """
+    normal = statistics.NormalDist()
+    edge, width = normal.inv_cdf(0.5 + spill), math.sqrt(max(1 - cosine * cosine, 1e-12))
+    step = 1e-3
+    below = (-edge - step * (i + 0.5) for i in range(int(6 / step)))
+    return 2 * step * sum(normal.pdf(x) * normal.cdf((cosine * x - edge) / width) for x in below)
+
+
+def trees_for(count: int, min_cosine: float = 0.9, spill: float = SPILL) -> int:
+    """Trees that find a pair just at the threshold among ``count`` vectors with ``RECALL``."""
+    together = (1 - parting_chance(min_cosine, spill)) ** _levels(count, LEAF, spill)
+    if together >= RECALL:
+        return TREES
+    return max(TREES, math.ceil(math.log(1 - RECALL) / math.log(1 - together)))
+
+
 def _split(rows: DataFrame, level: int, spill: float, cell_size: int) -> DataFrame:
     """Cells larger than ``cell_size`` replaced by their two halves, which overlap."""
     p = F.col("p")[level]
@@ -127,13 +157,13 @@ def _leaf_links(unit: np.ndarray, leaf: np.ndarray, min_cosine: float) -> Iterat
 def near_links(
     nodes: DataFrame,
     min_cosine: float = 0.9,
-    trees: int = TREES,
+    trees: int | None = None,
     spill: float = SPILL,
     cell_size: int = CELL,
 ) -> DataFrame:
     """(a, b): linked nodes, each pair once. ``nodes`` has distinct vectors under ``node``."""
     count = nodes.count()
-    levels = max(0, math.ceil(math.log(max(count, 1) / cell_size) / -math.log(0.5 + spill)))
+    levels, trees = _levels(count, cell_size, spill), trees or trees_for(count, min_cosine, spill)
     rows, path = written(_projected(nodes, trees, max(levels, 1)), "cells")
     for level in range(levels):
         old = path
@@ -159,7 +189,7 @@ def near_links(
 def near_duplicates(
     vectors: DataFrame,
     min_cosine: float = 0.9,
-    trees: int = TREES,
+    trees: int | None = None,
     spill: float = SPILL,
     id_col: str = "vec_id",
     vector_col: str = "embedding",

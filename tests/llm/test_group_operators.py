@@ -85,6 +85,22 @@ def test_vectors_against_all_pairs(spark, monkeypatch, cell):
     check_vectors(rows, brute.cosine_links(vectors), vectors, 0.97 if cell == 40 else 1)
 
 
+@pytest.mark.parametrize("cosine", [0.7, 0.9, 0.99])
+def test_chance_of_parting(cosine):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(2, 400_000))
+    y = cosine * x + np.sqrt(1 - cosine**2) * y
+    low, high = np.quantile(x, [0.45, 0.55])
+    parted = ((x < low) & (y > high) | (y < low) & (x > high)).mean()
+    assert abs(parted - embeddings.parting_chance(cosine, 0.05)) < 2e-3
+
+
+def test_trees_grow_with_the_vectors():
+    grown = [embeddings.trees_for(10**n) for n in range(0, 13)]
+    assert grown == sorted(grown) and grown[:5] == [embeddings.TREES] * 5
+    assert grown[12] > grown[9] > embeddings.TREES
+
+
 def test_registered_vectors(spark):
     sf = "/root/testdata/sf0.1"
     data = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
