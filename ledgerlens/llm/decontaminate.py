@@ -197,7 +197,8 @@ def contained_items(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, items): for every document the test items it contains and how far."""
-    rows = docs.select(id_col, text_col)
+    # The mark tells rows that repeat an id apart by their texts.
+    rows = docs.select(id_col, text_col, F.xxhash64(text_col).alias("mark"))
     id_type = rows.schema[id_col].dataType.simpleString()
     item = "struct<item_id:bigint,words:int,agreeing:int,first_word:int>"
     names = ("item_id", "words", "agreeing", "first_word")
@@ -207,22 +208,28 @@ def contained_items(
 
         def start(shared=shared) -> Callable[..., tuple]:
             find = shared.value.find
-            return lambda keys, texts: (
+            return lambda keys, texts, marks: (
                 keys,
+                marks,
                 [[dict(zip(names, x)) for x in found] for found in find(texts)],
             )
 
-        parts.append(map_slices(rows, f"`{id_col}` {id_type}, items array<{item}>", start))
+        parts.append(map_slices(rows, f"`{id_col}` {id_type}, mark bigint, items array<{item}>", start))
     if not parts:
         return rows.select(id_col, F.array().cast(f"array<{item}>").alias("items"))
     if len(parts) == 1:
-        return parts[0]
-    # Several passes: the few documents with finds are put beside all the others.
-    found = [p.where(F.size("items") > 0) for p in parts]
-    every = rows.select(id_col, F.array().cast(f"array<{item}>").alias("items"))
-    for part in found:
-        every = every.union(part)
-    return every.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+        return parts[0].select(id_col, "items")
+    # Several passes: the few documents with finds are put beside all rows.
+    found = parts[0].where(F.size("items") > 0)
+    for part in parts[1:]:
+        found = found.union(part.where(F.size("items") > 0))
+    found = found.groupBy(F.col(id_col).alias("key"), F.col("mark").alias("own")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    same = F.col(id_col).eqNullSafe(F.col("key")) & (F.col("mark") == F.col("own"))
+    return rows.join(found, same, "left").select(
+        id_col, F.coalesce("items", F.array().cast(f"array<{item}>")).alias("items")
+    )
 
 
 def is_contaminated(text: Column, shared) -> Column:

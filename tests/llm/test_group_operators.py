@@ -255,6 +255,22 @@ def test_registered_decontamination(spark, documents):
     assert plain and plain == found
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_rows_that_repeat_an_id_are_judged_each_for_itself(spark, block_bytes):
+    tests = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(6)]
+    both = f"{tests[0][1]} and {tests[1][1]}"
+    rows = [(1, both), (1, both), (1, tests[2][1]), (1, None), (None, tests[3][1]), (None, "x")]
+    found = decontaminate.contained_items(
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        spark.createDataFrame(tests, "item_id bigint, text string"),
+        block_bytes=block_bytes,
+    )
+    got = collections.Counter(
+        (r["doc_id"], tuple(i["item_id"] for i in r["items"])) for r in found.collect()
+    )
+    assert got == {(1, (0, 1)): 2, (1, (2,)): 1, (1, ()): 1, (None, (3,)): 1, (None, ()): 1}
+
+
 def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     tests = spark.createDataFrame([(1, "lorem ipsum dolor sit")], "item_id bigint, text string")
     rows = decontaminate.contained_items(odd_documents, tests).collect()
