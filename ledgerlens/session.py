@@ -62,6 +62,16 @@ def _file_system(spark: SparkSession, path: str):
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
 
 
+def fits_broadcast(spark: SparkSession, path: str) -> bool:
+    """Whether the files below ``path`` are within the session's broadcast threshold."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if threshold.startswith("-"):  # no broadcasts
+        return False
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    files, location = _file_system(spark, path)
+    return files.getContentSummary(location).getLength() <= limit
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have the written ``path`` removed when the session's JVM ends."""
     files, location = _file_system(spark, path)

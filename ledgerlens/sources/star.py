@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.dims import SECTOR_LABELS_COLUMNS, local_table
 from ledgerlens.schema import LEDGER_SCHEMA
+from ledgerlens.session import fits_broadcast
 
 # The columns used here, given so that opening a table reads no file footer.
 _SCHEMAS = {
@@ -69,11 +70,13 @@ def star_ledger(
 
     Joins are left joins on the key of the other table: a row whose order, customer, nation
     or part is absent stays, with NULL in what would come from there, and a table none of
-    whose columns is wanted is not joined. So every report sees the same rows. Orders get
-    their customer and nation first and the payments are joined with the result, so without
-    broadcasts the payments move once by order, and once by part if that is asked for.
-    Joins carry no hints: sides below the broadcast threshold are broadcast, larger ones are
-    shuffled on their key and adaptive execution splits hot keys.
+    whose columns is wanted is not joined. So every report sees the same rows. Orders too large
+    for a broadcast get their customer and nation first and the payments are joined with the
+    result, so the payments move once by order, and once by part if that is asked for. Smaller
+    orders are joined as they are, since Spark knows the size of a table and not that of
+    a join, and the payments do not move at all. Joins carry no hints: sides below the broadcast
+    threshold are broadcast, larger ones are shuffled on their key and adaptive execution splits
+    hot keys.
     """
     wanted = list(columns) if columns is not None else LEDGER_SCHEMA.fieldNames()
     unknown = set(wanted) - set(LEDGER_SCHEMA.fieldNames())
@@ -88,16 +91,22 @@ def star_ledger(
     if via_nation or via_customer or needs & _FROM_ORDERS.keys():
         orders = read_table(spark, directory, "orders")
         available.update(_FROM_ORDERS)
+        by_order = F.col("l_orderkey") == F.col("o_orderkey")
+        by_customer = F.col("o_custkey") == F.col("c_custkey")
+        customer = None
         if via_nation or via_customer:
             customer = read_table(spark, directory, "customer")
-            if via_nation:
-                nation = read_table(spark, directory, "nation")
-                in_nation = F.col("c_nationkey") == F.col("n_nationkey")
-                customer = customer.join(nation, in_nation, "left")
-                available.update(_FROM_NATION)
-            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
             available.update(_FROM_CUSTOMER)
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        if via_nation:
+            nation = read_table(spark, directory, "nation")
+            customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            available.update(_FROM_NATION)
+        if customer is None:
+            rows = rows.join(orders, by_order, "left")
+        elif fits_broadcast(spark, f"{directory}/orders.parquet"):
+            rows = rows.join(orders, by_order, "left").join(customer, by_customer, "left")
+        else:
+            rows = rows.join(orders.join(customer, by_customer, "left"), by_order, "left")
     if needs & _FROM_PART.keys():
         part = read_table(spark, directory, "part")
         rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
