@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def block_pairs(rows: DataFrame, keys: Sequence[str], spread: Column, block: int) -> DataFrame:
     """The rows of keys that have several, dealt to pairs of blocks in columns low and high.
 
+    Column own has the block the row itself is in.
+
     A key's rows are dealt by the hash of ``spread`` to blocks of about ``block`` rows. Each
     row stands once in every pair of blocks that its own is part of, so any two rows of a key meet
     in some pair, and no pair holds more than about twice ``block`` rows however many the key has.
@@ -23,5 +25,5 @@ def block_pairs(rows: DataFrame, keys: Sequence[str], spread: Column, block: int
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
-        .drop("n", "blocks", "own", "other")
+        .drop("n", "blocks", "other")
     )

@@ -8,6 +8,10 @@ cell on down to leaves, compares all pairs within a leaf and verifies each by it
 precision. Links of all trees are united. A cell that stays large because projections tie is
 compared in pairs of blocks, so no size is ever capped.
 
+A cut through a crowd of near vectors parts many of them, whatever the spill. So a cell is no longer
+split once a share ``DENSE`` of its pairs are links, as a sample of its vectors tells: all its pairs
+are compared, large cells in pairs of blocks. That costs in proportion to the links there are.
+
 Equal vectors are one node of the forest. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, and only vectors of equal length are compared. Ids may
 repeat or be null: each row is a vector of its own, linked with its equals, and a component's id
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 import statistics
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -42,7 +47,14 @@ SPILL = 0.05
 #: Vectors in a cell that one task splits on, and in a leaf that is compared pair by pair.
 CELL = 8192
 LEAF = 256
+#: A cell of which this share of pairs are links is not split; vectors sampled to tell.
+DENSE = 1 / 128
+SAMPLE = 128
+#: Vectors of a large dense cell in a block that is compared with another.
+BLOCK = 1024
 SEED = 7
+#: Ends the name of a cell that is not split on.
+WHOLE = "="
 
 
 def usable(vector: Column) -> Column:
@@ -107,13 +119,48 @@ def trees_for(count: int, min_cosine: float = 0.9, spill: float = SPILL) -> int:
     return max(TREES, math.ceil(math.log(1 - RECALL) / math.log(1 - together)))
 
 
-def _split(rows: DataFrame, level: int, spill: float, cell_size: int) -> DataFrame:
-    """Cells larger than ``cell_size`` replaced by their two halves, which overlap."""
+def _dense(unit: np.ndarray, min_cosine: float) -> bool:
+    """Whether a share ``DENSE`` of the pairs of a few sampled vectors are links."""
+    pairs = len(unit) * (len(unit) - 1)
+    near = np.count_nonzero(unit @ unit.T >= min_cosine) - len(unit)
+    return pairs > 0 and near >= DENSE * pairs
+
+
+def _dense_cells(
+    rows: DataFrame, large: DataFrame, nodes: DataFrame, min_cosine: float
+) -> DataFrame:
+    """(cell): those of the ``large`` cells that are dense, by a sample of each."""
+    sampled = F.pmod(F.xxhash64("cell", "node"), F.col("n")) < SAMPLE
+    chosen = rows.join(large.select("cell", "n"), "cell").where(sampled).select("cell", "node")
+    chosen = chosen.join(nodes.select("node", "vector"), "node")
+
+    def judge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit(np.stack(group["vector"].to_numpy()).astype(float))
+        return pd.DataFrame({"cell": key, "dense": _dense(unit, min_cosine)})
+
+    return chosen.groupBy("cell").applyInPandas(judge, "cell string, dense boolean").where("dense")
+
+
+def _split(
+    rows: DataFrame,
+    nodes: DataFrame,
+    level: int,
+    min_cosine: float,
+    spill: float,
+    cell_size: int,
+) -> DataFrame:
+    """Cells larger than ``cell_size`` replaced by their two halves, which overlap.
+
+    Dense ones stay whole: their names get ``WHOLE`` at the end.
+    """
     p = F.col("p")[level]
     cuts = rows.groupBy("cell").agg(
         F.count("*").alias("n"), F.percentile_approx(p, [0.5 - spill, 0.5 + spill]).alias("cut")
     )
-    cuts = cuts.where(F.col("n") > cell_size).select("cell", "cut")
+    cuts = cuts.where((F.col("n") > cell_size) & ~F.endswith("cell", F.lit(WHOLE)))
+    cuts, _ = written(cuts, "cuts")
+    dense = _dense_cells(rows, cuts, nodes, min_cosine)
+    cuts = cuts.join(dense, "cell", "left").select("cell", "cut", "dense")
     sides = F.filter(
         F.array(
             F.when(p <= F.col("cut")[1], F.concat("cell", F.lit("l"))),
@@ -121,17 +168,25 @@ def _split(rows: DataFrame, level: int, spill: float, cell_size: int) -> DataFra
         ),
         F.isnotnull,
     )
-    split = F.when(F.col("cut").isNull(), F.array("cell")).otherwise(sides)
+    split = (
+        F.when(F.col("cut").isNull(), F.array("cell"))
+        .when(F.col("dense"), F.array(F.concat("cell", F.lit(WHOLE))))
+        .otherwise(sides)
+    )
     joined = rows.join(cuts, "cell", "left")
     return joined.select("node", "tree", F.explode(split).alias("cell"), "p")
 
 
-def _leaves(unit: np.ndarray, random: np.random.Generator, spill: float) -> Iterator[np.ndarray]:
-    """Leaves of a tree over the rows of ``unit``, as row numbers."""
+def _leaves(
+    unit: np.ndarray, random: np.random.Generator, min_cosine: float, spill: float
+) -> Iterator[np.ndarray]:
+    """Leaves of a tree over the rows of ``unit``, as row numbers; dense ones may be large."""
     cells = [np.arange(len(unit))]
     while cells:
         cell = cells.pop()
-        if len(cell) <= LEAF:
+        if len(cell) <= LEAF or _dense(
+            unit[random.choice(cell, min(SAMPLE, len(cell)), replace=False)], min_cosine
+        ):
             yield cell
             continue
         p = unit[cell] @ random.normal(size=unit.shape[1])
@@ -143,15 +198,24 @@ def _leaves(unit: np.ndarray, random: np.random.Generator, spill: float) -> Iter
             cells += [left, right]
 
 
-def _leaf_links(unit: np.ndarray, leaf: np.ndarray, min_cosine: float) -> Iterator[np.ndarray]:
-    """Pairs of row numbers in a leaf whose cosine is large enough, in strips of rows."""
+def _leaf_links(
+    unit: np.ndarray, leaf: np.ndarray, others: np.ndarray, min_cosine: float
+) -> Iterator[np.ndarray]:
+    """Pairs of a row number in ``leaf`` and one in ``others`` whose cosine is large enough.
+
+    In strips of rows; of a pair that can stand both ways one is given.
+    """
+    same = leaf is others
     for at in range(0, len(leaf), LEAF):
-        near = unit[leaf[at : at + LEAF]] @ unit[leaf].T >= min_cosine - 1e-9
-        a, b = np.nonzero(near)
-        a, b = leaf[a + at], leaf[b]
-        a, b = a[a < b], b[a < b]
-        sure = np.einsum("ij,ij->i", unit[a], unit[b]) >= min_cosine
-        yield np.stack([a[sure], b[sure]], axis=1)
+        cosines = unit[leaf[at : at + LEAF]] @ unit[others].T
+        a, b = np.nonzero(cosines >= min_cosine - 1e-9)
+        clear = cosines[a, b] >= min_cosine + 1e-9
+        a, b = leaf[a + at], others[b]
+        if same:
+            a, b, clear = a[a < b], b[a < b], clear[a < b]
+        close = np.flatnonzero(~clear)
+        clear[close] = np.einsum("ij,ij->i", unit[a[close]], unit[b[close]]) >= min_cosine
+        yield np.stack([a[clear], b[clear]], axis=1)
 
 
 def near_links(
@@ -167,20 +231,38 @@ def near_links(
     rows, path = written(_projected(nodes, trees, max(levels, 1)), "cells")
     for level in range(levels):
         old = path
-        rows, path = written(_split(rows, level, spill, cell_size), "cells")
+        rows, path = written(_split(rows, nodes, level, min_cosine, spill, cell_size), "cells")
         remove(nodes.sparkSession, old)
-    members = block_pairs(rows.select("node", "cell"), ["cell"], F.col("node"), 2 * cell_size)
+    rows, whole = rows.select("node", "cell"), F.endswith("cell", F.lit(WHOLE))
+    members = block_pairs(rows.where(~whole), ["cell"], F.col("node"), 2 * cell_size).union(
+        block_pairs(rows.where(whole), ["cell"], F.col("node"), BLOCK)
+    )
     members = members.join(nodes.select("node", "vector"), "node")
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches), ignore_index=True)
+        node, own = group["node"].to_numpy(), group["own"].to_numpy()
         unit = _unit(np.stack(group["vector"].to_numpy()).astype(float))
-        name = [SEED, *str(key).encode()]
+        cell, low, high = key
+
+        def named(pairs: np.ndarray) -> pd.DataFrame:
+            ends = np.sort(node[pairs], axis=1)
+            return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+        if cell.endswith(WHOLE):
+            first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            for pairs in _leaf_links(unit, first, first if low == high else second, min_cosine):
+                yield named(pairs)
+            return
+        random = np.random.default_rng([SEED, *str(key).encode()])
         links = [np.zeros((0, 2), int)]
-        for leaf in _leaves(unit, np.random.default_rng(name), spill):
-            links += _leaf_links(unit, leaf, min_cosine)
-        pairs = np.unique(np.concatenate(links), axis=0)
-        ends = np.sort(group["node"].to_numpy()[pairs], axis=1)
-        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+        for leaf in _leaves(unit, random, min_cosine, spill):
+            for pairs in _leaf_links(unit, leaf, leaf, min_cosine):
+                if len(leaf) > LEAF:  # its links may be very many
+                    yield named(pairs)
+                else:
+                    links.append(pairs)
+        yield named(np.unique(np.concatenate(links), axis=0))
 
     links = members.groupBy("cell", "low", "high").applyInPandas(compare, "a bigint, b bigint")
     return links.distinct()

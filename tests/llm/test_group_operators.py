@@ -109,6 +109,20 @@ def test_registered_vectors(spark):
     check_vectors(rows, brute.cosine_links(vectors), vectors, 0.99)
 
 
+@pytest.mark.parametrize("cell", [300, 8192])
+def test_a_crowd_of_near_copies_loses_no_link(spark, monkeypatch, cell):
+    monkeypatch.setattr(embeddings.near_links, "__defaults__", (0.9, 2, 0.05, cell))
+    rng = np.random.default_rng(4)
+    crowd = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.2
+    data = enumerate(np.concatenate([crowd, rng.normal(size=(1000, 64))]).tolist())
+    vectors = dict(data)
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    rows = embeddings.near_duplicates(frame.repartition(4)).collect()
+    links = brute.cosine_links(vectors)
+    assert len(links) > 1_000_000
+    check_vectors(rows, links, vectors, 0.99)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 2.0, 3.0], [-1.0, -2.0]]
