@@ -9,6 +9,10 @@ Further kinds are reported only after decoding a candidate and parsing what it h
 ``der``      bare base64 of a key in DER: a sequence led by a version number or an algorithm
 ``hexkey``   the same in hex digits of either case
 
+Base64 and hex may be wrapped by real or escaped line ends, wherever a line of it starts. What
+they decode to is looked at once more: base64 of a PEM file counts as ``pem``, of an SSH key, public
+or private, as ``sshkey``, and hex of any of these as ``hexkey``.
+
 Spans are code points, end exclusive. Null text counts as empty and has none. Each input row
 gives one output row, so repeated rows and null or repeated ids stay; columns other than id and
 text are not carried along.
@@ -18,9 +22,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -45,12 +51,25 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\{1,4}[nrt/])+)-----END \1-----", re.ASCII
+)
+_ESCAPED_END = re.compile(r"\\{1,4}[nrt]")
+_MAGIC = b"openssh-key-v1\0"
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{16,}={0,2}")
 _JWT = re.compile(r"(?<![\w.-])eyJ[\w-]+\.[\w-]+\.[\w-]*(?![\w-])", re.ASCII)
-# The look-behind stands after the literal start, which the search can jump to.
-_BASE64 = re.compile(r"M(?<![A-Za-z0-9+/]M)[A-Za-z0-9+/]{39,}={0,2}(?![A-Za-z0-9+/=])")
-_ANY_HEX = re.compile(r"30(?<![0-9A-Fa-f]30)[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+# Runs of lines of base64 or hex, which real or escaped line ends and indents part.
+_WRAP = r"(?:[ \t]*(?:\r?\n|\\{1,4}[nrt])[ \t]*)++"
+_START = r"(?:(?<![%s\\])|(?<=\\)(?![nrt])|(?<=\\[nrt]))"
+_BASE64 = re.compile(
+    _START % "A-Za-z0-9+/" + rf"[A-Za-z0-9+/]{{16,}}+(?:{_WRAP}[A-Za-z0-9+/]++)*+={{0,2}}+(?!=)"
+)
+_ANY_HEX = re.compile(
+    _START % "0-9A-Fa-f" + rf"[0-9A-Fa-f]{{16,}}+(?:{_WRAP}[0-9A-Fa-f]++(?![G-Zg-z]))*+"
+)
+_LINE = re.compile(rf"(?:{_WRAP})?([A-Za-z0-9+/]++=*+)")
+#: Bytes that a key in base64 or hex has at least.
+_LEAST = {"base64": 30, "hex": 24}
 
 
 def base_spans(text: str) -> list[Span]:
@@ -70,6 +89,8 @@ def base_spans(text: str) -> list[Span]:
 def _base64(text: str, altchars: bytes | None = None) -> bytes:
     """Decoded base64 with or without its padding; nothing where it is none."""
     text = "".join(text.split()).rstrip("=")
+    if "\\" in text:
+        text = _ESCAPED_END.sub("", text).replace("\\", "").rstrip("=")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), altchars, validate=True)
     except (binascii.Error, ValueError):
@@ -150,7 +171,99 @@ def is_signed_token(text: str) -> bool:
 def _pem_body(text: str) -> bool:
     """Whether a PEM body holds DER, or the magic bytes of an SSH private key."""
     data = _base64(text)
-    return is_der(data) or data.startswith(b"openssh-key-v1\0")
+    return is_der(data) or data.startswith(_MAGIC)
+
+
+def _der_size(data: bytes) -> int:
+    """Bytes that the DER sequence at the start of ``data`` says it has; 0 if there is none."""
+    if data[:1] != b"\x30" or len(data) < 6:
+        return 0
+    if not data[1] & 0x80:
+        return 2 + data[1]
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 else 0
+
+
+def _fields(data: bytes, at: int) -> Iterator[int]:
+    """Where the length-prefixed fields from ``at`` on end."""
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            return
+        yield at
+
+
+def _private_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key at the start of ``data``; 0 if it is not whole."""
+    ends = list(_fields(data, len(_MAGIC)))[:3]  # cipher, key derivation and its options
+    if len(ends) < 3:
+        return 0
+    count = int.from_bytes(data[ends[2] : ends[2] + 4], "big")
+    ends = list(_fields(data, ends[2] + 4))
+    return ends[count] if 1 <= count < len(ends) else 0
+
+
+class _Run:
+    """Lines of base64 or hex digits as one row of digits that remembers its places."""
+
+    def __init__(self, text: str, m: re.Match, coding: str):
+        lines = list(_LINE.finditer(text, m.start(), m.end()))
+        self.spans = [line.span(1) for line in lines]
+        parts = [line[1].rstrip("=") for line in lines]
+        self.digits, self.coding = "".join(parts), coding
+        #: Digits before each line, and in all.
+        self.before = list(accumulate(map(len, parts), initial=0))
+
+    def data(self, line: int, digits: int | None = None) -> bytes:
+        start = self.before[line]
+        digits = self.digits[start:] if digits is None else self.digits[start : start + digits]
+        if self.coding == "hex":
+            return bytes.fromhex(digits[: len(digits) // 2 * 2])
+        return _base64(digits[:-1] if len(digits) % 4 == 1 else digits)
+
+    def last_line(self, line: int, size: int) -> int:
+        """The line that ends with byte ``size`` counted from ``line``; -1 if none does."""
+        end = self.before[line] + (2 * size if self.coding == "hex" else -(-4 * size // 3))
+        at = bisect.bisect_left(self.before, end)
+        return at - 1 if line < at < len(self.before) and self.before[at] == end else -1
+
+    def keys(self) -> Iterator[tuple[str, int, int]]:
+        """(kind, first line, last line) of the keys, each from the start of a line."""
+        done = 0
+        for line in range(len(self.spans)):
+            if line < done:
+                continue
+            for kind, size in self._at(line):
+                last = self.last_line(line, size)
+                if size >= _LEAST[self.coding] and last >= 0:
+                    yield kind, line, last
+                    done = last + 1
+                    break
+
+    def _at(self, line: int) -> Iterator[tuple[str, int]]:
+        head = self.data(line, 64)
+        size = _der_size(head)
+        if size and self.last_line(line, size) >= 0 and is_der_key(self.data(line)[:size]):
+            yield "der", size
+        elif head.startswith(_MAGIC):
+            yield "sshkey", _private_size(self.data(line))
+        elif re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL):
+            data = self.data(line)
+            yield from (("sshkey", at) for at in _fields(data, 0) if ssh_key_size(data[:at]))
+        elif line == 0 or head.startswith(b"-----BEGIN "):
+            data = self.data(line)
+            if b"-----BEGIN " in data:
+                text = data.decode("latin-1")
+                for m in _PEM.finditer(text):
+                    if _pem_body(m[2]):
+                        yield from (("pem", at) for at in self._line_ends(line, m.end()))
+
+    def _line_ends(self, line: int, size: int) -> Iterator[int]:
+        """Bytes up to the first line end at ``size`` or later, counted from ``line``."""
+        per = 2 if self.coding == "hex" else 4 / 3
+        at = bisect.bisect_left(self.before, self.before[line] + int(-(-size * per // 1)))
+        if at < len(self.before):
+            yield int((self.before[at] - self.before[line]) / per)
 
 
 def structured_spans(text: str) -> Iterator[Span]:
@@ -167,18 +280,19 @@ def structured_spans(text: str) -> Iterator[Span]:
         for m in _JWT.finditer(text):
             if is_signed_token(m[0]):
                 yield Span("token", *m.span())
-    for m in _BASE64.finditer(text):
-        if is_der_key(_base64(m[0])):
-            yield Span("der", *m.span())
-    for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            yield Span("hexkey", *m.span())
+    for coding, pattern in (("base64", _BASE64), ("hex", _ANY_HEX)):
+        for m in pattern.finditer(text):
+            run = _Run(text, m, coding)
+            for kind, first, last in run.keys():
+                kind = "hexkey" if coding == "hex" else kind
+                yield Span(kind, run.spans[first][0], run.spans[last][1])
 
 
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and the confirmed ones; both by start, then kind."""
     text = text or ""
-    added = sorted(structured_spans(text), key=lambda s: (s.start, KINDS.index(s.kind)))
+    added = set(structured_spans(text))
+    added = sorted(added, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
     return base_spans(text), added
 
 

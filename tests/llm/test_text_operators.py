@@ -296,6 +296,46 @@ def test_structured_secrets_are_confirmed(kind, secret):
     assert secrets.Span(kind, 2, 2 + len(secret)) in added
 
 
+def wrapped(text, width, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def fields(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+PEM_FILE = f"-----BEGIN KEY-----\n{wrapped(b64(KEY), 64)}\n-----END KEY-----\n"
+OPENSSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + b"\0\0\0\1" + fields(KEY, KEY * 2)
+WRAPPED = [
+    ("pem", PEM_FILE.strip().replace("\n", "\\n")),
+    ("pem", PEM_FILE.strip().replace("\n", "\\r\\n")),
+    ("pem", b64(PEM_FILE.encode())),
+    ("pem", wrapped(b64(PEM_FILE.encode()), 76)),
+    ("pem", b64(f"# a note\n{PEM_FILE}".encode())),
+    ("der", wrapped(b64(KEY), 64)),
+    ("der", wrapped(b64(KEY), 76, "\r\n  ")),
+    ("der", wrapped(b64(KEY), 64, "\\n")),
+    ("sshkey", b64(OPENSSH)),
+    ("sshkey", wrapped(b64(OPENSSH), 70)),
+    ("sshkey", wrapped(ssh(b"ssh-ed25519", bytes(range(32))), 40)),
+    ("hexkey", wrapped(KEY.hex(), 64)),
+    ("hexkey", PEM_FILE.encode().hex()),
+    ("hexkey", OPENSSH.hex()),
+]
+
+
+@pytest.mark.parametrize("kind, secret", WRAPPED)
+@pytest.mark.parametrize("before, after", [("é ", " , and"), ('"a": "\\n', '\\n"'), ("x:\n", "\nThe end")])
+def test_wrapped_and_nested_secrets_are_confirmed(kind, secret, before, after):
+    _, added = secrets.find_spans(f"{before}{secret}{after}")
+    assert secrets.Span(kind, len(before), len(before) + len(secret)) in added
+
+
+def test_keys_on_successive_lines_are_each_found():
+    _, added = secrets.find_spans(f"{b64(KEY)}\n{b64(KEY)}\n{KEY.hex()}\n{KEY.hex()}")
+    assert [s.kind for s in added] == ["der", "der", "hexkey", "hexkey"]
+
+
 @pytest.mark.parametrize(
     "text",
     [
