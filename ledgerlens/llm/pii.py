@@ -162,6 +162,17 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(
     rf"(?<!\w)(?:(?P<times>{'|'.join(TIMES)})[ \t]+)?(?P<digit>{_DIGIT}|[0-9])", re.IGNORECASE
 )
+# Any row of digit words and numbers; it counts where a word touches a number of several figures
+# or a plus sign. A full stop with white space is prose here.
+_PIECE = rf"(?:(?:(?:{'|'.join(TIMES)})[ \t]{{1,3}})?(?:{_DIGIT})|[0-9]++)(?!\w)"
+_ROW_GAP = rf"(?:{_POINT}|[ \t]{{1,3}}|[ \t]{{0,3}}-[ \t]{{0,3}}|\.)"
+_ROW = re.compile(
+    rf"(?<!\w)(?:(?P<plus>plus[ \t]{{1,3}}|\+[ \t]{{0,3}}))?{_PIECE}(?:{_ROW_GAP}{_PIECE})*+",
+    re.IGNORECASE,
+)
+_ROW_PART = re.compile(
+    rf"(?<!\w)(?:(?P<times>{'|'.join(TIMES)})[ \t]+)?(?P<digit>{_DIGIT}|[0-9]+)(?!\w)", re.IGNORECASE
+)
 _SPELLED_POINT = re.compile(rf"\.|{_POINT}", re.IGNORECASE)
 # Letters that look like digits, in a word of those and digits.
 _MIXED_HINT = re.compile("[0-9](?:(?<=[OoIl][0-9])|(?=[OoIl]))")
@@ -256,6 +267,30 @@ def _spelled_edits(text: str) -> Iterator[Edit]:
             yield start, part.end(), point + digit * TIMES.get((part["times"] or "").lower(), 1)
 
 
+def _row_edits(text: str) -> Iterator[Edit]:
+    """Digit words that stand next to a number of several figures or behind a plus sign."""
+    for m in _ROW.finditer(text):
+        at = m.end("plus") if m["plus"] else m.start()
+        parts = list(_ROW_PART.finditer(text, at, m.end()))
+        spelled = [not part["digit"].isdecimal() for part in parts]
+        long = any(len(part["digit"]) > 1 for part, word in zip(parts, spelled) if not word)
+        if not any(spelled) or not (m["plus"] or long):
+            continue
+        # A lone word behind a whole identifier is prose: "+49 30 1234567 one of us".
+        if sum(spelled) == 1 and spelled[-1] and len(parts) > 1:
+            if base_spans(text[m.start() : parts[-2].end()]):
+                continue
+        if m["plus"] and m["plus"] != "+":
+            yield m.start("plus"), at, "+"
+        for i, (part, word) in enumerate(zip(parts, spelled)):
+            start = parts[i - 1].end() if i else part.start()
+            if not word and (i == 0 or not spelled[i - 1]):  # plain numbers keep what parts them
+                continue
+            point = "." if _SPELLED_POINT.search(text, start, part.start()) else ""
+            digit = DIGIT_WORDS.get(part["digit"].lower(), part["digit"])
+            yield start, part.end(), point + digit * TIMES.get((part["times"] or "").lower(), 1)
+
+
 def _mixed_edits(text: str) -> Iterator[Edit]:
     for m in _MIXED.finditer(text):
         digits = m[0].translate(_DIGIT_LOOKS)
@@ -319,6 +354,12 @@ def _number_edits(text: str) -> Iterator[Edit]:
             yield *dot.span(), "."
 
 
+_BESIDE_NUMBER = re.compile(
+    rf"(?:[0-9]{{2}}|\+[0-9]?){_ROW_GAP}?(?:{'|'.join(TIMES)}|{_DIGIT})(?!\w)"
+    rf"|(?<!\w)(?:{_DIGIT}){_ROW_GAP}[0-9]{{2}}|(?<!\w)plus[ \t]{{1,3}}(?:{'|'.join(TIMES)}|{_DIGIT}|[0-9])"
+)
+
+
 def _may_spell(lower: str) -> bool:
     """Whether two digit words or digits stand side by side, as in every longer row of them."""
     tokens = lower.replace("-", " ").replace(",", " ").replace(".", " ").split()
@@ -341,6 +382,8 @@ def normalised(text: str) -> Rewritten:
     lower = out.text.lower()
     if _may_spell(lower):
         out.replace(list(_spelled_edits(out.text)))
+    if _BESIDE_NUMBER.search(lower):
+        out.replace(list(_row_edits(out.text)))
     if any(word in lower for word in _SPOKEN):
         out.replace(list(_spoken_edits(out.text)))
         out.replace(list(_number_edits(out.text)))

@@ -205,6 +205,39 @@ DISGUISED = [
 ]
 
 
+PARTLY_SPELLED = [
+    ("+49 one two three 4567890", "phone"),
+    ("+1 415 five five five 2671", "phone"),
+    ("+1 (415) five five five 2671", "phone"),
+    ("plus 49 one two three 4567890", "phone"),
+    ("plus four nine 301234567", "phone"),
+    ("+44 20 7946 double zero 18", "phone"),
+    ("4111 1111 one one one one 1111", "card"),
+    ("4111 1111 1111 111 one", "card"),
+    ("192 dot 168 dot one dot 10", "ip"),
+]
+
+
+@pytest.mark.parametrize("disguise, kind", PARTLY_SPELLED)
+def test_numbers_spelled_in_part_are_found(disguise, kind):
+    _, added = pii.find_spans(f"Grüße, see {disguise} , and so on.")
+    assert pii.Span(kind, 11, 11 + len(disguise)) in added
+
+
+@pytest.mark.parametrize(
+    "text", ["Call +49 30 1234567 one of us", "In 2023 one of 12 two-part rules, 10.0.3. One more"]
+)
+def test_words_beside_numbers_in_prose(text):
+    assert pii.find_spans(text)[1] == []
+
+
+@pytest.mark.parametrize("part", ["12 one ", "plus ", "+", "one 12 dot ", "one-12 . "])
+def test_long_rows_of_part_spelled_numbers_cost_their_length(part):
+    started = time.process_time()
+    pii.find_spans(part * 40_000)
+    assert time.process_time() - started < 5
+
+
 @pytest.mark.parametrize("disguise, kind", DISGUISED)
 def test_disguises_are_found_at_their_place(disguise, kind):
     before, after = "Grüße ​, see ", " , and so on."
