@@ -181,9 +181,10 @@ _DIGIT_LOOKS = str.maketrans("OoIl", "0011")
 # Quick tests on the lower-case text, so that plain prose costs one pass or less.
 _DIGIT_TOKENS = frozenset({*DIGIT_WORDS, *DIGIT_WORDS.values()})
 _MARKS = ("[", "(", "{", "<", "&#", "&c", "&p", "%4", "%2")
-_SPOKEN = ("dot", "punto", "punkt", " @", "\t@", "@ ", "@\t")
+_SPOKEN = ("dot", "punto", "punkt", "arroba", " @", "\t@", "@ ", "@\t")
 # Bracketed disguises stand on their own; bare words only as "name at host dot com", since
-# "met at the dot on the map" is prose. Endings that count (fixed values):
+# "met at the dot on the map" is prose. After a spoken dot any ending counts, after a plain one
+# these (fixed values), and any behind "arroba", which is no English word:
 _ENDINGS = frozenset(
     "com org net edu gov mil info biz io dev app co de fr es uk eu ch nl se ca au in jp br mx".split()
 )
@@ -212,6 +213,7 @@ _SPOKEN_DOT = re.compile(
 _LABEL = re.compile(
     r"[A-Za-z0-9]++(?:-(?!(?:dot|punto|punkt|at|arroba)-)[A-Za-z0-9]++)*+", re.IGNORECASE
 )
+_ANY_ENDING = re.compile("[A-Za-z]{2,}|xn--[A-Za-z0-9-]+")
 _NAME_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}\Z", re.IGNORECASE)
 # Four numbers with "dot" between some of them.
 _NUMBERS = re.compile(
@@ -312,17 +314,23 @@ def _bracket_edits(text: str) -> Iterator[Edit]:
 def _spoken_host(text: str, at: re.Match) -> list[re.Match]:
     """The dots of the host that stands behind a spoken ``at``; none if there is no host."""
     dots, good = [], 0
+    arroba = (at["word"] or "").lower() == "arroba"
     label = _LABEL.match(text, at.end())
     if not label or at["word"] and label[0].lower() in _NO_HOSTS:
         return []
     while label:
-        if dots and label[0].lower() in _ENDINGS and text[label.end() : label.end() + 1] not in ("-", "_"):
-            good = len(dots)
+        if dots and text[label.end() : label.end() + 1] not in ("-", "_"):
+            if label[0].lower() in _ENDINGS or (
+                (dots[-1]["word"] or arroba and dots[-1][0] == ".")
+                and _ANY_ENDING.fullmatch(label[0])
+                and label[0].lower() not in _NO_HOSTS
+            ):
+                good = len(dots)
         if dot := _SPOKEN_DOT.match(text, label.end()):
             dots.append(dot)
         label = dot and _LABEL.match(text, dot.end())
     dots = dots[:good]
-    return dots if not at["word"] or any(dot["word"] for dot in dots) else []
+    return dots if not at["word"] or arroba or any(dot["word"] for dot in dots) else []
 
 
 def _spoken_edits(text: str) -> Iterator[Edit]:

@@ -205,6 +205,27 @@ DISGUISED = [
 ]
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "jan at firma dot pl",
+        "anna at posta dot it",
+        "li dot wei at mail dot firma dot museum",
+        "kim_at_firma_dot_kr",
+        "name arroba host.com",
+        "name arroba firma.pl",
+        "name arroba firma punto tv",
+    ],
+)
+def test_any_ending_counts_after_a_spoken_dot(address):
+    _, added = pii.find_spans(f"Grüße, see {address} , and so on.")
+    assert pii.Span("email", 11, 11 + len(address)) in added
+
+
+def test_spoken_dots_in_prose():
+    assert pii.find_spans("We looked at this dot on the map and at it dot the i. Una arroba de vino.") == ([], [])
+
+
 PARTLY_SPELLED = [
     ("+49 one two three 4567890", "phone"),
     ("+1 415 five five five 2671", "phone"),
