@@ -59,6 +59,44 @@ from judged
 """
 
 
+#: A term of ranked search.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = r"""
+with docs as (
+  select row_number() over () as did, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '{term}')) as term
+  from documents
+),
+items as (
+  select row_number() over () as iid, item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '{term}')) as term
+  from benchmark
+),
+sizes as (select did, count(*)::bigint as n from docs group by did),
+corpus as (select count(*)::bigint as held, sum(n)::bigint as total from sizes),
+counts as (select did, doc_id, term, count(*)::bigint as tf from docs group by all),
+weights as (
+  select term, floor(1000 * ln((2 * held + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from counts, corpus group by term, held
+),
+wanted as (select iid, item_id, term, count(*)::bigint as times from items group by all),
+scored as (
+  select iid, item_id, did, doc_id,
+         sum(times * w * ((1000000000 * tf)
+             // (1000 * tf + 12 * (75 + (25 * n * held) // total))))::bigint as score
+  from wanted join counts using (term) join weights using (term) join sizes using (did), corpus
+  group by all
+),
+ranked as (
+  select *, row_number() over (partition by iid order by score desc, doc_id, did) as rank
+  from scored where score > 0
+)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= {best}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from ledgerlens.llm import queries as q
 
@@ -67,4 +105,8 @@ def oracle_sql() -> dict[str, str]:
         "min_sites": q.MIN_SITES,
         "kept_share": 1 - q.MAX_LINE_SHARE,
     }
-    return {"op6_chat": CHAT, "op10_lines": LINES.format(**limits)}
+    return {
+        "op6_chat": CHAT,
+        "op10_lines": LINES.format(**limits),
+        "op11_search": SEARCH.format(term=TERM, best=q.BEST_DOCUMENTS),
+    }

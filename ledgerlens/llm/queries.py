@@ -14,8 +14,11 @@ from ledgerlens.llm import (
     decontaminate,
     embeddings,
     lines,
+    neighbours,
     pii,
     quality,
+    ranked_search,
+    repair,
     resharding,
     secrets,
     simhash,
@@ -34,6 +37,9 @@ MIN_SCORE = 0.3
 SHINGLE, MAX_BITS = 3, 3
 MIN_COSINE = 0.9
 OLD_SHARDS, NEW_SHARDS = 32, 40
+BEST_DOCUMENTS, NEAREST = 20, 10
+#: Rows whose id is divisible by this are the queries of the nearest neighbours.
+EVERY = 100
 
 
 def tokenizer_path() -> str:
@@ -201,6 +207,66 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BEST_DOCUMENTS
+    )
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, repeated, cut off and given a wrong role."""
+    space = F.lit(" ")
+    name = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space),
+        F.lit(":"),
+        F.coalesce(F.col("turn").cast("string"), space),
+    )
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", space).alias("role"),
+        F.coalesce("text", space).alias("text"),
+        (F.crc32(name) % 20).alias("kind"),
+    )
+    kind = F.col("kind")
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", ""))
+    times = F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.where(kind != 0).select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.otherwise(F.col("text")).alias("text"),
+        F.explode(times).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    plan, rows = repair.repair(damaged(conversations))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = plan.join(
+        repair.digests(rows).withColumnRenamed("conv", "hashed"),
+        F.col("conv").eqNullSafe(F.col("hashed")),
+        "left",
+    )
+    ids = conversations.select("conv_id").distinct()
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asks = F.col("vec_id") % EVERY == 0
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), asks, NEAREST)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -213,4 +279,7 @@ def queries() -> dict[str, Query]:
         "op8_reshard": op8_reshard,
         "op9_simhash": op9_simhash,
         "op10_lines": op10_lines,
+        "op11_search": op11_search,
+        "op12_repair": op12_repair,
+        "op13_neighbours": op13_neighbours,
     }
