@@ -16,7 +16,7 @@ occurrences in the query; all but the weight is in whole numbers.
 
 Texts are split once, in tasks that hand on each document's distinct terms and counts; Spark joins
 them with the terms of the queries, as a broadcast while those are few. Postings are dealt by
-document to blocks of about ``BLOCK`` documents and the queries to blocks of ``QUERIES``, so a term that
+document to blocks of about ``BLOCK`` postings and the queries to blocks of ``QUERIES``, so a term that
 every document holds is spread evenly, and a task holds the posting lists of one pair of blocks. Each
 block gives its k best of every query, and the best of these are the result.
 
@@ -43,8 +43,8 @@ from ledgerlens.llm.rows import SLICE
 from ledgerlens.session import written
 
 K = 20
-#: Documents of a block, and queries that are answered against it at a time.
-BLOCK = 32768
+#: Postings of a block of documents, and queries that are answered against it at a time.
+BLOCK = 1 << 20
 QUERIES = 1024
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -185,7 +185,7 @@ def search(
     text_col: str = "text",
     query_id_col: str = "item_id",
     query_text_col: str = "text",
-    block_docs: int = BLOCK,
+    block_postings: int = BLOCK,
     block_queries: int = QUERIES,
 ) -> DataFrame:
     """(query id, rank, document id, score): the k best documents of every query row."""
@@ -197,13 +197,11 @@ def search(
     terms, _ = written(terms.union(sums), "terms")
     found = counted(_numbered(docs, id_col, text_col)).join(terms, "term").drop("term")
     postings, _ = written(found, "postings")
-    count, length = (
-        postings.where("number = -1")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tf"), F.lit(0)))
-        .first()
-    )
-    postings = postings.where("number >= 0")
-    blocks = max(1, -(-count // block_docs))
+    adds = F.col("number") < 0
+    counts = [F.sum(F.when(adds, F.col(c))) for c in ("n", "tf")] + [F.count(F.when(~adds, 1))]
+    count, length, held = (x or 0 for x in postings.agg(*counts).first())
+    postings = postings.where(~adds)
+    blocks = max(1, -(-held // block_postings))
     parts = max(1, -(-asked.count() // block_queries))
 
     frequency = postings.groupBy("number").agg(F.count("*").alias("df"))
