@@ -12,8 +12,9 @@ or more, so the number of its collisions is binomial and the threshold is taken
 with probability ``SURE``. So each of the k nearest is found with that probability, whatever
 the data: vectors all alike far only cost more verifications.
 
-All rows are indexed, in blocks of about ``BLOCK`` rows dealt by hash, each with its own sorted arrays.
-Queries stream past a block in batches. Where there are several blocks, every query first meets
+All rows are indexed, in blocks of about ``BLOCK`` rows dealt by hash, each with its own sorted
+arrays. Where there are fewer blocks than task slots, a block serves groups of queries in several
+tasks. Queries stream past a block in batches. Where there are several blocks, every query first meets
 one of them; the distance of its kth neighbour there bounds the radius in all others.
 
 Nearness is the Euclidean distance in double precision, summed in order of the components. Vectors
@@ -41,11 +42,11 @@ from ledgerlens.session import written
 K = 10
 PROJECTIONS = 64
 HALF_WIDTH = 1.0
-GROWTH = 1.2
+GROWTH = 1.15
 #: Probability to verify a vector that lies within the radius.
-SURE = 0.97
+SURE = 0.95
 #: Rows of a block, and queries that are answered at a time.
-BLOCK = 65536
+BLOCK = 1 << 16
 BATCH = 128
 SEED = 11
 
@@ -76,15 +77,20 @@ class Index:
     """Sorted arrays of the projections of some vectors, and the search in them."""
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, projections: int, sure: float):
-        #: Rows in order, so that a smaller position is a smaller row; components one by one.
-        self.rows = rows
-        self.components = np.ascontiguousarray(vectors.T, dtype=float)
+        #: Ascending, so that a smaller position is a smaller row.
+        self.rows, self.vectors = rows, vectors
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
         #: Scaled for the projections, so that large components don't overflow.
         self.scale = float(np.abs(vectors).max())
         self.directions = directions(vectors.shape[1], projections)
         projected = (vectors / self.scale) @ self.directions
         order = np.argsort(projected, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        count = np.uint16 if len(rows) <= 1 << 16 else np.uint32
+        #: Vectors in order of each projection, each vector's place in it, and the projections.
+        self.order = np.ascontiguousarray(order.T.astype(count))
+        self.place = np.empty_like(self.order)
+        for place, line in zip(self.place, self.order):
+            place[line] = np.arange(len(rows), dtype=count)
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
         self.needed = threshold(projections, sure)
 
@@ -92,20 +98,59 @@ class Index:
         """Distances of the chosen vectors, each summed component by component."""
         total = np.zeros(len(chosen))
         with np.errstate(over="ignore"):
-            for column, value in zip(self.components, query.tolist()):
-                difference = column[chosen] - value
+            for column, value in zip(self.vectors[chosen].T, query.tolist()):
+                difference = column - value
                 total += difference * difference
         return np.sqrt(total)
 
+    def verified(
+        self, query: np.ndarray, chosen: np.ndarray, found: np.ndarray, far: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of those found before and the chosen ones."""
+        if len(chosen) > 4 * k and self.scale < 1e100:
+            # All are measured by a product, whose error is far below the slack; those that it
+            # cannot put beyond the kth are measured exactly.
+            near = self.squares[chosen] - 2 * (self.vectors[chosen] @ query) + query @ query
+            limit = np.partition(near, k - 1)[k - 1]
+            limit = min(limit, far[-1] ** 2) if len(far) == k else limit
+            chosen = chosen[near <= limit + 1e-9 * (self.squares[chosen] + query @ query)]
+        found = np.concatenate([found, chosen])
+        far = np.concatenate([far, self.distances(query, chosen)])
+        best = np.lexsort((found, far))[:k]
+        return found[best], far[best]
+
     def _start(self, at: np.ndarray, k: int) -> float:
         """A radius whose windows hold some k vectors in half of the arrays."""
         gaps = []
         for line, p in zip(self.sorted, at.tolist()):
-            middle = int(np.searchsorted(line, p))
+            middle = int(line.searchsorted(p))
             part = line[max(0, middle - k) : middle + k]
             gaps.append(np.sort(np.abs(part - p))[min(k, len(part)) - 1])
         return max(float(np.median(gaps)) / HALF_WIDTH, 1e-12)
 
+    def _count(self, counts: np.ndarray, old: list | None, new: list) -> None:
+        """Add the collisions of windows that grew from ``old`` to ``new``.
+
+        Where windows grow by little, what entered is counted; where they grow by much, it is
+        cheaper to count anew by the places of all vectors.
+        """
+        old = old or [(low, low) for low, _ in new]
+        entered = sum(high - low for low, high in new) - sum(high - low for low, high in old)
+        if entered * 32 < self.order.size:
+            for line, (was_low, was_high), (low, high) in zip(self.order, old, new):
+                counts[line[low:was_low]] += 1
+                counts[line[was_high:high]] += 1
+            return
+        counts[:] = 0
+        kind, shifted = self.place.dtype.type, np.empty_like(self.place[0])
+        held = np.empty(len(counts), bool)
+        for place, (low, high) in zip(self.place, new):
+            if high > low:
+                # Places below a window wrap around and exceed its width.
+                np.subtract(place, kind(low), out=shifted)
+                np.less_equal(shifted, kind(high - 1 - low), out=held)
+                counts += held.view(np.uint8)
+
     def search(
         self, row: int, query: np.ndarray, k: int, bound: float = math.inf
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -115,40 +160,31 @@ class Index:
         """
         size = len(self.rows)
         own = int(np.searchsorted(self.rows, row))
-        held = own < size and self.rows[own] == row
         at = (query / self.scale) @ self.directions
-        counts = np.zeros(size, np.int16)
+        counts = np.zeros(size, np.uint8)
         fresh = np.ones(size, bool)
-        if held:
+        if own < size and self.rows[own] == row:
             fresh[own] = False
-        low = high = None
+        windows = None
         found, far = np.zeros(0, np.int64), np.zeros(0)
         radius = self._start(at, 2 * k)
         while True:
             reach = HALF_WIDTH * radius
-            new_low = [int(np.searchsorted(s, p - reach, "left")) for s, p in zip(self.sorted, at)]
-            new_high = [int(np.searchsorted(s, p + reach, "right")) for s, p in zip(self.sorted, at)]
-            for j, line in enumerate(self.order):
-                if low is None:
-                    counts[line[new_low[j] : new_high[j]]] += 1
-                else:
-                    counts[line[new_low[j] : low[j]]] += 1
-                    counts[line[high[j] : new_high[j]]] += 1
-            low, high = new_low, new_high
+            ends = np.stack([at - reach, at + reach], axis=1)
+            wider = [tuple(line.searchsorted(e).tolist()) for line, e in zip(self.sorted, ends)]
+            self._count(counts, windows, wider)
+            windows = wider
             covered = counts >= self.needed if math.isfinite(radius) else fresh
             chosen = np.flatnonzero(covered & fresh)
             if len(chosen):
                 fresh[chosen] = False
-                found = np.concatenate([found, chosen])
-                far = np.concatenate([far, self.distances(query, chosen)])
-                # Of equal distances the smaller position; rows are numbered in order of ids.
-                best = np.lexsort((found, far))[:k]
-                found, far = found[best], far[best]
+                found, far = self.verified(query, chosen, found, far, k)
             within = radius * self.scale
             if (len(far) == k and far[-1] <= within) or bound <= within or not fresh.any():
                 return found, far
-            # Twice as far while no vector has half the collisions it needs.
-            radius *= GROWTH if 2 * counts.max() > self.needed else 2
+            # Twice as far while fewer than k vectors have half the collisions they need.
+            half = np.count_nonzero((counts >= self.needed // 2) & fresh)
+            radius *= 2 if half < k else GROWTH
 
 
 def _searched(rows: DataFrame, k: int, projections: int, sure: float) -> DataFrame:
@@ -203,20 +239,27 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def _met(points: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    """Data and queries by block, the data first; ``queries`` name the blocks they go to."""
-    own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    data = points.select("size", own.alias("number"), "row", "vector")
-    asked = queries.select("size", F.explode("numbers").alias("number"), "row", "vector", "bound")
-    both = data.withColumn("bound", F.lit(None).cast("double")).union(asked)
-    both = both.select(
-        F.concat_ws("/", "size", "number").alias("block"),
+def _met(points: DataFrame, queries: DataFrame, blocks: int, groups: int) -> DataFrame:
+    """Data and queries by block and group of queries, the data first.
+
+    ``queries`` name the blocks they go to; a block's data go to each group of queries.
+    """
+    own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("number")
+    group = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("group")
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    data = points.select("size", own, each, "row", "vector", F.lit(None).cast("double").alias("bound"))
+    asked = queries.select(
+        "size", F.explode("numbers").alias("number"), group, "row", "vector", "bound"
+    )
+    both = data.union(asked).select(
+        F.concat_ws("/", "size", "number", "group").alias("block"),
         F.col("bound").isNotNull().alias("is_query"),
         "row",
         "vector",
         "bound",
     )
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "is_query")
+    both = both.repartitionByRange(blocks * groups, "block")
+    return both.sortWithinPartitions("block", "is_query")
 
 
 def nearest(
@@ -231,6 +274,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, id, score): up to k nearest found of every row for which ``is_query`` holds.
 
+    There are 255 projections at most.
+
     ``is_query`` is an expression over the rows of ``vectors``. Ranks of queries that share
     an id are counted for each of them.
     """
@@ -244,12 +289,14 @@ def nearest(
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     rows = rows.orderBy(F.col("id").asc_nulls_last(), "tie").drop("tie")
     points, _ = written(rows.withColumn("row", F.monotonically_increasing_id()), "points")
-    blocks = max(1, -(-points.count() // block_rows))
+    count, slots = points.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-count // block_rows))
+    groups = -(-slots // blocks)
     asking = points.where("asks")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
 
     def ask(numbers: Column, queries: DataFrame) -> DataFrame:
-        met = _met(points, queries.withColumn("numbers", numbers), blocks)
+        met = _met(points, queries.withColumn("numbers", numbers), blocks, groups)
         return _searched(met, k, projections, sure)
 
     unbounded = asking.withColumn("bound", F.lit(float("inf")))

@@ -55,7 +55,7 @@ def searched(spark, docs, items, k=20, **sizes):
     return sorted(map(tuple, rows), key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_docs": 16, "block_queries": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"block_postings": 100, "block_queries": 3}])
 def test_search_against_scoring_everything(spark, sizes):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)] + ["ÄÖ", "naïve", "x1"]
@@ -89,7 +89,7 @@ def test_search_stops_creating_accumulators_only_when_it_may():
 def test_search_ties_go_to_the_smaller_id(spark):
     docs = [(i, "same words here") for i in random.Random(1).sample(range(400), 300)]
     docs += [(9000 + i, "other text") for i in range(50)]
-    got = searched(spark, docs, [(1, "words")], 20, block_docs=32)
+    got = searched(spark, docs, [(1, "words")], 20, block_postings=32)
     ids = sorted(i for i, t in docs if t != "other text")[:20]
     assert [r[2] for r in sorted(got, key=lambda r: r[1])] == ids
 
@@ -341,7 +341,7 @@ def found(spark, vectors, k=10, **more):
 
 
 @pytest.mark.parametrize("kind", ["even", "clusters", "line", "one cluster"])
-@pytest.mark.parametrize("block", [65536, 500])
+@pytest.mark.parametrize("block", [neighbours.BLOCK, 500])
 def test_recall(spark, kind, block):
     rng = np.random.default_rng(9)
     size = 3 if kind == "line" else 32
