@@ -32,11 +32,15 @@ from ledgerlens.sinks import export_report  # noqa: E402
 from ledgerlens.sources import compact_ledger, read_ledger, write_ledger  # noqa: E402
 from ledgerlens.sources import star  # noqa: E402
 
-try:  # the corpus operators and their pipeline may be absent; the ledger works without them
+# The corpus operators and their pipeline may be absent; the ledger works without them. What is
+# broken inside them is not hidden.
+try:
     import corpus_pipeline
     from ledgerlens.llm import oracle as corpus_oracle
     from ledgerlens.llm import queries as corpus_queries
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "ledgerlens.llm"):
+        raise
     corpus_pipeline = corpus_oracle = corpus_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,22 +41,44 @@ def configure(spark: SparkSession, shuffle_bytes: int) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder shared by all executors that the cluster names, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """Where work files go: the folder the cluster shares, else one below the warehouse.
+    """Where work files go: the folder that ``spark.checkpoint.dir`` names.
 
-    Both are visible to the driver and to every executor; a machine-local folder is not.
+    Driver and executors have to share it. Only a local session, whose executors run in the
+    driver's own process, may leave it out; its files then go below the warehouse.
     """
-    return shared_dir(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    raise ValueError(
+        "spark.checkpoint.dir is not set: name a folder that the driver and all executors share"
+    )
+
+
+#: Paths made inside each open :func:`work_tables`.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch paths made inside when it ends; what is to stay is written elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in :func:`scratch_dir`; pass it to :func:`remove_at_exit` once written."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def _file_system(spark: SparkSession, path: str):
