@@ -18,7 +18,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -187,30 +187,41 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return map_rows(rows, f"`{id_col}` {id_type}, ids array<int>", start)
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, ids_sha256, decoded_sha256): encoded and decoded again in one crossing to Python.
+
+    SHA-256 in lowercase hex of the ids as little-endian unsigned 32-bit integers, and of the decoded
+    text in UTF-8.
+    """
+    rows = docs.select(id_col, text_col)
+    id_type = rows.schema[id_col].dataType.simpleString()
+
+    def start() -> Callable[..., tuple]:
+        ids_of, pieces = encoder(path), _vocabulary(path).pieces
+
+        def convert(key, text):
+            ids = ids_of(text)
+            whole = _text(ids.tolist(), pieces).encode()
+            digests = (hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), whole))
+            return key, ids.astype("<i4"), *digests
+
+        return convert
+
+    schema = f"`{id_col}` {id_type}, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return map_rows(rows, schema, start)
+
+
+def _text(ids: Iterable[int], pieces: Sequence[bytes]) -> str:
+    """Text of ids; unpaired bytes become U+FFFD."""
+    return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
+
+
 def decoded(ids: Column, path: str) -> Column:
     """Text of an array of ids, control strings included; unpaired bytes become U+FFFD."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         pieces = _vocabulary(path).pieces
-        texts = [
-            b"".join([pieces[i] for i in row.as_py() or ()]).decode("utf-8", "replace")
-            for row in column
-        ]
-        return pa.array(texts, pa.string())
+        return pa.array([_text(row.as_py() or (), pieces) for row in column], pa.string())
 
     return decode(ids)
-
-
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of ids written as little-endian unsigned 32-bit integers, in lowercase hex."""
-
-    @F.arrow_udf("string")
-    def digest(column: pa.Array) -> pa.Array:
-        values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        starts = ends - np.diff(ends, prepend=0)
-        digests = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends)]
-        return pa.array(digests, pa.string())
-
-    return digest(ids)

@@ -5,18 +5,21 @@ sketch of its sites; sketches of many tasks merge by aggregation. Lines whose es
 near the threshold get an exact distinct count, lines clearly above it are boilerplate, lines
 clearly below are not. Only DataFrame functions are used.
 
-Lines are what newlines separate; a line is compared without white space at its ends, and lines
-shorter than ``min_chars`` are never boilerplate. A document of which more than
-``max_share`` of the characters would go is left whole: it is a copy of a document that stands on
-many sites, which is for document dedup to settle, not a page with boilerplate on it.
-
-Lines are told apart by a 64-bit hash. Null text stays null and empty text empty; a null site is
-no site. Ids may repeat or be null: every row is cleaned by its own lines. Other columns, whatever
-their names, are carried along as they are.
+The threshold is a share of the distinct sites of the input, but never below ``least_sites``. Lines
+are what newlines separate; a line is compared without white space at its ends, and lines
+shorter than ``min_chars`` are never boilerplate. Two kinds of documents are left whole: those of
+which nothing but white space would be left, and those whose whole text stands on as many sites
+itself, told by an exact count per hash of the text. They are copies, which is for document dedup to
+settle.
+
+Lines are told apart by a 64-bit hash, whole texts by their MD5. Null text stays null and empty text
+empty; a null site is no site. Every row is cleaned by its own text, whatever its id, null and
+repeated ids included. Other columns, whatever their names, are carried along as they are.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -75,12 +78,19 @@ def boilerplate(
     return sure.union(exact.where(F.col("count") >= min_sites).select("line"))
 
 
+def sites_needed(
+    docs: DataFrame, sites_share: float, least_sites: int, site_col: str = "source"
+) -> int:
+    """Sites a line has to stand on: that share of all sites, rounded up, ``least_sites`` at least."""
+    sites = docs.agg(F.count_distinct(site_col)).first()[0]
+    return max(least_sites, math.ceil(round(sites_share * sites, 6)))
+
+
 def remove_boilerplate(
     docs: DataFrame,
-    min_sites: int,
+    sites_share: float = 0.2,
+    least_sites: int = 3,
     min_chars: int = 20,
-    max_share: float = 0.5,
-    id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
     removed_col: str | None = None,
@@ -89,16 +99,22 @@ def remove_boilerplate(
 
     ``removed_col`` names an added column with the number of lines removed from each row.
     """
+    needed = sites_needed(docs, sites_share, least_sites, site_col)
     # As a table its size is known: Spark broadcasts it while small and shuffles beyond that.
-    known, _ = written(boilerplate(docs, min_sites, min_chars, text_col, site_col), "boilerplate")
+    known, _ = written(boilerplate(docs, needed, min_chars, text_col, site_col), "boilerplate")
     tag = uuid.uuid4().hex
     key, bad, text = f"key_{tag}", f"bad_{tag}", F.col(text_col)
     standing = docs.select(
-        F.col(id_col).alias(key), F.explode(_hashes(text, min_chars)).alias("line")
+        F.md5(text).alias(key),
+        F.col(site_col).alias("site"),
+        F.explode(_hashes(text, min_chars)).alias("line"),
     )
-    # Which boilerplate lines a document has; few documents have any.
-    by_doc = standing.join(known, "line").groupBy(key).agg(F.collect_set("line").alias(bad))
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    # Which boilerplate lines a text has and on how many sites it stands; few texts have any.
+    by_site = standing.join(known, "line").groupBy(key, "site")
+    by_text = by_site.agg(F.collect_set("line").alias("lines")).groupBy(key)
+    by_text = by_text.agg(F.count("site").alias("sites"), F.first("lines").alias(bad))
+    by_text = by_text.where(F.col("sites") < needed).select(key, bad)
+    joined = docs.join(by_text, F.md5(text) == F.col(key), "left")
 
     def goes(line: Column) -> Column:
         return F.coalesce(F.array_contains(F.col(bad), _comparable(line, min_chars)), F.lit(False))
@@ -109,11 +125,7 @@ def remove_boilerplate(
     )
     cleaned = F.array_join(kept, "\n")
     removed = F.size(lines) - F.size(kept)
-    applies = (
-        F.col(bad).isNotNull()
-        & (removed > 0)
-        & (F.char_length(cleaned) >= (1 - max_share) * F.char_length(text))
-    )
+    applies = F.col(bad).isNotNull() & (_bare(cleaned) != "")
     columns = [
         F.when(applies, cleaned).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
         for c in docs.columns

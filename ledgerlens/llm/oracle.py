@@ -35,21 +35,27 @@ numbered as (
 plain as (
   select *, regexp_replace(line, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') as bare from numbered
 ),
+needed as (
+  select greatest({least_sites}, ceil(round({sites_share} * count(distinct source), 6))) as sites
+  from documents
+),
 spread as (
   select bare from plain
   where length(bare) >= {min_chars} and source is not null
-  group by bare having count(distinct source) >= {min_sites}
+  group by bare having count(distinct source) >= (select sites from needed)
 ),
 kept as (
   select rid, count(*) as n, string_agg(line, chr(10) order by pos) as text
   from plain where bare not in (select bare from spread) group by rid
 ),
+texts as (select text, count(distinct source) as sites from documents group by text),
 judged as (
   select d.doc_id, d.text,
          len(d.lines) - coalesce(k.n, 0) as gone, coalesce(k.text, '') as cleaned,
          len(d.lines) - coalesce(k.n, 0) > 0
-           and length(coalesce(k.text, '')) >= {kept_share} * length(d.text) as applies
-  from docs d left join kept k using (rid)
+           and regexp_matches(coalesce(k.text, ''), '[^ \t\n\v\f\r]')
+           and t.sites < (select sites from needed) as applies
+  from docs d left join kept k using (rid) left join texts t on d.text = t.text
 )
 select doc_id,
        case when applies then gone else 0 end::bigint as n_removed,
@@ -102,8 +108,8 @@ def oracle_sql() -> dict[str, str]:
 
     limits = {
         "min_chars": q.MIN_LINE_CHARS,
-        "min_sites": q.MIN_SITES,
-        "kept_share": 1 - q.MAX_LINE_SHARE,
+        "sites_share": q.SITES_SHARE,
+        "least_sites": q.LEAST_SITES,
     }
     return {
         "op6_chat": CHAT,

@@ -220,6 +220,14 @@ def in_training(id_column: Column, folds: int = 5) -> Column:
     return F.crc32(id_column.cast("string")) % folds != 0
 
 
+def labelled(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
+) -> DataFrame:
+    """The documents that have a label that may be learnt."""
+    wanted = labels.where(F.col(label_col).isNotNull() & in_training(F.col(id_col)))
+    return docs.join(wanted.select(id_col), id_col, "left_semi")
+
+
 def fit_labels(
     vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
 ) -> QualityModel:

@@ -28,10 +28,9 @@ from ledgerlens.session import scratch_path, written
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ROOT = str(pathlib.Path(__file__).resolve().parents[2])
-#: Sites a line has to stand on to be boilerplate; a fifth of a corpus of some fifty sites.
-MIN_SITES = 10
+#: A line on this share of the sites, and on so many at least, is boilerplate.
+SITES_SHARE, LEAST_SITES = 0.2, 3
 MIN_LINE_CHARS = 20
-MAX_LINE_SHARE = 0.5
 #: A document is kept from this score on.
 MIN_SCORE = 0.3
 SHINGLE, MAX_BITS = 3, 3
@@ -62,17 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
-    encoded = bpe.encode(docs, path)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    return bpe.round_trip(docs, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256", "ids"
     )
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    """Digests of the ids and of the decoded texts; the pipeline hands on the ids themselves."""
+    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +190,9 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's cleaned text as a digest, and how many lines went."""
     cleaned = lines.remove_boilerplate(
         table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
-        MIN_SITES,
+        SITES_SHARE,
+        LEAST_SITES,
         MIN_LINE_CHARS,
-        MAX_LINE_SHARE,
         removed_col="n_removed",
     )
     return cleaned.select(

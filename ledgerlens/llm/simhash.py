@@ -22,6 +22,7 @@ component's id is its smallest id that is not null.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -168,6 +169,14 @@ def near_links(distinct: DataFrame, max_bits: int = 3, block: int = BLOCK) -> Da
     return groups.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _parts(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component): each fingerprint and the one that names its component."""
+    distinct = prints.select("fp").distinct()
+    parts = components(near_links(distinct, max_bits))
+    named = distinct.join(parts, F.col("fp") == F.col("node"), "left")
+    return named.select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 3,
@@ -178,10 +187,7 @@ def near_duplicates(
     """(id, fp, component_id): each document's fingerprint and its component's smallest id."""
     prints, _ = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("smallest"))
-    parts = components(near_links(distinct.select("fp"), max_bits))
-    named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select(
-        "fp", "smallest", F.coalesce("component", "fp").alias("component")
-    )
+    named = distinct.join(_parts(prints, max_bits), "fp")
     ids = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     by_print = named.join(ids, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
@@ -194,18 +200,36 @@ def one_of_each(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The documents less all near-duplicates but the one with the smallest id.
+    """The documents less all near-duplicates but one of each component.
 
-    Rows with a null id stay. Of rows that repeat an id one stays, unless the id goes.
+    Rows are judged by their texts: the row with the smallest id stays, null ids last, of equal
+    ids the one whose text has the smallest MD5 (null text as empty). Rows alike in both are copies, of
+    which any one stays. So rows that share an id but not their text are judged apart.
     """
-    found, _ = written(near_duplicates(docs, shingle, max_bits, id_col, text_col), "duplicates")
-    known = found.where(F.col(id_col).isNotNull())
-    ids = known.groupBy(id_col).agg(
-        F.count("*").alias("n"), F.min(F.col(id_col) != F.col("component_id")).alias("goes")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    tag = uuid.uuid4().hex
+    key, text, print_of = f"key_{tag}", f"text_{tag}", f"print_{tag}"
+    marked = docs.select(F.col(id_col).alias(key), digest.alias(text), F.col(text_col).alias(print_of))
+    mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(text).alias("text"))
+    marked = marked.select(mark.alias("mark"), F.col(print_of).alias("whole"))
+    prints, _ = written(fingerprints(marked, shingle, "mark", "whole"), "fingerprints")
+    rows = prints.groupBy("fp", "mark").agg(F.count("*").alias("n"))
+    named, _ = written(rows.join(_parts(prints, max_bits), "fp"), "marks")
+    best = named.groupBy("component").agg(F.min("mark").alias("best"))
+    judged = named.join(best, "component").select(
+        F.col("mark.id").alias(key),
+        F.col("mark.text").alias(text),
+        (F.col("mark") == F.col("best")).alias("stays"),
+        "n",
     )
-    kept = docs.join(ids.where("goes").select(id_col), id_col, "left_anti")
+    judged, _ = written(judged, "judged")
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (digest == F.col(text))
+    kept = docs.join(judged.where(~F.col("stays")), same, "left_anti")
     kept = kept.select([F.col(f"`{c}`") for c in docs.columns])
-    if ids.where("n > 1").isEmpty():
+    repeated = judged.where("stays and n > 1")
+    if repeated.isEmpty():
         return kept
-    with_id = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.union(kept.where(F.col(id_col).isNull()))
+    # Rows alike in id and text: only these are brought together.
+    again = kept.join(repeated, same, "left_semi").withColumn(text, digest)
+    again = again.dropDuplicates([id_col, text]).drop(text)
+    return kept.join(repeated, same, "left_anti").union(again)

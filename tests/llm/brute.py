@@ -1,6 +1,7 @@
 """Slow and plain versions of what the operators compute."""
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -64,26 +65,23 @@ def contained(text, item, min_words=13, min_share=0.8):
     return best if b and best >= min(min_words, len(b)) else 0
 
 
-def clean_lines(rows, min_sites, min_chars, max_share):
+def clean_lines(rows, sites_share, least_sites, min_chars):
     """Texts of (text, site) rows without the lines that stand on many sites."""
-    sites = {}
+    white = " \t\n\v\f\r"
+    needed = max(least_sites, math.ceil(round(sites_share * len({s for _, s in rows} - {None}), 6)))
+    sites, whole = {}, {}
     for text, site in rows:
-        for line in (text or "").split("\n"):
-            bare = line.strip(" \t\n\v\f\r")
-            if len(bare) >= min_chars and site is not None:
-                sites.setdefault(bare, set()).add(site)
+        if site is not None:
+            whole.setdefault(text, set()).add(site)
+            for line in (text or "").split("\n"):
+                if len(bare := line.strip(white)) >= min_chars:
+                    sites.setdefault(bare, set()).add(site)
     out = []
     for text, _ in rows:
-        if text is None:
-            out.append(None)
-            continue
-        kept = [
-            line
-            for line in text.split("\n")
-            if len(sites.get(line.strip(" \t\n\v\f\r"), ())) < min_sites
-        ]
-        joined = "\n".join(kept)
-        out.append(joined if len(joined) >= (1 - max_share) * len(text) else text)
+        kept = [x for x in (text or "").split("\n") if len(sites.get(x.strip(white), ())) < needed]
+        cleaned = "\n".join(kept)
+        spared = not cleaned.strip(white) or len(whole.get(text, ())) >= needed
+        out.append(text if text is None or spared else cleaned)
     return out
 
 

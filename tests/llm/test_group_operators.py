@@ -435,11 +435,22 @@ def test_simhash_odd_rows(odd_documents, no_documents):
     left = simhash.one_of_each(odd_documents)
     assert left.columns == odd_documents.columns
     kept = [r["doc_id"] for r in left.collect()]
-    assert sorted(map(str, kept)) == sorted(map(str, [1, 2, None, None, 5, 8, 9, 10]))
+    assert sorted(map(str, kept)) == sorted(map(str, [1, 2, None, 5, 8, 9, 10]))
     assert simhash.near_duplicates(no_documents).collect() == []
     assert simhash.one_of_each(no_documents).collect() == []
 
 
+def test_one_of_each_judges_rows(spark):
+    words = random.Random(2)
+    texts = [" ".join(f"{words.getrandbits(40):x}" for _ in range(60)) for _ in range(41)]
+    rows = [(i % 20, texts[i], "en", "s", 0) for i in range(40)]
+    rows += [(None, texts[40], "en", "s", 0)] * 10 + [(3, texts[3], "de", "t", 1)]
+    left = simhash.one_of_each(spark.createDataFrame(rows, DOCUMENTS).repartition(4)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted(
+        (str(d), t) for d, t in {(r[0], r[1]) for r in rows}
+    )
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 
@@ -452,9 +463,9 @@ def test_lines_match_sql(spark):
         assert "Python" not in made._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("sites", [3, 40])
-def test_lines_against_brute_force(spark, sites):
-    rng = random.Random(sites)
+@pytest.mark.parametrize("share, least", [(0.05, 2), (0.6, 3), (0.0, 7)])
+def test_lines_against_brute_force(spark, share, least):
+    rng = random.Random(least)
     common = [f"  common line number {i} of the site" for i in range(30)]
     rows = []
     for i in range(400):
@@ -462,27 +473,42 @@ def test_lines_against_brute_force(spark, sites):
         own += rng.sample(common[: 1 + i % 30], min(1 + i % 30, rng.randint(0, 4)))
         rng.shuffle(own)
         rows.append(("\n".join(own), None if i % 50 == 0 else f"site{rng.randrange(60)}"))
+    rows += [("a page that stands on very many sites\n" + common[0], f"site{i}") for i in range(60)]
     docs = as_documents(spark, [t for t, _ in rows], [s for _, s in rows])
-    got = lines.remove_boilerplate(docs, sites, 10, 0.5).orderBy("doc_id").collect()
-    want = brute.clean_lines(rows, sites, 10, 0.5)
+    got = lines.remove_boilerplate(docs, share, least, 10).orderBy("doc_id").collect()
+    want = brute.clean_lines(rows, share, least, 10)
     assert [r["text"] for r in got] == want
-    assert want != [t for t, _ in rows]
+    assert want[:400] != [t for t, _ in rows[:400]] and want[400:] == [t for t, _ in rows[400:]]
 
 
 def test_lines_odd_rows(spark, odd_documents, no_documents):
-    got = lines.remove_boilerplate(odd_documents, 2, 5, 1.0, removed_col="gone")
+    got = lines.remove_boilerplate(odd_documents, 0.1, 2, 5, removed_col="gone")
     assert got.columns == [*odd_documents.columns, "gone"]
     rows = got.collect()
-    assert len(rows) == 13
-    texts = {r["doc_id"]: r["text"] for r in rows}
-    assert texts[1] == texts[7] == texts[5] == texts[6] == ""  # the same line on two sites
-    assert texts[2] is None and texts[3] == "" and texts[4] == " \n\t\n "
-    assert lines.remove_boilerplate(no_documents, 2).collect() == []
+    assert len(rows) == 13 and sum(r["gone"] for r in rows) == 0  # whole copies stay
+    assert {(r["doc_id"], r["text"]) for r in rows} == {
+        (r["doc_id"], r["text"]) for r in odd_documents.collect()
+    }
+    assert lines.remove_boilerplate(no_documents).collect() == []
+
+
+def test_mixed_pages_lose_their_boilerplate_whatever_its_share(spark):
+    """Also under null and repeated ids, and where boilerplate is nearly all of the page."""
+    line = "a very long line of boilerplate that stands on every page of the corpus"
+    rows = [(None if i % 2 else 7, f"{line}\nown {i}\n{line}", "en", f"s{i % 9}", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(4)
+    got = lines.remove_boilerplate(docs, removed_col="gone").collect()
+    assert sorted(r["text"] for r in got) == sorted(f"own {i}" for i in range(40))
+    assert {r["gone"] for r in got} == {2}
 
 
 def test_copies_are_left_whole(spark):
     text = "one line that is everywhere\nand a second one like it"
     docs = as_documents(spark, [text] * 30, [f"s{i}" for i in range(30)])
-    assert {r["text"] for r in lines.remove_boilerplate(docs, 10).collect()} == {text}
+    assert {r["text"] for r in lines.remove_boilerplate(docs).collect()} == {text}
 
 
+def test_the_threshold_follows_the_sites(spark):
+    for sites, want in ((0, 3), (9, 3), (20, 4), (21, 5), (50, 10)):
+        docs = as_documents(spark, ["x"] * (sites + 1), [f"s{i}" for i in range(sites)] + [None])
+        assert lines.sites_needed(docs, 0.2, 3) == want
