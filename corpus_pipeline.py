@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, lines, quality, simhash
 from ledgerlens.llm import queries as q
-from ledgerlens.session import written
+from ledgerlens.session import remove, remove_at_exit, scratch_path, work_tables
 
 #: The classifier and the search for near-duplicates are no SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -20,13 +20,14 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier does not reject."""
     q.on_workers(spark)
-    model = quality.fit_labels(quality.statistics(docs), q.table(spark, sf_dir, "labels"))
+    labels = q.table(spark, sf_dir, "labels")
+    model = quality.fit_labels(quality.statistics(quality.labelled(docs, labels)), labels)
     return docs.where(quality.scored_text(F.col("text"), model) >= q.MIN_SCORE)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on many sites; none goes as a whole."""
-    cleaned = lines.remove_boilerplate(docs, q.MIN_SITES, q.MIN_LINE_CHARS, q.MAX_LINE_SHARE)
+    cleaned = lines.remove_boilerplate(docs, q.SITES_SHARE, q.LEAST_SITES, q.MIN_LINE_CHARS)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -42,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, with their number and digests."""
     q.on_workers(spark)
     return q.bpe_round_trip(docs, q.tokenizer_path())
 
@@ -57,8 +58,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; of the files made only the result's stay."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with work_tables(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        remove_at_exit(spark, path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if old:
+            remove(spark, old)
+        old = path
     return docs
