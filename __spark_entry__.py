@@ -57,6 +57,10 @@ CHOSEN = LedgerFilter(
     segments=("1-URGENT", "2-HIGH", "5-LOW"),
 )
 DATE_TEXT = "dd/MM/yyyy"
+FACETS = {
+    "sector": cf.Membership(("BLDG", "HOME")),
+    "gross_cy": cf.NumberRange(1_000_000, 30_000_000),
+}
 LARGE_OFFICES = ("NATION_7", "NATION_9")
 NO_OFFICER_OFFICES = ("NATION_6",)
 
@@ -132,6 +136,34 @@ def _column_profile(report: Query, date_formats: tuple[str, ...] = ()) -> Query:
     return run
 
 
+def _faceted_profile(report: Query, rules: dict[str, cf.ColumnFilter]) -> Query:
+    """The profile of a report's columns while two of them are being filtered."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        profile = cf.faceted_profile(report(spark, sf_dir), rules)
+        return _rounded(profile.withColumn("choices", F.array_join("choices", "|")))
+
+    return run
+
+
+def _inferred_profile(report: Query) -> Query:
+    """The profile of a report with dates as text in formats that nobody names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = report(spark, sf_dir).select(
+            F.date_format("paid_on", "dd/MM/yyyy").alias("day_first"),
+            F.date_format("paid_on", "d.M.yyyy").alias("dotted"),
+            F.date_format("paid_on", "MM/MM/yyyy").alias("either"),
+            "sector",
+            "gross",
+        )
+        profile = cf.inferred_profile(texts)
+        joined = {c: F.array_join(c, "|") for c in ("choices", "formats")}
+        return _rounded(profile.withColumns(joined))
+
+    return run
+
+
 def _filtered(
     report: Query, rules: dict[str, cf.ColumnFilter], date_formats: tuple[str, ...] = ()
 ) -> Query:
@@ -342,7 +374,9 @@ def ledger_queries() -> dict[str, Query]:
         ),
         "plan_vs_actual": _plan_vs_actual,
         "column_profile": _column_profile(payer_yoy),
+        "column_profile_faceted": _faceted_profile(payer_yoy, FACETS),
         "column_profile_daily": _column_profile(daily),
+        "column_profile_inferred": _inferred_profile(daily),
         "column_profile_date_text": _column_profile(_with_date_text(daily), (DATE_TEXT,)),
         "apply_column_filters": _filtered(
             payer_yoy,

@@ -18,9 +18,24 @@ FEW_VALUES = 10
 RANGE_STEPS = 100
 
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
-# Fewer than FEW_VALUES values fill at most that many registers of the sketch, so its
+# Fewer than FEW_VALUES values fill at most that many registers of the distinct-count sketch, so its
 # estimate cannot exceed this bound; a larger estimate proves there are more values.
 _SKETCH_BOUND = FEW_VALUES
+# Items that the frequency sketch has room for; it is exact up to three quarters of them.
+_TRACKED = 64
+
+#: Date formats that are tried on text, each with the shape its values have. Of formats that all
+#: values fit the first counts, so month before day.
+DATE_FORMATS = {
+    "M/d/yyyy[ HH:mm:ss]": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "d/M/yyyy[ HH:mm:ss]": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "yyyy/M/d[ HH:mm:ss]": r"^\d{4}/",
+    "M-d-yyyy[ HH:mm:ss]": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "d-M-yyyy[ HH:mm:ss]": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "d.M.yyyy[ HH:mm:ss]": r"^\d{1,2}\.\d{1,2}\.\d{4}",
+    "yyyyMMdd": r"^\d{8}$",
+    "d MMM yyyy": r"^\d{1,2} \w{3} \d{4}$",
+}
 
 
 @dataclass(frozen=True)
@@ -84,91 +99,153 @@ def _is_time(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _columns_at_a_glance(df: DataFrame, formats: Sequence[str]) -> DataFrame:
-    """One pass over all columns: sketched distinct count, missing values, kind and range."""
-    times, sums, rows = [], [], []
+def _guessed(field: T.StructField, number: int) -> tuple[list[str], list[str], list[str]]:
+    """For a text column: readings by each date format, their sums, and what the sums show."""
+    name, readings, sums, shown = _name(field.name), [], [], []
+    for j, (pattern, shape) in enumerate(DATE_FORMATS.items()):
+        read = f"_guess_{number}_{j}"
+        shaped = f"if({name} rlike r'{shape}', {name}, null)"
+        readings.append(
+            f"cast(try_to_timestamp({shaped}, {_text(pattern)}) as timestamp_ntz) as {read}"
+        )
+        sums += [
+            f"count({read}){{mask}} as votes_{number}_{j}",
+            f"min({read}){{mask}} as first_{number}_{j}",
+            f"max({read}){{mask}} as last_{number}_{j}",
+        ]
+        shown.append(
+            f"if(present_{number} > 0 and votes_{number}_{j} = present_{number}, struct("
+            f"{_text(pattern)} as format, first_{number}_{j} as first, last_{number}_{j} as last), null)"
+        )
+    return readings, sums, shown
+
+
+def _profile(
+    df: DataFrame, formats: Sequence[str], masks: Mapping[str, str], guess: bool
+) -> DataFrame:
+    """One aggregation over all columns; ``masks`` names the rows that count for a column.
+
+    Few values are told exactly by two sketches. One estimates how many distinct values there
+    are and proves where there are ten or more. The other has room for many more than ten items and
+    is exact for those columns that remain; that its counts add up shows it left none out.
+    """
+    readings, sums, rows = [], [], []
+    no_guess = "cast(array() as array<struct<format:string,first:timestamp_ntz,last:timestamp_ntz>>)"
     for i, field in enumerate(df.schema.fields):
         name, dtype = _name(field.name), field.dataType
+        mask = f" filter (where {masks[field.name]})" if field.name in masks else ""
+        present = f"{name} is not null" + (f" and {masks[field.name]}" if mask else "")
         sums += [
-            f"approx_count_distinct({name}) as approx_{i}",
-            f"count({name}) as present_{i}",
+            f"count(*){mask} as rows_{i}",
+            f"approx_count_distinct({name}){mask} as approx_{i}",
+            f"count({name}){mask} as present_{i}",
+            f"approx_top_k(cast({name} as string), {FEW_VALUES}, {_TRACKED})"
+            f" filter (where {present}) as top_{i}",
         ]
         kind, low, high = "'text'", "cast(null as double)", "cast(null as double)"
         first = last = "cast(null as timestamp_ntz)"
+        guesses = no_guess
         if isinstance(dtype, T.NumericType):
             kind, low, high = "'number'", f"low_{i}", f"high_{i}"
             sums += [
-                f"cast(min({name}) as double) as low_{i}",
-                f"cast(max({name}) as double) as high_{i}",
+                f"cast(min({name}){mask} as double) as low_{i}",
+                f"cast(max({name}){mask} as double) as high_{i}",
             ]
         elif _is_time(dtype) or isinstance(dtype, T.StringType):
             kind = f"if(present_{i} > 0 and times_{i} = present_{i}, 'date', 'text')"
             first, last = f"first_{i}", f"last_{i}"
-            times.append(f"{_as_time(field, formats)} as _time_{i}")
+            readings.append(f"{_as_time(field, formats)} as _time_{i}")
             sums += [
-                f"count(_time_{i}) as times_{i}",
-                f"min(_time_{i}) as first_{i}",
-                f"max(_time_{i}) as last_{i}",
+                f"count(_time_{i}){mask} as times_{i}",
+                f"min(_time_{i}){mask} as first_{i}",
+                f"max(_time_{i}){mask} as last_{i}",
             ]
+            if guess and isinstance(dtype, T.StringType):
+                read, votes, shown = _guessed(field, i)
+                readings += read
+                sums += [v.format(mask=mask) for v in votes]
+                guesses = (
+                    f"if(times_{i} = present_{i}, {no_guess}, array_compact(array({', '.join(shown)})))"
+                )
         rows.append(
-            f"struct({i} as column_no, {_text(field.name)} as column_name, approx_{i} as approx,"
-            f" rows > present_{i} as has_missing, {kind} as kind,"
-            f" {low} as low, {high} as high, {first} as first, {last} as last)"
+            f"struct({_text(field.name)} as column_name, rows_{i} as rows_left,"
+            f" approx_{i} as approx, present_{i} as present, top_{i} as top,"
+            f" {kind} as kind, {low} as low, {high} as high, {first} as first, {last} as last,"
+            f" {guesses} as guesses)"
         )
-    return (
-        df.selectExpr("*", *times)
-        .selectExpr("count(*) as rows", *sums)
-        .selectExpr(f"inline(array({', '.join(rows)}))")
-    )
-
-
-def column_profile(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    """How each column of a report can be filtered, one row per column.
-
-    ``filter_kind`` is ``membership`` for fewer than ten distinct values (with the choices),
-    ``number`` or ``date`` (with the range and, for numbers, the slider step) or ``text``.
-    Text in which every value is a date counts as a date. ISO dates are recognised;
-    ``date_formats`` lists further patterns such as ``dd/MM/yyyy``, tried in order.
-
-    Distinct counts are exact without shuffling the values of high-cardinality columns: a
-    first pass sketches all columns at once and rules out those that certainly have ten or
-    more values; a second pass turns only the others into (column, value) rows, which
-    map-side aggregation reduces to a handful per task.
-    """
-    columns = _columns_at_a_glance(df, date_formats)
-    candidates = columns.where(F.col("approx") <= _SKETCH_BOUND).agg(F.collect_list("column_no"))
-    cells = ", ".join(
-        f"if(array_contains(_candidates, {i}),"
-        f" struct({i} as column_no, cast({_name(name)} as string) as value), null)"
-        for i, name in enumerate(df.columns)
-    )
+    columns = df.selectExpr("*", *readings).selectExpr(*sums)
+    columns = columns.selectExpr(f"inline(array({', '.join(rows)}))")
     few = (
-        df.withColumn("_candidates", candidates.scalar())
-        .selectExpr(f"inline(array_compact(array({cells})))")
-        .where("value is not null")
-        .distinct()
-        .groupBy("column_no")
-        .agg(F.sort_array(F.collect_list("value")).alias("choices"))
-        .where(F.size("choices") < FEW_VALUES)
+        f"approx <= {_SKETCH_BOUND} and size(top) < {FEW_VALUES}"
+        " and aggregate(top, 0L, (n, x) -> n + x.count) = present"
     )
     return (
-        columns.join(few, "column_no", "left")
-        .withColumn("choices", F.expr("if(approx = 0, cast(array() as array<string>), choices)"))
+        columns.withColumn("choices", F.expr(f"if({few}, array_sort(top.item), null)"))
+        .withColumn("guessed", F.expr("kind = 'text' and size(guesses) > 0"))
+        .withColumn("kind", F.expr("if(guessed, 'date', kind)"))
+        .withColumn("first", F.expr("if(guessed, guesses[0].first, first)"))
+        .withColumn("last", F.expr("if(guessed, guesses[0].last, last)"))
         .withColumn("filter_kind", F.expr("if(choices is not null, 'membership', kind)"))
         .selectExpr(
             "column_name",
             "filter_kind",
-            "has_missing",
+            "rows_left > present as has_missing",
             "choices",
             "if(filter_kind = 'number', low, null) as low",
             "if(filter_kind = 'number', high, null) as high",
             f"if(filter_kind = 'number', (high - low) / {RANGE_STEPS}, null) as step",
             "if(filter_kind = 'date', first, null) as first",
             "if(filter_kind = 'date', last, null) as last",
+            "rows_left",
+            "guesses.format as formats",
+            "size(guesses) > 1 as ambiguous",
         )
     )
 
 
+def column_profile(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+    """How each column of a report can be filtered, one row per column.
+
+    ``filter_kind`` is ``membership`` for fewer than ten distinct values (with the choices),
+    ``number`` or ``date`` (with the range and, for numbers, the slider step) or ``text``.
+    Text in which every value is a date counts as a date. ISO dates are recognised;
+    ``date_formats`` lists further patterns such as ``dd/MM/yyyy``, tried in order.
+
+    One pass over the report gives everything, distinct counts below ten exactly included, with a
+    small state per column and task.
+    """
+    return _profile(df, date_formats, {}, False).drop("rows_left", "formats", "ambiguous")
+
+
+def inferred_profile(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+    """The profile, in which text is also a date if all its values fit one of ``DATE_FORMATS``.
+
+    ``formats`` has all formats that every value fits, by which :func:`apply_column_filters` can
+    read the column; the first one gives the range. ``ambiguous`` tells that there are several, such
+    as month before day and day before month. ISO dates and ``date_formats`` go first and give none.
+    """
+    return _profile(df, date_formats, {}, True).drop("rows_left")
+
+
+def faceted_profile(
+    df: DataFrame, rules: Mapping[str, ColumnFilter], date_formats: Sequence[str] = ()
+) -> DataFrame:
+    """The profile while columns are filtered one after the other.
+
+    Each column named in ``rules`` is profiled over the rows that the rules before it leave, so its
+    own rule doesn't narrow its choices, and every other column over the rows that all rules
+    leave. ``rows_left`` is the number of those rows. Still one pass: a mask for each rule.
+    """
+    tests = [F.coalesce(_predicate(df, n, r, date_formats), F.lit(False)) for n, r in rules.items()]
+    steps = [reduce(and_, tests[: i + 1]).alias(f"_mask_{i + 1}") for i in range(len(tests))]
+    masks = {name: f"_mask_{len(tests)}" for name in df.columns} if tests else {}
+    masks |= {name: f"_mask_{i}" for i, name in enumerate(rules)}
+    masks = {name: mask for name, mask in masks.items() if mask != "_mask_0"}
+    masked = df.select("*", *steps)
+    profile = _profile(masked, date_formats, masks, False).drop("formats", "ambiguous")
+    return profile.where(~F.col("column_name").isin([f"_mask_{i + 1}" for i in range(len(tests))]))
+
+
 def _predicate(df: DataFrame, name: str, rule: ColumnFilter, formats: Sequence[str]) -> Column:
     column = F.col(_name(name))
     if isinstance(rule, Membership):

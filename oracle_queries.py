@@ -407,10 +407,19 @@ listed as (
     )
 
 
-def _profile(report: str, columns: list[tuple[str, str]]) -> str:
-    """One row per column; ``columns`` pairs each name with number, date (:pattern) or text."""
-    rows = []
+def _profile(
+    report: str,
+    columns: list[tuple[str, str]],
+    where: dict[str, str] | None = None,
+    formats: dict[str, str] | None = None,
+) -> str:
+    """One row per column; ``columns`` pairs each name with number, date (:pattern) or text.
+
+    ``where`` has the rows that count for a column, ``formats`` the formats its text fits.
+    """
+    rows, whole = [], report
     for name, kind in columns:
+        report = f"(select * from {whole} where {where[name]})" if where else whole
         low, high, first, last = "null::double", "null::double", "null", "null"
         if kind == "number":
             low, high = f"min({name})::double", f"max({name})::double"
@@ -423,17 +432,19 @@ def _profile(report: str, columns: list[tuple[str, str]]) -> str:
             f"""select '{name}' as column_name, '{kind}' as kind,
               count(*) > count({name}) as has_missing, count(distinct {name}) as n,
               {low} as low, {high} as high, {first} as first, {last} as last,
+              count(*) as rows_left, '{(formats or {}).get(name, "")}' as formats,
               (select string_agg(v, '|' order by v) from
                 (select distinct cast({name} as varchar) as v from {report})) as choices
             from {report}"""
         )
+    more = ", rows_left" if where else ", formats, contains(formats, '|') as ambiguous" if formats else ""
     return f"""
     select column_name, case when n < 10 then 'membership' else kind end as filter_kind,
       has_missing, case when n < 10 then coalesce(choices, '') end as choices,
       case when n >= 10 then low end as low, case when n >= 10 then high end as high,
       case when n >= 10 then round((high - low) / 100, 6) end as step,
       case when n >= 10 then cast(first as timestamp) end as first,
-      case when n >= 10 then cast(last as timestamp) end as last
+      case when n >= 10 then cast(last as timestamp) end as last{more}
     from ({" union all ".join(rows)})"""
 
 
@@ -443,6 +454,9 @@ PROFILED = [
     ("rise_net", "number"), ("growth_gross_pct", "number"),
 ]
 
+SECTOR_FACET = "coalesce(sector in ('BLDG', 'HOME'), false)"
+GROSS_FACET = "coalesce(gross_cy between 1000000 and 30000000, false)"
+
 RANKED_SECTORS = f"""
 rises as (
   select *, {RISES}, round(gross_cy / (select sum(gross_cy) from sectors) * 100, 6) as share_pct
@@ -687,6 +701,34 @@ pairs as (
             _sector_yoy(keys=", payer"),
             f"report as (select *, {RISES} from sectors)",
         ),
+        "column_profile_faceted": _with(
+            _profile(
+                "report",
+                PROFILED,
+                {n: f"{SECTOR_FACET} and {GROSS_FACET}" for n, _ in PROFILED}
+                | {"sector": "true", "gross_cy": SECTOR_FACET},
+            ),
+            _sector_yoy(keys=", payer"),
+            f"report as (select *, {RISES} from sectors)",
+        ),
+        "column_profile_inferred": _with(
+            _profile(
+                "report",
+                [
+                    ("day_first", "date:%d/%m/%Y"), ("dotted", "date:%d.%m.%Y"),
+                    ("either", "date:%m/%d/%Y"), ("sector", "text"), ("gross", "number"),
+                ],
+                formats={
+                    "day_first": "d/M/yyyy[ HH:mm:ss]",
+                    "dotted": "d.M.yyyy[ HH:mm:ss]",
+                    "either": "M/d/yyyy[ HH:mm:ss]|d/M/yyyy[ HH:mm:ss]",
+                },
+            ),
+            f"""
+report as (select strftime(paid_on, '%d/%m/%Y') as day_first, strftime(paid_on, '%-d.%-m.%Y') as dotted,
+             strftime(paid_on, '%m/%m/%Y') as either, sector, cast(sum(nominal) as bigint) as gross
+           from ledger where {GROSS2} and {CY} group by paid_on, sector)""",
+        ),
         "column_profile_daily": _with(
             _profile("report", [("paid_on", "date"), ("sector", "text"), ("gross", "number")]),
             f"""

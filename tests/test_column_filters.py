@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import column_filters as cf
+from tests.check import executed_plan
 
 
 def profile(df):
@@ -120,3 +121,102 @@ def test_filters(spark):
     assert kept(df, {"s": cf.TextSearch("^a")}) == [1, 4]
     assert kept(df, {"s": cf.TextSearch("")}) == [1, 2, 3, 4]
     assert kept(df, {"s": cf.TextSearch("a"), "x": cf.NumberRange(0, 2)}) == [1]
+
+
+@pytest.mark.parametrize("count", [0, 1, 9, 10, 11, 48, 49, 400])
+def test_few_values_are_told_exactly(spark, count):
+    rows = spark.range(3000).selectExpr(
+        f"if(id % 7 = 0, null, id % {max(count, 1)}) as v" if count else "cast(null as bigint) as v",
+        "cast(id as string) as many",
+    )
+    found = profile(rows.repartition(5))
+    assert found["many"]["choices"] is None
+    if count < cf.FEW_VALUES:
+        assert found["v"]["choices"] == sorted(str(i) for i in range(count))
+    else:
+        assert found["v"]["choices"] is None and found["v"]["filter_kind"] == "number"
+
+
+def test_profile_takes_one_pass(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id as string) as s").write.parquet(str(tmp_path / "t"))
+    report = spark.read.parquet(str(tmp_path / "t"))
+    for made in (
+        cf.column_profile(report),
+        cf.inferred_profile(report),
+        cf.faceted_profile(report, {"id": cf.NumberRange(1, 50), "s": cf.TextSearch("1")}),
+    ):
+        made.collect()
+        assert executed_plan(made).count("FileScan parquet") == 1
+
+
+def test_facets_equal_filtering_step_by_step(spark):
+    rows = spark.range(2000).selectExpr(
+        "if(id % 11 = 0, null, id % 13) as a",
+        "concat('t', id % 31) as b",
+        "cast(id * 7 % 501 as double) as c",
+        "date_add(date'2000-01-01', cast(id % 90 as int)) as d",
+    )
+    rules = {
+        "b": cf.TextSearch("[1-7]$"),
+        "a": cf.Membership((1, 2, 5, None)),
+        "d": cf.DateRange(dt.date(2000, 1, 5), dt.date(2000, 2, 20)),
+    }
+    got = {r["column_name"]: r for r in cf.faceted_profile(rows, rules).collect()}
+    left = rows
+    for name, rule in [*rules.items(), ("c", None)]:
+        want = {r["column_name"]: r for r in cf.column_profile(left).collect()}[name]
+        assert got[name].asDict() == {**want.asDict(), "rows_left": left.count()}
+        if rule:
+            left = cf.apply_column_filters(left, {name: rule})
+    assert set(got) == set(rows.columns)
+
+
+def test_facets_without_rules_and_without_rows(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    plain = [r.asDict() for r in cf.column_profile(rows).collect()]
+    got = cf.faceted_profile(rows, {}).collect()
+    assert [r.asDict() for r in got] == [{**p, "rows_left": 2} for p in plain]
+    none = {r["column_name"]: r for r in cf.faceted_profile(rows, {"a": cf.Membership((9,))}).collect()}
+    assert none["b"]["rows_left"] == 0 and none["b"]["choices"] == [] and not none["b"]["has_missing"]
+    assert none["a"]["rows_left"] == 2 and none["a"]["choices"] == ["1", "2"]
+
+
+def inferred(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    (row,) = cf.inferred_profile(rows).collect()
+    return row
+
+
+def test_formats_are_inferred_from_all_values(spark):
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    row = inferred(spark, [None, *(d.strftime("%d/%m/%Y") for d in days)])
+    assert row["filter_kind"] == "date" and row["formats"] == ["d/M/yyyy[ HH:mm:ss]"]
+    assert not row["ambiguous"] and row["has_missing"]
+    assert (row["first"].date(), row["last"].date()) == (days[0], days[-1])
+    row = inferred(spark, [d.strftime("%m-%d-%Y 10:20:30") for d in days])
+    assert row["formats"] == ["M-d-yyyy[ HH:mm:ss]"] and row["first"].hour == 10
+    row = inferred(spark, [d.strftime("%Y%m%d") for d in days])
+    assert row["formats"] == ["yyyyMMdd"] and row["last"].date() == days[-1]
+
+
+def test_ambiguous_formats_are_stated_month_first(spark):
+    row = inferred(spark, [f"{m:02}/{d:02}/2000" for m in range(1, 13) for d in range(1, 13)])
+    assert row["ambiguous"] and row["formats"] == ["M/d/yyyy[ HH:mm:ss]", "d/M/yyyy[ HH:mm:ss]"]
+    assert row["last"] == dt.datetime(2000, 12, 12)
+
+
+def test_one_value_that_is_no_date_makes_text(spark):
+    days = [f"{d}/1/2000" for d in range(1, 31)]
+    assert inferred(spark, days)["filter_kind"] == "date"
+    for odd in ("31/02/2000", "soon", "", "1.1.2000"):
+        row = inferred(spark, [*days, odd])
+        assert row["filter_kind"] == "text" and row["formats"] == [] and row["first"] is None
+
+
+def test_iso_dates_and_named_formats_go_first(spark):
+    days = [f"2000-01-{d:02}" for d in range(1, 29)]
+    row = inferred(spark, days)
+    assert row["filter_kind"] == "date" and row["formats"] == [] and not row["ambiguous"]
+    rows = spark.createDataFrame([(f"{d}/{m}/2000",) for d in range(1, 13) for m in (1, 2)], "v string")
+    (row,) = cf.inferred_profile(rows, ("d/M/yyyy",)).collect()
+    assert row["last"] == dt.datetime(2000, 2, 12) and not row["ambiguous"]
