@@ -21,6 +21,7 @@ from ledgerlens.plans import (  # noqa: E402
     extras,
     kpi,
     office,
+    page,
     payer,
     sector,
     subsector,
@@ -29,7 +30,12 @@ from ledgerlens.plans import (  # noqa: E402
 )
 from ledgerlens.session import remove_at_exit, scratch_path  # noqa: E402
 from ledgerlens.sinks import export_report  # noqa: E402
-from ledgerlens.sources import compact_ledger, read_ledger, write_ledger  # noqa: E402
+from ledgerlens.sources import (  # noqa: E402
+    LedgerLattice,
+    compact_ledger,
+    read_ledger,
+    write_ledger,
+)
 from ledgerlens.sources import star  # noqa: E402
 
 # The corpus operators and their pipeline may be absent; the ledger works without them. What is
@@ -225,6 +231,55 @@ def _ledger_table_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sector.sector_month_yoy(ledger, star.star_sector_labels(spark), HALF_YEAR)
 
 
+#: Grains of the stored lattice: every payer, the code lists, and months alone.
+GRAINS = {
+    "payers": ("pay_year", "pay_month", *CATEGORIES, "npwp", "payer"),
+    "codes": ("pay_year", "pay_month", *CATEGORIES),
+    "months": ("pay_year", "pay_month"),
+}
+
+
+def _lattice(spark: SparkSession, sf_dir: str) -> LedgerLattice:
+    """The lattice of a star, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "lattice")
+    if key not in _STORED:
+        path = scratch_path(spark, "lattice")
+        columns = dict.fromkeys((*BASE, *(c for grain in GRAINS.values() for c in grain)))
+        LedgerLattice.store(star.star_ledger(spark, sf_dir, columns), path, GRAINS)
+        remove_at_exit(spark, path)
+        _STORED[key] = path
+    return LedgerLattice.open(spark, _STORED[key])
+
+
+def _routed(build, *columns: str, flt: LedgerFilter, labels: bool = False) -> Query:
+    """A report on the smallest stored grain that has its columns and those of its filter."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ledger = _lattice(spark, sf_dir).ledger(columns, flt)
+        sides = [star.star_sector_labels(spark)] if labels else []
+        return _rounded(build(ledger, *sides, flt=flt))
+
+    return run
+
+
+# Pages computed by this process: application, star and filter to reports.
+_PAGES: dict[tuple[str, str, LedgerFilter], dict[str, DataFrame]] = {}
+
+
+def _on_page(name: str, flt: LedgerFilter) -> Query:
+    """A report of a page whose reports share one pass over the ledger."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, flt)
+        if key not in _PAGES:
+            ledger = star.star_ledger(spark, sf_dir, page.page_columns(flt))
+            targets = star.star_targets(spark, sf_dir)
+            _PAGES[key] = page.headline_page(ledger, targets, star.star_sector_labels(spark), flt)
+        return _rounded(_PAGES[key][name])
+
+    return run
+
+
 def _with_date_text(report: Query) -> Query:
     """A report whose dates are text as day, month and year."""
     return lambda spark, sf_dir: report(spark, sf_dir).withColumn(
@@ -400,6 +455,11 @@ def ledger_queries() -> dict[str, Query]:
         ),
         "export_report": _exported(top10, "parquet", ("office",)),
         "export_report_csv": _exported(daily, "csv"),
+        "routed_monthly_growth": _routed(trend.monthly_growth, "pay_year", "pay_month", **flt),
+        "routed_sector_yoy_chosen": _routed(sector.sector_yoy, "sector", flt=CHOSEN, labels=True),
+        "routed_payer_totals": _routed(payer.payer_totals, "npwp", "payer", **flt),
+        **{f"page_{name}": _on_page(name, HALF_YEAR) for name in page.HEADLINE},
+        "page_kpi_cards_chosen": _on_page("kpi_cards", CHOSEN),
         "ledger_table": _ledger_table,
         "ledger_table_compact": _ledger_table_compact,
     }

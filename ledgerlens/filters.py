@@ -73,8 +73,8 @@ class LedgerFilter:
         """Row lies in the date window one year earlier."""
         return _within(self.prior_start, self.prior_end)
 
-    def categories(self) -> Column:
-        """Row satisfies every non-empty value list."""
+    def _lists(self) -> dict[str, Sequence[str]]:
+        """The value lists that put a condition on a column."""
         lists = {
             "office": self.offices,
             "tax_type": self.tax_types,
@@ -82,7 +82,15 @@ class LedgerFilter:
             "segment": self.segments,
             "payer": self.payers,
         }
-        tests = [F.col(name).isin(list(values)) for name, values in lists.items() if values]
+        return {name: values for name, values in lists.items() if values}
+
+    def columns(self) -> list[str]:
+        """Ledger columns the value lists refer to."""
+        return list(self._lists())
+
+    def categories(self) -> Column:
+        """Row satisfies every non-empty value list."""
+        tests = [F.col(name).isin(list(values)) for name, values in self._lists().items()]
         return reduce(and_, tests, F.lit(True))
 
     def either_dates(self) -> Column:

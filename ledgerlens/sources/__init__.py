@@ -1,5 +1,13 @@
 from ledgerlens.sources.jdbc import read_ledger_jdbc
+from ledgerlens.sources.lattice import LedgerLattice
 from ledgerlens.sources.star import star_ledger
 from ledgerlens.sources.table import compact_ledger, read_ledger, write_ledger
 
-__all__ = ["compact_ledger", "read_ledger", "read_ledger_jdbc", "star_ledger", "write_ledger"]
+__all__ = [
+    "LedgerLattice",
+    "compact_ledger",
+    "read_ledger",
+    "read_ledger_jdbc",
+    "star_ledger",
+    "write_ledger",
+]

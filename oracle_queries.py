@@ -454,6 +454,12 @@ PROFILED = [
     ("rise_net", "number"), ("growth_gross_pct", "number"),
 ]
 
+#: Reports that are also served from a page's one aggregate.
+PAGE = (
+    "kpi_totals", "kpi_cards", "kpi_cards_chosen", "period_delta", "receipt_kind_yoy",
+    "monthly_trend", "monthly_growth", "sector_yoy", "tax_type_yoy",
+)
+
 SECTOR_FACET = "coalesce(sector in ('BLDG', 'HOME'), false)"
 GROSS_FACET = "coalesce(gross_cy between 1000000 and 30000000, false)"
 
@@ -805,6 +811,10 @@ master as (
     q["largest_payers"] = f"select * from ({q['payer_bands_net']}) where row_kind = 'payer'"
     q["ledger_table"] = q["sector_payer_yoy"]
     q["ledger_table_compact"] = q["sector_month_yoy"]
+    for name in ("monthly_growth", "sector_yoy_chosen", "payer_totals"):
+        q[f"routed_{name}"] = q[name]
+    for name in PAGE:
+        q[f"page_{name}"] = q[name]
     return q
 
 

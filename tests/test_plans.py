@@ -12,7 +12,8 @@ from tests.conftest import SF_DIR
 QUERIES = registry.ledger_queries()
 # These read what a query has written: a finished report or the stored ledger.
 WRITTEN = {"export_report", "export_report_csv"}
-STORED = {"ledger_table", "ledger_table_compact"}
+STORED = {"ledger_table", "ledger_table_compact"} | {n for n in QUERIES if n.startswith("routed_")}
+PAGE = {n for n in QUERIES if n.startswith("page_")}
 REPORTS = sorted(QUERIES)
 # Without the variants that differ in their filter or display only.
 VARIANTS = ("_chosen", "_all_dates", "_labels", "_of_sector", "_as_refund", "_by_growth", "_daily")
@@ -49,7 +50,7 @@ def check_operators(plan):
 @pytest.mark.parametrize("name", REPORTS)
 def test_ledger_is_scanned_once(run, name):
     plan = run(name)[2]
-    without = {"target_totals", "plan_vs_actual"} | WRITTEN | STORED
+    without = {"target_totals", "plan_vs_actual"} | WRITTEN | STORED | PAGE
     assert fact_scans(plan) == (0 if name in without else 1)
     check_operators(plan)
 
@@ -68,6 +69,13 @@ def test_report_on_a_stored_ledger_writes_nothing_again(spark, run, name):
     assert registry._STORED == before
 
 
+@pytest.mark.parametrize("name", sorted(PAGE))
+def test_reports_of_a_page_read_its_aggregate_alone(run, name):
+    scans = re.findall(r"FileScan parquet .*", run(name)[2])
+    assert sum("/page-" in scan for scan in scans) == 1
+    assert not any("lineitem" in scan or "orders" in scan for scan in scans)
+
+
 @pytest.mark.parametrize("name", REPORTS)
 def test_single_partition_only_above_an_aggregate(run, name):
     """Whatever moves into one task has been aggregated or cut to a top list before."""
