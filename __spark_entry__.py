@@ -34,7 +34,10 @@ from ledgerlens.sources import (  # noqa: E402
     LedgerLattice,
     compact_ledger,
     read_ledger,
+    read_values,
+    replace_months,
     write_ledger,
+    write_values,
 )
 from ledgerlens.sources import star  # noqa: E402
 
@@ -231,6 +234,32 @@ def _ledger_table_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sector.sector_month_yoy(ledger, star.star_sector_labels(spark), HALF_YEAR)
 
 
+REFRESHED = (200003, 200005)
+
+
+def _stored_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter options from the values that were stored with a ledger, month by month."""
+    key = (spark.sparkContext.applicationId, sf_dir, "options")
+    if key not in _STORED:
+        columns = dict.fromkeys(("paid_on", *kpi.OPTIONS))
+        path = _stored(spark, sf_dir, "options", lambda: star.star_ledger(spark, sf_dir, columns))
+        write_values(spark, path, list(kpi.OPTIONS))
+    return kpi.filter_options_of_values(read_values(spark, _STORED[key]))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on a stored ledger of which two months were wrong and have been replaced."""
+    key = (spark.sparkContext.applicationId, sf_dir, "refreshed")
+    if key not in _STORED:
+        ledger = star.star_ledger(spark, sf_dir, dict.fromkeys((*BASE, "sector", "payer")))
+        late = F.date_format("paid_on", "yyyyMM").isin([str(m) for m in REFRESHED])
+        early = ledger.withColumn("nominal", F.when(late, -1).otherwise(F.col("nominal")).cast("long"))
+        path = _stored(spark, sf_dir, "refreshed", lambda: early)
+        replace_months(ledger, path, REFRESHED)
+    stored = read_ledger(spark, _STORED[key], HALF_YEAR)
+    return _rounded(sector.sector_payer_yoy(stored, star.star_sector_labels(spark), HALF_YEAR))
+
+
 #: Grains of the stored lattice: every payer, the code lists, and months alone.
 GRAINS = {
     "payers": ("pay_year", "pay_month", *CATEGORIES, "npwp", "payer"),
@@ -460,6 +489,8 @@ def ledger_queries() -> dict[str, Query]:
         "routed_payer_totals": _routed(payer.payer_totals, "npwp", "payer", **flt),
         **{f"page_{name}": _on_page(name, HALF_YEAR) for name in page.HEADLINE},
         "page_kpi_cards_chosen": _on_page("kpi_cards", CHOSEN),
+        "filter_options_stored": _stored_options,
+        "ledger_table_refreshed": _refreshed,
         "ledger_table": _ledger_table,
         "ledger_table_compact": _ledger_table_compact,
     }

@@ -21,19 +21,17 @@ from ledgerlens.functions.measures import (
 PERIODS = ("cy", "py")
 
 
+#: Dimensions with filter options, and whether empty text is no choice.
+OPTIONS = {"office": False, "tax_type": False, "sector": False, "segment": True, "payer": True}
+
+
 def filter_options(ledger: DataFrame) -> DataFrame:
     """Distinct values to choose from per dimension, found in one pass over the ledger.
 
     Missing values are no choice; empty text is none for segment and payer.
     """
     options = []
-    for name, empty_is_missing in (
-        ("office", False),
-        ("tax_type", False),
-        ("sector", False),
-        ("segment", True),
-        ("payer", True),
-    ):
+    for name, empty_is_missing in OPTIONS.items():
         value = F.nullif(F.col(name), F.lit("")) if empty_is_missing else F.col(name)
         options.append(F.struct(F.lit(name).alias("dimension"), value.alias("value")))
     return (
@@ -41,6 +39,14 @@ def filter_options(ledger: DataFrame) -> DataFrame:
     )
 
 
+def filter_options_of_values(values: DataFrame) -> DataFrame:
+    """The same from stored (dimension, value) rows, without the ledger."""
+    textual = [name for name, empty_is_missing in OPTIONS.items() if empty_is_missing]
+    empty = F.col("dimension").isin(textual) & (F.col("value") == "")
+    known = values.where(F.col("dimension").isin(list(OPTIONS)) & F.col("value").isNotNull())
+    return known.where(~empty).select("dimension", "value")
+
+
 def _kpi_row(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:
     """One row with gross, net and net share of both periods.
 

@@ -86,6 +86,12 @@ def _file_system(spark: SparkSession, path: str):
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``."""
+    files, location = _file_system(spark, path)
+    return files.exists(location)
+
+
 def fits_broadcast(spark: SparkSession, path: str) -> bool:
     """Whether the files below ``path`` are within the session's broadcast threshold."""
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.filters import LedgerFilter
-from ledgerlens.sources.table import compact_ledger, read_ledger, write_ledger
+from ledgerlens.sources.table import (
+    MONTH_PARTITION,
+    compact_ledger,
+    read_ledger,
+    replace_months,
+    write_ledger,
+)
 
 #: Columns that every grain has: the months it is stored by, the measures' conditions, the amount.
 ALWAYS = ("paid_on", "kind", "nominal")
@@ -56,11 +62,35 @@ class LedgerLattice:
             write_ledger(compact_ledger(source.select(columns), columns), made.path(name))
             rows = made.read(name).count()  # from the files' footers
             made.grains += (Grain(name, frozenset(wanted[name]), rows),)
-        rows = [(g.name, sorted(g.columns), g.rows) for g in made.grains]
-        table = made.spark.createDataFrame(rows, "name string, columns array<string>, rows bigint")
-        table.coalesce(1).write.parquet(f"{root}/{_CATALOGUE}")
+        made._write_catalogue()
         return made
 
+    def _write_catalogue(self) -> None:
+        rows = [(g.name, sorted(g.columns), g.rows) for g in self.grains]
+        table = self.spark.createDataFrame(rows, "name string, columns array<string>, rows bigint")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{_CATALOGUE}")
+
+    def refresh(self, ledger: DataFrame, months: Sequence[int]) -> None:
+        """Replace the named months in every grain by the rows that ``ledger`` has of them.
+
+        Each grain is summed from a finer one that has been refreshed, as in :meth:`store`; files of
+        other months are not touched.
+        """
+        fresh: list[Grain] = []
+        for grain in sorted(self.grains, key=lambda g: (-len(g.columns), g.name)):
+            finer = sorted((g for g in fresh if grain.columns <= g.columns), key=lambda g: g.rows)
+            source = ledger
+            if finer:
+                # A filter on the months alone: only their files are read.
+                source = self.spark.read.parquet(self.path(finer[0].name))
+                source = source.where(F.col(MONTH_PARTITION).isin(list(months)))
+            columns = [c for c in ledger.columns if c in grain.columns]
+            summed = compact_ledger(source.select(columns), columns)
+            replace_months(summed, self.path(grain.name), months)
+            fresh.append(Grain(grain.name, grain.columns, self.read(grain.name).count()))
+        self.grains = tuple(fresh)
+        self._write_catalogue()
+
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> LedgerLattice:
         """The grains that were stored below ``root``."""

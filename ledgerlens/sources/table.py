@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.filters import LedgerFilter
+from ledgerlens.session import exists, remove
 
 MONTH_PARTITION = "paid_ym"
 
@@ -19,6 +20,15 @@ def _month_of(day: dt.date) -> int:
     return day.year * 100 + day.month
 
 
+def _by_month(ledger: DataFrame) -> DataFrame:
+    """Rows with their month, dealt to writers by it and sorted by date."""
+    return (
+        ledger.withColumn(MONTH_PARTITION, F.year("paid_on") * 100 + F.month("paid_on"))
+        .hint("rebalance", MONTH_PARTITION)
+        .sortWithinPartitions(MONTH_PARTITION, "paid_on")
+    )
+
+
 def write_ledger(ledger: DataFrame, path: str, mode: str = "error") -> None:
     """Store a ledger partitioned by month of ``paid_on``.
 
@@ -26,14 +36,66 @@ def write_ledger(ledger: DataFrame, path: str, mode: str = "error") -> None:
     holds a large part of the ledger over several writers. Within a file rows are sorted
     by date, which makes the row-group statistics on ``paid_on`` selective.
     """
-    (
-        ledger.withColumn(MONTH_PARTITION, F.year("paid_on") * 100 + F.month("paid_on"))
-        .hint("rebalance", MONTH_PARTITION)
-        .sortWithinPartitions(MONTH_PARTITION, "paid_on")
-        .write.partitionBy(MONTH_PARTITION)
-        .mode(mode)
-        .parquet(path)
-    )
+    _by_month(ledger).write.partitionBy(MONTH_PARTITION).mode(mode).parquet(path)
+
+
+def replace_months(ledger: DataFrame, path: str, months: Sequence[int]) -> None:
+    """Replace the named months (such as 200003) of a stored ledger by the rows of ``ledger``.
+
+    Rows of other months are not taken, and files of other months are not touched. A named month
+    without rows is removed. ``ledger`` must not read ``path`` itself. The stored values of
+    :func:`write_values`, if there are any, are brought up to date for these months alone.
+    """
+    spark, months = ledger.sparkSession, sorted(set(months))
+    rows = _by_month(ledger).where(F.col(MONTH_PARTITION).isin(months))
+    # Columns in the stored order: partitions are overwritten by position.
+    stored = spark.read.parquet(path)
+    if unknown := set(stored.columns) ^ {*ledger.columns, MONTH_PARTITION}:
+        raise ValueError(f"columns differ from the stored ledger: {sorted(unknown)}")
+    _replace(rows.select(stored.columns), path, months)
+    if exists(spark, f"{path}/{VALUES}"):
+        values = spark.read.parquet(f"{path}/{VALUES}")
+        dimensions = [r[0] for r in values.select("dimension").distinct().collect()]
+        fresh = spark.read.schema(stored.schema).parquet(path)
+        fresh = fresh.where(F.col(MONTH_PARTITION).isin(months))
+        _replace(_values(fresh, dimensions), f"{path}/{VALUES}", months)
+
+
+def _replace(rows: DataFrame, path: str, months: Sequence[int]) -> None:
+    spark = rows.sparkSession
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(MONTH_PARTITION).parquet(path)
+    left = {r[0] for r in rows.select(MONTH_PARTITION).distinct().collect()}
+    for month in set(months) - left:
+        remove(spark, f"{path}/{MONTH_PARTITION}={month}")
+
+
+#: Folder of the distinct values below a stored ledger; readers of the ledger pass over it.
+VALUES = "_values"
+
+
+def _values(stored: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    each = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]
+    rows = stored.select(MONTH_PARTITION, F.inline(F.array(*each)))
+    return rows.where("value is not null").distinct()
+
+
+def write_values(spark: SparkSession, path: str, dimensions: Sequence[str]) -> None:
+    """Store the distinct values of some columns of a stored ledger, month by month."""
+    made = _values(spark.read.parquet(path), dimensions).hint("rebalance", MONTH_PARTITION)
+    made.write.partitionBy(MONTH_PARTITION).parquet(f"{path}/{VALUES}")
+
+
+def read_values(spark: SparkSession, path: str, flt: LedgerFilter | None = None) -> DataFrame:
+    """(dimension, value): the stored values, united over the months of a filter's windows.
+
+    With a filter these are the values of whole months; no payment is read.
+    """
+    schema = f"dimension string, value string, {MONTH_PARTITION} int"
+    values = spark.read.schema(schema).parquet(f"{path}/{VALUES}")
+    if flt is not None:
+        values = values.where(month_predicate(flt))
+    return values.select("dimension", "value").distinct()
 
 
 def month_predicate(flt: LedgerFilter, prior: bool = True) -> Column:

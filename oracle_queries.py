@@ -811,6 +811,8 @@ master as (
     q["largest_payers"] = f"select * from ({q['payer_bands_net']}) where row_kind = 'payer'"
     q["ledger_table"] = q["sector_payer_yoy"]
     q["ledger_table_compact"] = q["sector_month_yoy"]
+    q["ledger_table_refreshed"] = q["sector_payer_yoy"]
+    q["filter_options_stored"] = q["filter_options"]
     for name in ("monthly_growth", "sector_yoy_chosen", "payer_totals"):
         q[f"routed_{name}"] = q[name]
     for name in PAGE:

@@ -11,8 +11,8 @@ from tests.conftest import SF_DIR
 
 QUERIES = registry.ledger_queries()
 # These read what a query has written: a finished report or the stored ledger.
-WRITTEN = {"export_report", "export_report_csv"}
-STORED = {"ledger_table", "ledger_table_compact"} | {n for n in QUERIES if n.startswith("routed_")}
+WRITTEN = {"export_report", "export_report_csv", "filter_options_stored"}
+STORED = {"ledger_table", "ledger_table_compact", "ledger_table_refreshed"} | {n for n in QUERIES if n.startswith("routed_")}
 PAGE = {n for n in QUERIES if n.startswith("page_")}
 REPORTS = sorted(QUERIES)
 # Without the variants that differ in their filter or display only.
@@ -69,6 +69,11 @@ def test_report_on_a_stored_ledger_writes_nothing_again(spark, run, name):
     assert registry._STORED == before
 
 
+def test_stored_options_read_no_payments(run):
+    scans = re.findall(r"FileScan parquet .*", run("filter_options_stored")[2])
+    assert len(scans) == 1 and scans[0].startswith("FileScan parquet [dimension")
+
+
 @pytest.mark.parametrize("name", sorted(PAGE))
 def test_reports_of_a_page_read_its_aggregate_alone(run, name):
     scans = re.findall(r"FileScan parquet .*", run(name)[2])

@@ -1,6 +1,10 @@
+import collections
 import datetime as dt
+import random
 import re
+import types
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,10 +13,25 @@ from ledgerlens import LedgerFilter
 from ledgerlens.dims import office_targets, sector_labels
 from ledgerlens.plans import kpi, office, payer
 from ledgerlens.schema import LEDGER_SCHEMA, LEGACY_COLUMNS, from_legacy_columns
-from ledgerlens.session import configure, session_conf, shared_dir
+from ledgerlens.session import (
+    configure,
+    exists,
+    scratch_dir,
+    session_conf,
+    work_tables,
+    written,
+)
 from ledgerlens.sinks import export_report
-from ledgerlens.sources import read_ledger, star_ledger, write_ledger
-from ledgerlens.sources.jdbc import date_slices
+from ledgerlens.sources import (
+    LedgerLattice,
+    read_ledger,
+    read_values,
+    replace_months,
+    star_ledger,
+    write_ledger,
+    write_values,
+)
+from ledgerlens.sources.jdbc import date_slices, weighted_slices
 from tests.check import connect, differences, executed_plan
 from tests.conftest import SF_DIR
 
@@ -208,8 +227,112 @@ def test_shuffle_partitions_follow_the_data(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_shared_dir_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def test_scratch_folder_is_the_one_the_session_names(spark):
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_without_a_shared_folder_only_a_local_session_goes_on(spark):
+    class Unset:
+        def __init__(self, master):
+            self.sparkContext = types.SimpleNamespace(master=master)
+            self.conf = types.SimpleNamespace(get=lambda key, default="w": default)
+
+    assert scratch_dir(Unset("local[4]")) == "w/scratch"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(Unset(master))
+
+
+def test_work_tables_go_when_their_step_ends(spark):
+    with work_tables(spark):
+        _, inner = written(spark.range(3), "inner")
+        assert exists(spark, inner)
+    assert not exists(spark, inner)
+    _, outer = written(spark.range(3), "outer")
+    assert exists(spark, outer)
+
+
+def weights(conditions, rows):
+    """Rows of (day, spread) that meet each condition, judged by DuckDB."""
+    con = duckdb.connect()
+    con.execute("create table t (paid_on date, k bigint)")
+    con.executemany("insert into t values (?, ?)", rows)
+    return [con.sql(f"select count(*) from t where {c}").fetchall()[0][0] for c in conditions]
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("parts", [1, 7, 16])
+def test_weighted_slices_are_even_and_hold_every_row_once(seed, parts):
+    rng = random.Random(seed)
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(rng.choice([1, 60, 200]))]
+    hot = rng.choice(days)
+    rows = [(hot if rng.random() < 0.35 else rng.choice(days), rng.randrange(10**6)) for _ in range(3000)]
+    rows += [(None, 5)] * rng.choice([0, 300]) + [(hot, None)] * 3
+    counts = list(collections.Counter(d for d, _ in rows).items())
+    slices = weighted_slices(counts, parts, spread="k")
+    held = weights(slices, rows)
+    assert sum(held) == len(rows)
+    assert weights([" OR ".join(f"({s})" for s in slices)], rows) == [len(rows)]
+    if seed != 3:
+        assert max(held) <= 2.0 * max(sum(held) / len(held), len(rows) / parts)
+
+
+def test_weighted_slices_without_rows_and_without_spread():
+    assert weighted_slices([], 4) == ["1 = 0"]
+    one = weighted_slices([(dt.date(2000, 1, 1), 100), (None, 3)], 10)
+    assert one == ["paid_on >= DATE '2000-01-01' AND paid_on < DATE '2000-01-02'", "paid_on IS NULL"]
+
+
+def files_below(path, month):
+    return {p.name: p.stat().st_mtime_ns for p in path.glob(f"paid_ym={month}/*.parquet")}
+
+
+def test_replaced_months_leave_the_others_alone(spark, full, flt, tmp_path):
+    path = tmp_path / "ledger"
+    write_ledger(full, str(path))
+    write_values(spark, str(path), ["sector", "office"])
+    before = {m: files_below(path, m) for m in (200002, 200003, 200004)}
+    march = F.date_format("paid_on", "yyyyMM") == "200003"
+    changed = full.where(march).withColumn("sector", F.lit("NEW")).where("office <> 'NATION_3'")
+    replace_months(changed.union(full.where(~march)), str(path), [200003, 200004, 210001])
+    assert files_below(path, 200002) == before[200002]
+    assert files_below(path, 200003).keys().isdisjoint(before[200003])
+    want = full.where(~march).union(changed)
+    got = read_ledger(spark, str(path))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+    report = kpi.kpi_totals(got, flt).collect()
+    assert report == kpi.kpi_totals(want, flt).collect()
+    values = {tuple(r) for r in read_values(spark, str(path)).collect()}
+    assert ("sector", "NEW") in values
+    assert values == {
+        (d, r[0]) for d in ("sector", "office") for r in want.select(d).distinct().collect() if r[0]
+    }
+
+
+def test_a_replaced_month_without_rows_goes(spark, full, tmp_path):
+    path = tmp_path / "ledger"
+    write_ledger(full, str(path))
+    write_values(spark, str(path), ["sector"])
+    replace_months(full.limit(0), str(path), [200003])
+    assert not (path / "paid_ym=200003").exists() and (path / "paid_ym=200002").exists()
+    assert not (path / "_values" / "paid_ym=200003").exists()
+    with pytest.raises(ValueError, match="office"):
+        replace_months(full.drop("office"), str(path), [200002])
+
+
+def test_refreshed_grains_equal_a_full_store(spark, full, tmp_path):
+    grains = {"fine": ("sector", "office"), "coarse": ("sector",)}
+    march = F.date_format("paid_on", "yyyyMM") == "200003"
+    old = full.withColumn("nominal", F.when(march, 5).otherwise(F.col("nominal")).cast("long"))
+    made = LedgerLattice.store(old, str(tmp_path / "a"), grains)
+    kept = files_below(tmp_path / "a" / "grain=coarse", 200002)
+    made.refresh(full, [200003])
+    assert files_below(tmp_path / "a" / "grain=coarse", 200002) == kept
+    want = LedgerLattice.store(full, str(tmp_path / "b"), grains)
+    for name in grains:
+        a, b = made.read(name), want.read(name)
+        assert a.exceptAll(b.select(a.columns)).isEmpty() and a.count() == b.count()
+    assert sorted(LedgerLattice.open(spark, made.root).grains, key=str) == sorted(want.grains, key=str)
 
 
 def test_export_by_value_writes_few_files(spark, tmp_path):
