@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import pathlib
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -203,6 +205,37 @@ def _payers_with_debts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payer.payer_totals(restrict_to(ledger, "payer", listed), HALF_YEAR)
 
 
+def _of_listed(build, *columns: str, labels: bool = False) -> Query:
+    """A report whose filter lists its payers in a table: the customers with a negative balance."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        listed = star.read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_name")
+        flt = dataclasses.replace(HALF_YEAR, payers=listed)
+        ledger = star.star_ledger(spark, sf_dir, dict.fromkeys((*BASE, "payer", *columns)))
+        sides = [star.star_sector_labels(spark)] if labels else []
+        return _rounded(build(ledger, *sides, flt=flt))
+
+    return run
+
+
+# Catalog tables of the bucketed stars of this process, by application and star.
+_BUCKETED: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship on payments and orders stored in buckets by order, once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUCKETED:
+        path = scratch_path(spark, "bucketed")
+        prefix = f"star_{uuid.uuid4().hex}"
+        buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _BUCKETED[key] = star.store_bucketed(spark, sf_dir, path, prefix, buckets)
+        remove_at_exit(spark, path)
+    columns = dict.fromkeys((*BASE, "pay_year", "npwp15", "payer", "office"))
+    ledger = star.star_ledger(spark, sf_dir, columns, _BUCKETED[key])
+    return _rounded(office.top10_payers_per_office(ledger, HALF_YEAR))
+
+
 def _largest_payers(ledger: DataFrame) -> DataFrame:
     return payer.largest_payers(payer.payer_bands_net(ledger, HALF_YEAR))
 
@@ -403,6 +436,12 @@ def ledger_queries() -> dict[str, Query]:
         ),
         "largest_payers": _report(_largest_payers, "npwp", "payer"),
         "payer_totals_of_listed": _payers_with_debts,
+        "kpi_totals_of_listed": _of_listed(kpi.kpi_totals),
+        "sector_payer_yoy_of_listed": _of_listed(sector.sector_payer_yoy, "sector", labels=True),
+        "top10_payers_per_office_of_listed": _of_listed(
+            office.top10_payers_per_office, "pay_year", "npwp15", "office"
+        ),
+        "top10_payers_per_office_bucketed": _bucketed,
         "payer_totals": _report(payer.payer_totals, "npwp", "payer", **flt),
         "payer_totals_all_dates": _report(payer.payer_totals, "npwp", "payer", flt=ALL_DATES),
         "office_attainment": _report(office.office_attainment, "office", dims=targets, **flt),

@@ -35,15 +35,19 @@ class LedgerFilter:
 
     The current window is ``start``..``end``; the prior window is the same range one
     year earlier. An empty list puts no condition on its dimension.
+
+    A list may also be a DataFrame whose first column has the values, for lists of any length: the
+    condition is then a subquery, which Spark runs as a semi join, or as a join that marks the
+    rows where a report needs the others as well. A table without rows chooses nothing.
     """
 
     start: dt.date | None = None
     end: dt.date | None = None
-    offices: Sequence[str] = ()
-    tax_types: Sequence[str] = ()
-    sectors: Sequence[str] = ()
-    segments: Sequence[str] = ()
-    payers: Sequence[str] = ()
+    offices: Sequence[str] | DataFrame = ()
+    tax_types: Sequence[str] | DataFrame = ()
+    sectors: Sequence[str] | DataFrame = ()
+    segments: Sequence[str] | DataFrame = ()
+    payers: Sequence[str] | DataFrame = ()
 
     @classmethod
     def of_year(cls, year: int) -> LedgerFilter:
@@ -73,7 +77,7 @@ class LedgerFilter:
         """Row lies in the date window one year earlier."""
         return _within(self.prior_start, self.prior_end)
 
-    def _lists(self) -> dict[str, Sequence[str]]:
+    def _lists(self) -> dict[str, Sequence[str] | DataFrame]:
         """The value lists that put a condition on a column."""
         lists = {
             "office": self.offices,
@@ -82,7 +86,7 @@ class LedgerFilter:
             "segment": self.segments,
             "payer": self.payers,
         }
-        return {name: values for name, values in lists.items() if values}
+        return {n: v for n, v in lists.items() if isinstance(v, DataFrame) or v}
 
     def columns(self) -> list[str]:
         """Ledger columns the value lists refer to."""
@@ -90,7 +94,12 @@ class LedgerFilter:
 
     def categories(self) -> Column:
         """Row satisfies every non-empty value list."""
-        tests = [F.col(name).isin(list(values)) for name, values in self._lists().items()]
+        tests = [
+            F.col(name).isin(
+                values.select(values.columns[0]) if isinstance(values, DataFrame) else list(values)
+            )
+            for name, values in self._lists().items()
+        ]
         return reduce(and_, tests, F.lit(True))
 
     def either_dates(self) -> Column:

@@ -56,13 +56,15 @@ def _kpi_row(ledger: DataFrame, flt: LedgerFilter) -> DataFrame:
     sums = []
     for period in PERIODS:
         dates = flt.in_cy() if period == "cy" else flt.in_py()
-        chosen = dates & flt.categories()
+        chosen = dates & F.col("_chosen")
         sums += [
             sum_where(chosen, gross_ex_refund()).alias(f"gross_{period}"),
             sum_where(chosen).alias(f"net_{period}"),
             sum_where(dates).alias(f"region_{period}"),
         ]
-    totals = ledger.where(flt.either_dates()).agg(*sums)
+    # Marked once, since a list may be a table that has to be joined.
+    marked = ledger.where(flt.either_dates()).withColumn("_chosen", flt.categories())
+    totals = marked.agg(*sums)
     for period in PERIODS:
         totals = totals.withColumn(
             f"share_{period}", F.try_divide(f"net_{period}", f"region_{period}")

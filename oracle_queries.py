@@ -60,6 +60,7 @@ CHOSEN = (
     " and sector in ('BUILDING', 'FURNITURE', 'MACHINERY')"
     " and segment in ('1-URGENT', '2-HIGH', '5-LOW')"
 )
+LISTED = "payer in (select c_name from customer where c_acctbal < 0)"
 GROSS2 = "kind in ('MPN', 'SPM')"
 
 
@@ -501,6 +502,9 @@ def build() -> dict[str, str]:
         "kpi_totals_chosen": _with(
             "select period, gross, net, round(share, 6) as share from kpi", _kpi(CHOSEN)
         ),
+        "kpi_totals_of_listed": _with(
+            "select period, gross, net, round(share, 6) as share from kpi", _kpi(LISTED)
+        ),
         "kpi_cards": _cards("true", "true"),
         "kpi_cards_chosen": _cards(
             CHOSEN, "office in ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_5', 'NATION_6')"
@@ -536,6 +540,9 @@ p as (select kind, cast(abs(sum(nominal)) as bigint) as amount_py from ledger
             f"select *, {RISES} from sectors", _sector_yoy(LONG_CY, LONG_PY)
         ),
         "sector_payer_yoy": _with(f"select *, {RISES} from sectors", _sector_yoy(keys=", payer")),
+        "sector_payer_yoy_of_listed": _with(
+            f"select *, {RISES} from sectors", _sector_yoy(keys=", payer", where=LISTED)
+        ),
         "sector_month_yoy": _with("select * from sectors", _sector_yoy(keys=", pay_month")),
         "sector_sparkline": _with(
             """select sector, pay_month, coalesce(gross_py, 0) as gross_py,
@@ -654,6 +661,7 @@ moves as (
         ),
         "top10_payers_per_office": _top10("true", "select * from listed"),
         "top10_payers_per_office_chosen": _top10(CHOSEN, "select * from listed"),
+        "top10_payers_per_office_of_listed": _top10(LISTED, "select * from listed"),
         "top10_payers_cluster": _top10(
             "true",
             """select *, round((select avg(cy) from kept), 6) as mean_cy,
@@ -811,6 +819,7 @@ master as (
     q["largest_payers"] = f"select * from ({q['payer_bands_net']}) where row_kind = 'payer'"
     q["ledger_table"] = q["sector_payer_yoy"]
     q["ledger_table_compact"] = q["sector_month_yoy"]
+    q["top10_payers_per_office_bucketed"] = q["top10_payers_per_office"]
     q["ledger_table_refreshed"] = q["sector_payer_yoy"]
     q["filter_options_stored"] = q["filter_options"]
     for name in ("monthly_growth", "sector_yoy_chosen", "payer_totals"):

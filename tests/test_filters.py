@@ -4,6 +4,7 @@ import pytest
 
 from ledgerlens import LedgerFilter
 from ledgerlens.filters import one_year_earlier, restrict_to
+from ledgerlens.plans import kpi
 
 D = dt.date
 
@@ -80,3 +81,19 @@ def test_long_lists_are_a_semi_join(spark, make_ledger):
     twice = listed.union(listed)
     assert {r.payer for r in restrict_to(ledger, "payer", twice).collect()} == {"P2", "P3", "P4"}
     assert restrict_to(ledger, "payer", twice).count() == 3
+
+
+def test_a_table_of_values_equals_a_list(spark, make_ledger):
+    ledger = make_ledger(
+        {"payer": "A", "nominal": 5}, {"payer": "B", "nominal": 7}, {"payer": None, "nominal": 9}
+    )
+    table = spark.createDataFrame([("A",), ("Z",), (None,), ("A",)], "name string")
+    window = (dt.date(2000, 1, 1), dt.date(2000, 6, 30))
+    listed = LedgerFilter(*window, payers=("A", "Z"))
+    for values, want in ((table, listed), (table.limit(0), LedgerFilter(*window, payers=("none",)))):
+        got = LedgerFilter(*window, payers=values)
+        for name in ("cy", "py", "either"):
+            rows = ledger.where(getattr(got, name)()).collect()
+            assert rows == ledger.where(getattr(want, name)()).collect()
+        assert kpi.kpi_totals(ledger, got).collect() == kpi.kpi_totals(ledger, want).collect()
+    assert got.columns() == ["payer"]
