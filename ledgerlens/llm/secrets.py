@@ -26,7 +26,7 @@ import bisect
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -68,6 +68,9 @@ _ANY_HEX = re.compile(
     _START % "0-9A-Fa-f" + rf"[0-9A-Fa-f]{{16,}}+(?:{_WRAP}[0-9A-Fa-f]++(?![G-Zg-z]))*+"
 )
 _LINE = re.compile(rf"(?:{_WRAP})?([A-Za-z0-9+/]++=*+)")
+#: An SSH key's type name; most fields of a public key or certificate, and keys in a private file.
+_KEY_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}")
+_FIELDS, _KEYS = 16, 16
 #: Bytes that a key in base64 or hex has at least.
 _LEAST = {"base64": 30, "hex": 24}
 
@@ -152,7 +155,7 @@ def ssh_key_size(data: bytes) -> int:
         at += 4 + size
     if len(fields) < 2 or at != len(data):
         return 0
-    return at if re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", fields[0]) else 0
+    return at if _KEY_TYPE.fullmatch(fields[0]) else 0
 
 
 def is_signed_token(text: str) -> bool:
@@ -193,14 +196,27 @@ def _fields(data: bytes, at: int) -> Iterator[int]:
         yield at
 
 
-def _private_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key at the start of ``data``; 0 if it is not whole."""
-    ends = list(_fields(data, len(_MAGIC)))[:3]  # cipher, key derivation and its options
+def _private_end(data: bytes, at: int) -> int:
+    """Where the OpenSSH private key that starts at ``at`` ends; -1 if it is not whole."""
+    ends = list(islice(_fields(data, at + len(_MAGIC)), 3))  # cipher, key derivation, its options
     if len(ends) < 3:
-        return 0
+        return -1
     count = int.from_bytes(data[ends[2] : ends[2] + 4], "big")
-    ends = list(_fields(data, ends[2] + 4))
-    return ends[count] if 1 <= count < len(ends) else 0
+    if not 1 <= count <= _KEYS:
+        return -1
+    ends = list(islice(_fields(data, ends[2] + 4), count + 1))
+    return ends[count] if count < len(ends) else -1
+
+
+def _ssh_ends(data: bytes, at: int) -> Iterator[int]:
+    """Where an SSH public key that starts at ``at`` may end: after each field from the second on."""
+    last = at
+    for count, end in enumerate(islice(_fields(data, at), _FIELDS), 1):
+        if end == last + 4 or count == 1 and not _KEY_TYPE.fullmatch(data, at + 4, end):
+            return
+        if count > 1:
+            yield end
+        last = end
 
 
 class _Run:
@@ -214,13 +230,47 @@ class _Run:
         #: Digits before each line, and in all.
         self.before = list(accumulate(map(len, parts), initial=0))
 
-    def data(self, line: int, digits: int | None = None) -> bytes:
-        start = self.before[line]
-        digits = self.digits[start:] if digits is None else self.digits[start : start + digits]
+        #: What the run decodes to from each phase on, and the PEM blocks in that.
+        self.decoded: dict[int, bytes] = {}
+        self.blocks: dict[int, list[tuple[int, int]]] = {}
+
+    def _bytes(self, digits: str) -> bytes:
         if self.coding == "hex":
             return bytes.fromhex(digits[: len(digits) // 2 * 2])
         return _base64(digits[:-1] if len(digits) % 4 == 1 else digits)
 
+    def head(self, line: int) -> bytes:
+        start = self.before[line]
+        return self._bytes(self.digits[start : start + 64])
+
+    def _place(self, line: int) -> tuple[int, int]:
+        """The phase of a line's digits, and its place in the bytes decoded from that phase."""
+        start = self.before[line]
+        if self.coding == "hex":
+            return start % 2, start // 2
+        return start % 4, start // 4 * 3
+
+    def data(self, line: int) -> tuple[bytes, int]:
+        """Decoded bytes that hold the rest of the run from ``line``, and where it starts.
+
+        The run is decoded once for each phase, four times at most, however many lines ask.
+        """
+        phase, at = self._place(line)
+        if phase not in self.decoded:
+            self.decoded[phase] = self._bytes(self.digits[phase:])
+        return self.decoded[phase], at
+
+    def pem_ends(self, line: int) -> Iterator[int]:
+        """Where the PEM blocks end that start at ``line`` or later, counted from ``line``."""
+        data, at = self.data(line)
+        phase, _ = self._place(line)
+        if phase not in self.blocks:
+            found = _PEM.finditer(data.decode("latin-1")) if b"-----BEGIN " in data else ()
+            self.blocks[phase] = [m.span() for m in found if _pem_body(m[2])]
+        blocks = self.blocks[phase]
+        for _, end in islice(blocks, bisect.bisect_left(blocks, (at, 0)), None):
+            yield end - at
+
     def last_line(self, line: int, size: int) -> int:
         """The line that ends with byte ``size`` counted from ``line``; -1 if none does."""
         end = self.before[line] + (2 * size if self.coding == "hex" else -(-4 * size // 3))
@@ -241,22 +291,24 @@ class _Run:
                     break
 
     def _at(self, line: int) -> Iterator[tuple[str, int]]:
-        head = self.data(line, 64)
+        """(kind, bytes) of what may be a key at a line; a head of its bytes tells what to parse."""
+        head = self.head(line)
         size = _der_size(head)
-        if size and self.last_line(line, size) >= 0 and is_der_key(self.data(line)[:size]):
-            yield "der", size
-        elif head.startswith(_MAGIC):
-            yield "sshkey", _private_size(self.data(line))
+        if size and self.last_line(line, size) >= 0:
+            data, at = self.data(line)
+            if is_der_key(data[at : at + size]):
+                yield "der", size
+                return
+        if head.startswith(_MAGIC):
+            data, at = self.data(line)
+            yield "sshkey", _private_end(data, at) - at
         elif re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL):
-            data = self.data(line)
-            yield from (("sshkey", at) for at in _fields(data, 0) if ssh_key_size(data[:at]))
+            data, at = self.data(line)
+            yield from (("sshkey", end - at) for end in _ssh_ends(data, at))
         elif line == 0 or head.startswith(b"-----BEGIN "):
-            data = self.data(line)
-            if b"-----BEGIN " in data:
-                text = data.decode("latin-1")
-                for m in _PEM.finditer(text):
-                    if _pem_body(m[2]):
-                        yield from (("pem", at) for at in self._line_ends(line, m.end()))
+            # The first line stands for blocks that start inside a line as well.
+            for end in islice(self.pem_ends(line), None if line == 0 else 1):
+                yield from (("pem", at) for at in self._line_ends(line, end))
 
     def _line_ends(self, line: int, size: int) -> Iterator[int]:
         """Bytes up to the first line end at ``size`` or later, counted from ``line``."""
