@@ -34,19 +34,53 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
+def _same(left: str, right: str, column: str, other: str) -> Column:
+    return F.col(f"{left}.conv").eqNullSafe(F.col(f"{right}.conv")) & (
+        F.col(f"{left}.{column}") == F.col(f"{right}.{other}")
+    )
+
+
+def rooted_messages(known: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(conv, msg): the messages from which replies lead up to a root, as a table.
+
+    By pointer jumping: each message points to an ancestor, twice as far in every round, until that
+    is known to reach a root. Messages in a circle, or in reply to one, never do; they are given up
+    once the pointers have gone farther than the largest conversation is long. No round has more
+    rows than there are replies.
+    """
+    spark = known.sparkSession
+    roots = known.alias("k").join(jumps.alias("j"), _same("k", "j", "msg", "msg"), "left_anti")
+    rooted, rooted_path = written(roots, "rooted")
+    largest = known.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    far, far_path = written(jumps, "far")
+    reach = 1
+    while reach <= 2 * largest and not far.isEmpty():
+        arrived = far.alias("f").join(rooted.alias("r"), _same("f", "r", "up_msg", "msg"), "left_semi")
+        more, more_path = written(rooted.union(arrived.select("conv", "msg")).distinct(), "rooted")
+        left = far.alias("f").join(more.alias("r"), _same("f", "r", "msg", "msg"), "left_anti")
+        # A pointer to a message that has arrived, and so has no pointer of its own, stays.
+        farther = (
+            left.alias("i")
+            .join(left.alias("j"), _same("i", "j", "up_msg", "msg"), "left")
+            .select("i.conv", "i.msg", F.coalesce("j.up_msg", "i.up_msg").alias("up_msg"))
+        )
+        old = rooted_path, far_path
+        far, far_path = written(farther.distinct(), "far")
+        rooted, rooted_path = more, more_path
+        for path in old:
+            remove(spark, path)
+        reach *= 2
+    return rooted
+
+
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
     """(conv, leaf, msg, up): the messages of every path; the leaf has ``up`` 0, its parent 1.
 
-    ``messages`` has conv, msg and parent.
+    ``messages`` has conv, msg and parent. Only messages that reach a root are followed, so a
+    circle of replies costs no more than the messages it holds.
     """
-    spark = messages.sparkSession
+    spark, same = messages.sparkSession, _same
     replies = messages.select("conv", "msg", F.col("parent").alias("up_msg"))
-
-    def same(left: str, right: str, column: str, other: str) -> Column:
-        return F.col(f"{left}.conv").eqNullSafe(F.col(f"{right}.conv")) & (
-            F.col(f"{left}.{column}") == F.col(f"{right}.{other}")
-        )
-
     known = messages.select("conv", "msg").distinct()
     jumps = (
         replies.alias("r")
@@ -54,7 +88,12 @@ def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
         .select("r.conv", "r.msg", "up_msg")
         .distinct()
     )
-    jumps, jumps_path = written(jumps, "jumps")
+    jumps, all_path = written(jumps, "jumps")
+    known = rooted_messages(known, jumps)
+    for end in ("msg", "up_msg"):
+        jumps = jumps.alias("j").join(known.alias("k"), same("j", "k", end, "msg"), "left_semi")
+    jumps, jumps_path = written(jumps.select("conv", "msg", "up_msg"), "jumps")
+    remove(spark, all_path)
     leaves = known.alias("k").join(jumps.alias("j"), same("k", "j", "msg", "up_msg"), "left_anti")
     paths, paths_path = written(
         leaves.select("conv", F.col("msg").alias("leaf"), "msg", F.lit(0).alias("up")), "paths"

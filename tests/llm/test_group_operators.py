@@ -204,6 +204,37 @@ def test_no_messages(spark):
     assert chat.conversations(spark.createDataFrame([], MESSAGES)).collect() == []
 
 
+def test_circles_cost_no_more_than_their_messages(spark):
+    """Many plain messages and some circles with a reply: no path goes round, whatever the table."""
+    plain = [(c, m, m - 1 if m % 40 else None) for c in range(100) for m in range(200)]
+    circles = [(c, m, p) for c in range(1000, 1050) for m, p in ((1, 2), (2, 1), (3, 2))]
+    frame = spark.createDataFrame(plain + circles, "conv bigint, msg bigint, parent bigint")
+    paths = chat.root_to_leaf_paths(frame)
+    assert paths.inputFiles()  # a written table and nothing on top of it
+    rows = paths.collect()
+    assert len(rows) == len(plain) and all(r["conv"] < 1000 for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rooted_messages_against_walking_up(spark, seed):
+    rng = random.Random(seed)
+    parents = {m: rng.choice([None, 77, *range(60)]) for m in range(60)}
+    rows = [(None if seed == 2 else 5, m, p) for m, p in parents.items()]
+    frame = spark.createDataFrame(rows, "conv bigint, msg bigint, parent bigint")
+    want = set()
+    for m in parents:
+        at, seen = m, set()
+        while at is not None and at in parents and at not in seen:
+            seen.add(at)
+            at = parents[at]
+        if at is None or at not in parents:
+            want.add(m)
+    paths = chat.root_to_leaf_paths(frame).collect()
+    leaves = want - {p for m, p in parents.items() if m in want}
+    assert {r["leaf"] for r in paths} == leaves
+    assert {r["msg"] for r in paths} <= want
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
