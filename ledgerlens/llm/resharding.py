@@ -18,8 +18,8 @@ id is placed by its text. Other columns are kept in the files.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -32,8 +32,9 @@ from ledgerlens.session import remove_at_exit, written
 
 #: Blocks that documents of one order of magnitude are dealt to in each old shard.
 BINS = 1024
-#: Documents that are numbered in one sort.
+#: Documents that are numbered in one sort, and the bytes they have, at most about.
 NUMBERED_TOGETHER = 200_000
+NUMBERED_BYTES = 32 << 20
 _CUT_COLUMNS = {"o": pa.int32(), "start": pa.int64(), "end": pa.int64(), "shard": pa.int32()}
 _STRETCH_COLUMNS = dict.fromkeys(("to_old", "low", "high", "to_shard"), pa.int32())
 #: Bytes a document takes besides its text.
@@ -62,6 +63,95 @@ def moving_cost(old: int, new: int) -> int:
     return int(old != new)
 
 
+class _Network:
+    """Arcs with room and price, each with its reverse next to it in the lists."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.price: list[int] = []
+
+    def arc(self, a: int, b: int, room: int, price: int) -> int:
+        number = len(self.to)
+        for at, to, free, paid in ((a, b, room, price), (b, a, 0, -price)):
+            self.out[at].append(len(self.to))
+            self.to.append(to)
+            self.room.append(free)
+            self.price.append(paid)
+        return number
+
+    def _distances(self, source: int, prices: list[float]) -> list[float]:
+        """Least reduced cost from the source to every node."""
+        far = [math.inf] * len(self.out)
+        far[source] = 0
+        heap = [(0, source)]
+        while heap:
+            reached, at = heapq.heappop(heap)
+            if reached > far[at]:
+                continue
+            for arc in self.out[at]:
+                if self.room[arc]:
+                    to = self.to[arc]
+                    there = reached + self.price[arc] + prices[at] - prices[to]
+                    if there < far[to]:
+                        far[to] = there
+                        heapq.heappush(heap, (there, to))
+        return far
+
+    def cheapest_flow(self, source: int, sink: int) -> None:
+        """Push all flow there is room for, by the cheapest paths first.
+
+        Each round finds the distances of the residual network, by prices of the nodes that keep
+        reduced costs from being negative, and then pushes along all shortest paths at once, so
+        there are as many rounds as paths have different costs.
+        """
+        prices: list[float] = [0] * len(self.out)
+        while (far := self._distances(source, prices))[sink] < math.inf:
+            prices = [p + min(d, far[sink]) for p, d in zip(prices, far)]
+            self._push(source, sink, prices)
+
+    def _push(self, source: int, sink: int, prices: list[float]) -> None:
+        """Blocking flow over arcs without reduced cost; a node without a way on is left out."""
+        next_arc, closed = [0] * len(self.out), [False] * len(self.out)
+        path: list[int] = []
+        on_path = {source}
+        at = source
+        while True:
+            if at == sink:
+                amount = min(self.room[arc] for arc in path)
+                for arc in path:
+                    self.room[arc] -= amount
+                    self.room[arc ^ 1] += amount
+                full = next(i for i, arc in enumerate(path) if not self.room[arc])
+                for arc in path[full:]:
+                    on_path.discard(self.to[arc])
+                at = self.to[path[full] ^ 1]
+                del path[full:]
+                continue
+            arcs = self.out[at]
+            while next_arc[at] < len(arcs):
+                arc = arcs[next_arc[at]]
+                to = self.to[arc]
+                if (
+                    self.room[arc]
+                    and not closed[to]
+                    and to not in on_path
+                    and self.price[arc] + prices[at] - prices[to] == 0
+                ):
+                    path.append(arc)
+                    on_path.add(to)
+                    at = to
+                    break
+                next_arc[at] += 1
+            else:
+                if at == source:
+                    return
+                closed[at] = True
+                on_path.discard(at)
+                at = self.to[path.pop() ^ 1]
+
+
 def cheapest_transfers(
     sizes: Mapping[int, int],
     room: Mapping[int, int],
@@ -69,46 +159,49 @@ def cheapest_transfers(
 ) -> list[Transfer]:
     """Minimum-cost flow from the sizes of old shards to the capacities of new ones.
 
-    Successive shortest augmenting paths: flow is pushed along the cheapest path of the
-    residual network until every byte has a place.
+    Where every move costs the same, an arc for staying and one hub for all that moves are enough, so
+    the network grows with the number of shards and not of their pairs. Other costs, which must
+    not be negative, need an arc for each pair.
     """
     if sum(sizes.values()) != sum(room.values()):
         raise ValueError("capacities must add up to the sizes")
-    supply = {("old", s): n for s, n in sizes.items() if n}
-    demand = {("new", s): n for s, n in room.items() if n}
-    flow = {(a, b): 0 for a in supply for b in demand}
-    price = {(a, b): cost(a[1], b[1]) for a, b in flow}
-    while supply:
-        distance = dict.fromkeys(supply, 0)
-        came: dict = {}
-        queue = deque(supply)
-        while queue:  # label-correcting search; residual edges back have negative prices
-            at = queue.popleft()
-            if at[0] == "old":
-                steps = [(edge[1], price[edge]) for edge in flow if edge[0] == at]
-            else:
-                steps = [(edge[0], -price[edge]) for edge in flow if edge[1] == at and flow[edge]]
-            for to, step in steps:
-                if distance[at] + step < distance.get(to, math.inf):
-                    distance[to], came[to] = distance[at] + step, at
-                    queue.append(to)
-        end = min((n for n in demand if n in distance), key=lambda n: (distance[n], n))
-        path = [end]
-        while path[-1] in came:
-            path.append(came[path[-1]])
-        start, edges = path[-1], list(zip(path[1:], path))
-        back = [flow[to, at] for at, to in edges if at[0] == "new"]
-        amount = min([supply[start], demand[end], *back])
-        for at, to in edges:
-            if at[0] == "old":
-                flow[at, to] += amount
-            else:
-                flow[to, at] -= amount
-        for left, node in ((supply, start), (demand, end)):
-            left[node] -= amount
-            if not left[node]:
-                del left[node]
-    return [Transfer(a[1], b[1], n) for (a, b), n in sorted(flow.items()) if n]
+    old, new = sorted(s for s, n in sizes.items() if n), sorted(s for s, n in room.items() if n)
+    source, sink, hub, first = 0, 1, 2, 3
+    network = _Network(first + len(old) + len(new))
+    node_of = {("old", s): first + i for i, s in enumerate(old)}
+    node_of |= {("new", s): first + len(old) + i for i, s in enumerate(new)}
+    for s in old:
+        network.arc(source, node_of["old", s], sizes[s], 0)
+    for s in new:
+        network.arc(node_of["new", s], sink, room[s], 0)
+    direct: dict[tuple[int, int], int] = {}
+    leaving: dict[int, int] = {}
+    entering: dict[int, int] = {}
+    if cost is moving_cost:
+        for s in set(old) & set(new):
+            direct[s, s] = network.arc(node_of["old", s], node_of["new", s], sizes[s], 0)
+        leaving = {s: network.arc(node_of["old", s], hub, sizes[s], 1) for s in old}
+        entering = {s: network.arc(hub, node_of["new", s], room[s], 0) for s in new}
+    else:
+        for a in old:
+            for b in new:
+                direct[a, b] = network.arc(
+                    node_of["old", a], node_of["new", b], sizes[a], cost(a, b)
+                )
+    network.cheapest_flow(source, sink)
+    # What an arc carries is the room of its reverse.
+    made = [Transfer(a, b, n) for (a, b), arc in direct.items() if (n := network.room[arc ^ 1])]
+    # What leaves through the hub is dealt, in order of shards, to what enters from it.
+    wanted = [[b, network.room[arc ^ 1]] for b, arc in entering.items() if network.room[arc ^ 1]]
+    for a, arc in leaving.items():
+        left = network.room[arc ^ 1]
+        while left:
+            amount = min(left, wanted[-1][1])
+            made.append(Transfer(a, wanted[-1][0], amount))
+            left, wanted[-1][1] = left - amount, wanted[-1][1] - amount
+            if not wanted[-1][1]:
+                wanted.pop()
+    return sorted(made)
 
 
 class Layout(NamedTuple):
@@ -212,7 +305,13 @@ def reshard(
         return (old == F.col("to_old")) & (block >= F.col("low")) & (block < F.col("high"))
 
     # Each shard is numbered in parts of bounded size; a part starts where those before it end.
-    parts = max(1, -(-placed.count() // (len(weights) * NUMBERED_TOGETHER)))
+    count, total = placed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = max(weights.values()) / sum(weights.values())
+    parts = max(
+        1,
+        -(-count // (len(weights) * NUMBERED_TOGETHER)),
+        math.ceil(total * share / NUMBERED_BYTES),
+    )
     part = F.pmod(F.col("hash"), F.lit(parts)).cast("int")
     sizes = placed.join(where, goes(F.col("old"), F.col("block"))).groupBy(
         F.col("to_shard").alias("in_shard"), part.alias("in_part")

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -360,6 +361,41 @@ def test_flow_with_other_costs_is_cheapest():
     assert sum(costs[m.old, m.new] * m.size for m in moves) == least
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_flow_with_any_costs_is_cheapest(seed):
+    rng = random.Random(seed)
+    sizes = {i: rng.randint(0, 3) for i in range(3)}
+    room = dict.fromkeys(range(3), 0)
+    for _ in range(sum(sizes.values())):
+        room[rng.randrange(3)] += 1
+    costs = {(a, b): rng.randint(0, 4) for a in sizes for b in room}
+    moves = resharding.cheapest_transfers(sizes, room, lambda a, b: costs[a, b])
+    units = [a for a, n in sizes.items() for _ in range(n)]
+    places = [b for b, n in room.items() for _ in range(n)]
+    least = min(
+        sum(costs[a, b] for a, b in zip(units, order))
+        for order in set(itertools.permutations(places))
+    )
+    assert sum(costs[m.old, m.new] * m.size for m in moves) == least
+    for side, want in ((0, sizes), (1, room)):
+        got = collections.Counter()
+        for m in moves:
+            got[m[side]] += m.size
+        assert all(got[k] == n for k, n in want.items())
+
+
+def test_flow_between_thousands_of_shards():
+    rng = random.Random(1)
+    sizes = {i: rng.randint(0, 10**9) for i in range(5000)}
+    room = resharding.capacities(sum(sizes.values()), {j: rng.random() for j in range(6000)})
+    started = time.process_time()
+    moves = resharding.cheapest_transfers(sizes, room)
+    assert time.process_time() - started < 10
+    stays = sum(min(n, room[i]) for i, n in sizes.items())
+    assert sum(m.size for m in moves if m.old != m.new) == sum(sizes.values()) - stays
+    assert len(moves) < 3 * 11_000
+
+
 def check_shards(rows, shards):
     by_shard = collections.defaultdict(list)
     for r in rows:
