@@ -113,7 +113,8 @@ def remove_boilerplate(
     by_site = standing.join(known, "line").groupBy(key, "site")
     by_text = by_site.agg(F.collect_set("line").alias("lines")).groupBy(key)
     by_text = by_text.agg(F.count("site").alias("sites"), F.first("lines").alias(bad))
-    by_text = by_text.where(F.col("sites") < needed).select(key, bad)
+    # A table of its own: small ones are broadcast, else a text with very many copies can be split.
+    by_text, _ = written(by_text.where(F.col("sites") < needed).select(key, bad), "affected")
     joined = docs.join(by_text, F.md5(text) == F.col(key), "left")
 
     def goes(line: Column) -> Column:

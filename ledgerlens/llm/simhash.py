@@ -213,8 +213,10 @@ def one_of_each(
     mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(text).alias("text"))
     marked = marked.select(mark.alias("mark"), F.col(print_of).alias("whole"))
     prints, _ = written(fingerprints(marked, shingle, "mark", "whole"), "fingerprints")
-    rows = prints.groupBy("fp", "mark").agg(F.count("*").alias("n"))
-    named, _ = written(rows.join(_parts(prints, max_bits), "fp"), "marks")
+    # Tables of their own, so that the join can split a fingerprint that very many rows share.
+    rows, _ = written(prints.groupBy("fp", "mark").agg(F.count("*").alias("n")), "rows")
+    parts, _ = written(_parts(prints, max_bits), "parts")
+    named, _ = written(rows.join(parts, "fp"), "marks")
     best = named.groupBy("component").agg(F.min("mark").alias("best"))
     judged = named.join(best, "component").select(
         F.col("mark.id").alias(key),
