@@ -329,6 +329,74 @@ def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     assert decontaminate.contained_items(no_documents, tests).collect() == []
 
 
+def test_decontamination_by_joined_hashes_equals_one_block(spark):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(300)]
+    items = [(f"k{i}", " ".join(rng.choices(words, k=rng.choice([2, 6, 20, 60])))) for i in range(80)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)]
+    for i, (_, item) in enumerate(items[:60]):
+        own = item.split()
+        for at in rng.sample(range(len(own)), len(own) // 6):
+            own[at] = "changed"
+        texts[i] += " " + " ".join(own) + " " + texts[-i]
+    # A third of all rows is one text; ids are null or repeated.
+    rows = [(i % 50 or None, t, i) for i, t in enumerate(texts + [texts[3]] * 40 + [None, "", " "])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, items int").repartition(4)
+    tests = spark.createDataFrame(items + [(None, texts[0]), ("x", None)], "name string, body string")
+    names = {"item_col": "name", "item_text_col": "body"}
+    for options in ({}, {"least_words": 6}, {"min_words": 9, "min_share": 0.9}):
+        options |= names
+        found, left = [], []
+        for block_bytes in (1 << 20, 1500):
+            sized = options | {"block_bytes": block_bytes}
+            rows = decontaminate.contained_items(docs, tests, **sized).collect()
+            found.append(sorted((r["doc_id"] or 0, str(r["items"])) for r in rows))
+            kept = decontaminate.without_contaminated(docs, tests, **sized)
+            assert kept.columns == docs.columns
+            left.append(sorted(r["items"] for r in kept.collect()))
+        assert found[0] == found[1] and left[0] == left[1]
+        assert len(left[0]) == sum(items == "[]" for _, items in found[0]) < len(found[0]) == 103
+
+
+def test_no_block_is_broadcast_when_hashes_are_joined(spark, monkeypatch):
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(
+        type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x)
+    )
+    tests = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(60)], "item_id int, text string")
+    docs = as_documents(spark, ["and a7 b7 c7 d7", "b7 a7 d7 c7", None])
+    left = decontaminate.without_contaminated(docs, tests, block_bytes=100)
+    assert {r["doc_id"] for r in left.collect()} == {1, 2}
+    assert [(type(x), x.nbytes) for x in sent] == [(np.ndarray, 4096)]
+
+
+def test_items_of_one_stem_are_verified_together():
+    stem = "which of the following is the best answer here".split()
+    items = [(i, " ".join([*stem, *(f"u{i}x{j}" for j in range(10))])) for i in range(50_000)]
+    block = decontaminate.TestBlock(items, 13, 0.8)
+    hot = " ".join(["before", *stem, "something", "else", "follows", "after", "it"])
+    planted = f"{hot} {items[777][1]} and more"
+    begun = time.perf_counter()
+    found = block.find([hot] * 10 + [planted])
+    assert time.perf_counter() - begun < 30
+    assert found[:10] == [[]] * 10 and [x[0] for x in found[10]] == [777]
+    # Twelve words are one too few, thirteen are enough.
+    assert block.find([" ".join([*stem, "u5x0", "u5x1", "u5x2"])]) == [[]]
+    assert block.find([" ".join([*stem, "u5x0", "u5x1", "u5x2", "u5x3"])]) == [[(5, 13, 13, 0)]]
+    begun = time.perf_counter()
+    assert block.find([planted] * 10, True)[9][0][0] == 777
+    assert time.perf_counter() - begun < 30
+
+
+def test_items_of_few_words_are_left_out_if_asked(spark):
+    tests = spark.createDataFrame([(1, "the"), (2, "a b c d")], "item_id bigint, text string")
+    docs = as_documents(spark, ["the end", "x a b c d", "none"])
+    for least, kept in ((1, {2}), (4, {0, 2}), (5, {0, 1, 2})):
+        left = decontaminate.without_contaminated(docs, tests, least_words=least)
+        assert {r["doc_id"] for r in left.collect()} == kept
+
+
 # --- resharding ----------------------------------------------------------------------------------
 
 
