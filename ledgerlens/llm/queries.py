@@ -35,6 +35,8 @@ MIN_LINE_CHARS = 20
 MIN_SCORE = 0.3
 SHINGLE, MAX_BITS = 3, 3
 MIN_COSINE = 0.9
+#: A document is not given up for a benchmark item of fewer words.
+LEAST_ITEM_WORDS = 5
 OLD_SHARDS, NEW_SHARDS = 32, 40
 BEST_DOCUMENTS, NEAREST = 20, 10
 #: Rows whose id is divisible by this are the queries of the nearest neighbours.
