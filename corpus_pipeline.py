@@ -38,8 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontaminate.without_contaminated(docs, q.table(spark, sf_dir, "benchmark"))
+    """Documents that contain no benchmark item of ``q.LEAST_ITEM_WORDS`` words or more."""
+    benchmark = q.table(spark, sf_dir, "benchmark")
+    return decontaminate.without_contaminated(docs, benchmark, least_words=q.LEAST_ITEM_WORDS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
