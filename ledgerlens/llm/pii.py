@@ -19,7 +19,6 @@ import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 from operator import and_
 from typing import NamedTuple
 
@@ -84,20 +83,24 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-#: Cyrillic and Greek letters and the Latin letters and digits they look like (fixed values).
-LOOK_ALIKES = dict(
-    zip(
-        "ЅІЈАВЕКМНОРСТУХабвгдезкмнопрстухѕіјһӏԁԛԝ",
-        "SIJABEKMHOPCTYXa6brde3kmhonpctyxsijhldqw",
-        strict=True,
+#: Letters of other alphabets and the Latin letters and digits they look like, by alphabet: Cyrillic,
+#: Greek, Armenian, Cherokee, phonetic and other Latin (fixed values).
+LOOK_ALIKES = {
+    letter: plain
+    for letters, plains in (
+        (
+            "ЅІЈАВЕКМНОРСТУХабвгдезкмнопрстухѕіјһӏԁԛԝѵҮү",
+            "SIJABEKMHOPCTYXa6brde3kmhonpctyxsijhldqwvYy",
+        ),
+        ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγεικνορτυχωϲϳ", "ABEZHIKMNOPTYXayeiknoptuxwcj"),
+        ("ԼՕՍՏազգցհյոսօ", "LOUSwqqghjnuo"),
+        ("ᎠᎢᎪᎫᎬᎳᎶᎷᎻᏀᏃᏆᏒᏚᏞᏟᏢᏦᏴ", "DTAJEWGMHGZTRSLCPKB"),
+        ("ıȷɑɡɩɪʋ", "ijagiiu"),
     )
-) | dict(
-    zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχω",
-        "ABEZHIKMNOPTYXaeiknoptuxw",
-        strict=True,
-    )
-)
+    for letter, plain in zip(letters, plains, strict=True)
+}
+#: Letters of which there is a small capital form (fixed values).
+SMALL_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWYZ"
 #: Characters that show nothing (fixed values).
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Dashes, spaces and full stops that stand for the plain ones (fixed values).
@@ -113,6 +116,7 @@ def folding() -> dict[int, str]:
     """Code point to its plain form: the tables above, and compatibility forms and digits by rule."""
     folds = {ord(c): plain for c, plain in {**LOOK_ALIKES, **PLAIN_SIGNS}.items()}
     blocks = (
+        range(0x1D00, 0x1D80),
         range(0x660, 0xE00),
         range(0x2070, 0x2500),
         range(0xFE50, 0xFE70),
@@ -121,7 +125,8 @@ def folding() -> dict[int, str]:
     )
     for block in blocks:
         folds |= {code: plain for code in block if (plain := _plain(chr(code)))}
-    return folds
+    small = {unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {c}"): c.lower() for c in SMALL_CAPITALS}
+    return folds | {ord(c): plain for c, plain in small.items()}
 
 
 @functools.cache
@@ -183,13 +188,24 @@ _DIGIT_TOKENS = frozenset({*DIGIT_WORDS, *DIGIT_WORDS.values()})
 _MARKS = ("[", "(", "{", "<", "&#", "&c", "&p", "%4", "%2")
 _SPOKEN = ("dot", "punto", "punkt", "arroba", " @", "\t@", "@ ", "@\t")
 # Bracketed disguises stand on their own; bare words only as "name at host dot com", since
-# "met at the dot on the map" is prose. After a spoken dot any ending counts, after a plain one
-# these (fixed values), and any behind "arroba", which is no English word:
+# "met at the dot on the map" is prose. After a plain dot these endings count (fixed values), after
+# a spoken one also those of two letters and the longer ones below, and any behind "arroba",
+# which is no English word:
 _ENDINGS = frozenset(
     "com org net edu gov mil info biz io dev app co de fr es uk eu ch nl se ca au in jp br mx".split()
 )
-# Words before which "at" is no sign (fixed values).
+_LONG_ENDINGS = frozenset(
+    "academy aero agency asia bank berlin blog cat center chat cloud club coop corp design digital "
+    "email energy example expert finance fun global gmbh group guru health help home host hotel "
+    "house int international invalid jobs lan land law legal life link live llc local london "
+    "marketing media mobi museum name network news ninja one online page paris partners post press "
+    "pro rocks school science services shop site software solutions space store studio support "
+    "systems team tech tel test today tools top tours trade travel university website wiki win "
+    "work works world xyz zone".split()
+)
+# Words before which "at" is no sign, and words that are no name before a spoken one (fixed values).
 _NO_HOSTS = frozenset("the a an this that our my your his her their".split())
+_NO_NAMES = frozenset("i me you he him she her it we us they them be is are was were".split())
 _DOT_NAMES = "dot|punto|punkt|point"
 _BRACKETED = re.compile(
     rf"[\[({{<][ \t]{{0,3}}(?:(?P<at>at|arroba|chez|@)|(?P<dot>{_DOT_NAMES}|\.))"
@@ -214,6 +230,12 @@ _LABEL = re.compile(
     r"[A-Za-z0-9]++(?:-(?!(?:dot|punto|punkt|at|arroba)-)[A-Za-z0-9]++)*+", re.IGNORECASE
 )
 _ANY_ENDING = re.compile("[A-Za-z]{2,}|xn--[A-Za-z0-9-]+")
+_SHORT_ENDING = re.compile("[A-Za-z]{2}|xn--[A-Za-z0-9-]+")
+# "name(a)host.com", only with a host behind it and nothing between.
+_BRACKETED_A = re.compile(
+    r"(?<=[A-Za-z0-9._%+-])(?:\(a\)|\[a\]|\{a\})(?P<host>(?:[A-Za-z0-9-]++(?:\.(?=[A-Za-z0-9]))?+)++)",
+    re.IGNORECASE,
+)
 _NAME_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}(?:dot|punto|punkt)[ \t]{1,3}\Z", re.IGNORECASE)
 # Four numbers with "dot" between some of them.
 _NUMBERS = re.compile(
@@ -301,6 +323,13 @@ def _mixed_edits(text: str) -> Iterator[Edit]:
                 yield i, i + 1, digit
 
 
+def _bracketed_a_edits(text: str) -> Iterator[Edit]:
+    for m in _BRACKETED_A.finditer(text):
+        name, _, ending = m["host"].rpartition(".")
+        if name and ending.lower() in _ENDINGS:
+            yield m.start(), m.start("host"), "@"
+
+
 def _bracket_edits(text: str) -> Iterator[Edit]:
     done = 0
     for m in _BRACKETED.finditer(text):
@@ -311,6 +340,17 @@ def _bracket_edits(text: str) -> Iterator[Edit]:
         yield start, done, "@" if m["at"] or m["at2"] else "."
 
 
+def _ends_host(label: str, spoken: bool, after_arroba: bool) -> bool:
+    """Whether a host may end in the label behind a dot that is spoken, or plain after "arroba"."""
+    if label in _ENDINGS:
+        return True
+    if label in _NO_HOSTS or not (spoken or after_arroba):
+        return False
+    if after_arroba:
+        return bool(_ANY_ENDING.fullmatch(label))
+    return label in _LONG_ENDINGS or bool(_SHORT_ENDING.fullmatch(label))
+
+
 def _spoken_host(text: str, at: re.Match) -> list[re.Match]:
     """The dots of the host that stands behind a spoken ``at``; none if there is no host."""
     dots, good = [], 0
@@ -320,11 +360,7 @@ def _spoken_host(text: str, at: re.Match) -> list[re.Match]:
         return []
     while label:
         if dots and text[label.end() : label.end() + 1] not in ("-", "_"):
-            if label[0].lower() in _ENDINGS or (
-                (dots[-1]["word"] or arroba and dots[-1][0] == ".")
-                and _ANY_ENDING.fullmatch(label[0])
-                and label[0].lower() not in _NO_HOSTS
-            ):
+            if _ends_host(label[0].lower(), bool(dots[-1]["word"]), arroba and dots[-1][0] == "."):
                 good = len(dots)
         if dot := _SPOKEN_DOT.match(text, label.end()):
             dots.append(dot)
@@ -349,6 +385,8 @@ def _spoken_edits(text: str) -> Iterator[Edit]:
                 break
             name.append((*dot.span(), "."))
             start = dot.start()
+        if at["word"] and at[0][0] in " \t" and text[start : at.start()].lower() in _NO_NAMES:
+            continue
         if at.start() > 0 and text[at.start() - 1] in _LOCAL_END:
             yield from reversed(name)
             yield *at.span(), "@"
@@ -386,6 +424,7 @@ def normalised(text: str) -> Rewritten:
         out.replace([(*m.span(), "") for m in _INVISIBLE.finditer(out.text)])
     if any(mark in out.text for mark in _MARKS):
         out.replace([(*m.span(), "@") for m in _HALF_BRACKETED.finditer(out.text)])
+        out.replace(list(_bracketed_a_edits(out.text)))
         out.replace(list(_bracket_edits(out.text)))
     lower = out.text.lower()
     if _may_spell(lower):
@@ -407,23 +446,29 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     plain = normalised(text)
     if plain.text == text:
         return base, []
-    # Base spans of a kind do not overlap: the last one that starts no later decides.
+    own: dict[str, list[Span]] = {kind: [s for s in base if s.kind == kind] for kind in KINDS}
+    starts = {kind: [s.start for s in spans] for kind, spans in own.items()}
     added = set()
-    for kind in KINDS:
-        own = [s for s in base if s.kind == kind]
-        reach = dict(zip([s.start for s in own], accumulate([s.end for s in own], max)))
-        starts = sorted(reach)
-        for found in base_spans(plain.text):
-            if found.kind == kind:
-                start, end = plain.source(found.start, found.end)
-                if not _covered(starts, reach, start, end):
-                    added.add(Span(kind, start, end))
+    for found in base_spans(plain.text):
+        span = Span(found.kind, *plain.source(found.start, found.end))
+        # Base spans of a kind do not overlap: the first that starts no earlier, and the one before it.
+        first = bisect.bisect_left(starts[span.kind], span.start)
+        near = own[span.kind][max(first - 1, 0) : first + 1]
+        if not any(s.start <= span.start and s.end >= span.end for s in near):
+            if not any(_lengthened(text, s, span) for s in near):
+                added.add(span)
     return base, sorted(added, key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 
 
-def _covered(starts: list[int], reach: dict[int, int], start: int, end: int) -> bool:
-    at = bisect.bisect_right(starts, start)
-    return at > 0 and reach[starts[at - 1]] >= end
+_LONE_WORD = re.compile(rf"(?:{_ROW_GAP})?(?:{_DIGIT})(?:{_ROW_GAP})?", re.IGNORECASE)
+
+
+def _lengthened(text: str, base: Span, span: Span) -> bool:
+    """Whether ``span`` is a whole number with one digit word before or behind it, which is prose."""
+    before, behind = text[span.start : base.start], text[base.end : span.end]
+    if span.kind == "email" or span.start > base.start or span.end < base.end:
+        return False
+    return not (before and behind) and bool(_LONE_WORD.fullmatch(before or behind))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -259,6 +259,59 @@ def test_long_rows_of_part_spelled_numbers_cost_their_length(part):
     assert time.process_time() - started < 5
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "ɑlice@example.com",
+        "օlga@example.com",
+        "ᴊᴏʜɴ@ᴇxᴀᴍᴘʟᴇ.ᴄᴏᴍ",
+        "Ꭺᴀron@example.Ꮯom",
+        "john(a)example.com",
+        "john[A]mail.example.org",
+    ],
+)
+def test_look_alikes_of_many_alphabets(address):
+    _, added = pii.find_spans(f"Grüße, see {address} , and so on.")
+    assert pii.Span("email", 11, 11 + len(address)) in added
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "reach me at john dot com",
+        "hoping at noon dot all",
+        "f(a) or g(a)b.x or (a)example.com or x(a)..com",
+        "Call +1 (848) 555-1373 Un of us",
+        "Call one +1 (848) 555-1373 eight times",
+    ],
+)
+def test_prose_beside_identifiers_adds_nothing(text):
+    assert pii.find_spans(text)[1] == []
+
+
+def test_recall_and_precision_of_disguises_in_real_texts(texts):
+    planted = DISGUISED + PARTLY_SPELLED
+    found = extra = 0
+    wanted = [planted[i % len(planted)] for i in range(len(texts))]
+    for text, (disguise, kind) in zip(texts.values(), wanted):
+        words = (text or "").split(" ")
+        before = " ".join(words[: len(words) // 2]) + " ; "
+        whole = before + disguise + " ; " + " ".join(words[len(words) // 2 :])
+        span = pii.Span(kind, len(before), len(before) + len(disguise))
+        added = pii.find_spans(whole)[1]
+        found += span in added
+        extra += sum(not (span.start <= s.start and s.end <= span.end) for s in added)
+    assert found >= 0.99 * len(wanted)
+    assert extra <= 0.01 * len(wanted)
+
+
+@pytest.mark.parametrize("part", ["a(a)", "(a)x.", "x(a)b.com", "+4930 1234567 one "])
+def test_long_rows_of_bracketed_letters_cost_their_length(part):
+    started = time.process_time()
+    pii.find_spans(part * 40_000)
+    assert time.process_time() - started < 5
+
+
 @pytest.mark.parametrize("disguise, kind", DISGUISED)
 def test_disguises_are_found_at_their_place(disguise, kind):
     before, after = "Grüße ​, see ", " , and so on."
