@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +92,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(location)
 
 
+def files_bytes(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Total length of files, as ``DataFrame.inputFiles`` names them: URIs, with %20 for a space."""
+    uri = spark._jvm.java.net.URI.create
+    found = (_file_system(spark, uri(path)) for path in paths)
+    return sum(files.getFileStatus(location).getLen() for files, location in found)
+
+
 def fits_broadcast(spark: SparkSession, path: str) -> bool:
     """Whether the files below ``path`` are within the session's broadcast threshold."""
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

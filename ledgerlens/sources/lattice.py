@@ -20,6 +20,7 @@ from ledgerlens.sources.table import (
     read_ledger,
     replace_months,
     write_ledger,
+    write_summed,
 )
 
 #: Columns that every grain has: the months it is stored by, the measures' conditions, the amount.
@@ -49,7 +50,8 @@ class LedgerLattice:
         """Sum a ledger to every grain and write them, each by month.
 
         The finest come first, and each is summed from the smallest stored one that covers it, so
-        the ledger itself is read only for grains that no other covers.
+        the ledger itself is read only for grains that no other covers. Those are summed where they
+        are written, the rest before their rows move.
         """
         made = cls(ledger.sparkSession, root, ())
         wanted = {name: {*ALWAYS, *columns} for name, columns in grains.items()}
@@ -58,8 +60,11 @@ class LedgerLattice:
             if missing := wanted[name] - set(columns):
                 raise ValueError(f"the ledger lacks {sorted(missing)} of grain {name!r}")
             covering = made._covering(wanted[name])
-            source = made.read(covering[0].name) if covering else ledger
-            write_ledger(compact_ledger(source.select(columns), columns), made.path(name))
+            if covering:
+                source = made.read(covering[0].name).select(columns)
+                write_ledger(compact_ledger(source, columns), made.path(name))
+            else:
+                write_summed(ledger, columns, made.path(name))
             rows = made.read(name).count()  # from the files' footers
             made.grains += (Grain(name, frozenset(wanted[name]), rows),)
         made._write_catalogue()

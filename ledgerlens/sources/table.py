@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.filters import LedgerFilter
-from ledgerlens.session import exists, remove
+from ledgerlens.session import exists, files_bytes, remove
 
 MONTH_PARTITION = "paid_ym"
 
@@ -20,10 +20,14 @@ def _month_of(day: dt.date) -> int:
     return day.year * 100 + day.month
 
 
+def _with_month(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumn(MONTH_PARTITION, F.year("paid_on") * 100 + F.month("paid_on"))
+
+
 def _by_month(ledger: DataFrame) -> DataFrame:
     """Rows with their month, dealt to writers by it and sorted by date."""
     return (
-        ledger.withColumn(MONTH_PARTITION, F.year("paid_on") * 100 + F.month("paid_on"))
+        _with_month(ledger)
         .hint("rebalance", MONTH_PARTITION)
         .sortWithinPartitions(MONTH_PARTITION, "paid_on")
     )
@@ -39,6 +43,37 @@ def write_ledger(ledger: DataFrame, path: str, mode: str = "error") -> None:
     _by_month(ledger).write.partitionBy(MONTH_PARTITION).mode(mode).parquet(path)
 
 
+#: Bytes of input files for each task that sums and writes, whatever the session's partitions, and
+#: such tasks for each piece that a month is dealt to: its files are as many as its pieces at most.
+TASK_BYTES, TASKS_A_PIECE = 2 * 1024**2, 32
+_PIECE = "paid_ym_piece"
+
+
+def write_summed(ledger: DataFrame, columns: Sequence[str], path: str) -> None:
+    """Store :func:`compact_ledger` of a ledger, laid out as by :func:`write_ledger`.
+
+    For columns of which most rows have a combination of their own: summing before rows move
+    would save nothing then. Rows move once, to the writer of their month and of a
+    hash of their combination, where they are summed, sorted and written. Writers
+    grow with the files the ledger reads, so that what one holds does not.
+    """
+    spark = ledger.sparkSession
+    tasks = -(-files_bytes(spark, ledger.inputFiles()) // TASK_BYTES)
+    pieces = max(1, -(-tasks // TASKS_A_PIECE))
+    keys = [c for c in columns if c != "nominal"]
+    piece = F.pmod(F.xxhash64(*keys), F.lit(pieces)).cast("int")
+    dealt = _with_month(ledger.select(*columns)).withColumn(_PIECE, piece)
+    summed = (
+        dealt.repartition(max(tasks, spark.sparkContext.defaultParallelism), MONTH_PARTITION, _PIECE)
+        # Month and piece follow from the keys. Named here, they tell Spark that rows are in place.
+        .groupBy(MONTH_PARTITION, _PIECE, *keys)
+        .agg(F.sum("nominal").alias("nominal"))
+        .select(*keys, "nominal", MONTH_PARTITION)
+        .sortWithinPartitions(MONTH_PARTITION, "paid_on")
+    )
+    summed.write.partitionBy(MONTH_PARTITION).parquet(path)
+
+
 def replace_months(ledger: DataFrame, path: str, months: Sequence[int]) -> None:
     """Replace the named months (such as 200003) of a stored ledger by the rows of ``ledger``.
 

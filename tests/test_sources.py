@@ -32,6 +32,7 @@ from ledgerlens.sources import (
     write_values,
 )
 from ledgerlens.sources.jdbc import date_slices, weighted_slices
+from ledgerlens.sources.table import compact_ledger, write_summed
 from tests.check import connect, differences, executed_plan
 from tests.conftest import SF_DIR
 
@@ -335,6 +336,38 @@ def test_refreshed_grains_equal_a_full_store(spark, full, tmp_path):
     assert sorted(LedgerLattice.open(spark, made.root).grains, key=str) == sorted(want.grains, key=str)
 
 
+def test_a_grain_is_stored_by_one_shuffle(spark, tmp_path):
+    """Rows of the finest grain move once; null dates and months, keys and amounts are kept."""
+    ledger = spark.range(0, 4000, 1, 4).selectExpr(
+        "if(id % 50 = 0, null, date_add(date'2000-01-01', cast(id % 90 as int))) as paid_on",
+        "if(id % 7 = 0, null, 'MPN') as kind",
+        "if(id % 11 = 0, null, cast(id % 13 as string)) as payer",
+        "if(id % 5 = 0, null, id) as nominal",
+    )
+    ledger.write.parquet(str(tmp_path / "a ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "a ledger"))
+    grains = {"fine": ("payer",), "coarse": ()}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one_shuffle", "the finest grain")
+    try:
+        write_summed(ledger, ledger.columns, str(tmp_path / "summed"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("one_shuffle") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 3  # moved, and the same stage again, skipped, before the one that writes
+    made = LedgerLattice.store(ledger, str(tmp_path / "lattice"), grains)
+    for stored, columns in (
+        (read_ledger(spark, str(tmp_path / "summed")), ["paid_on", "kind", "payer", "nominal"]),
+        (made.read("fine"), ["paid_on", "kind", "payer", "nominal"]),
+        (made.read("coarse"), ["paid_on", "kind", "nominal"]),
+    ):
+        want = compact_ledger(ledger.select(columns), columns)
+        assert stored.columns == want.columns
+        assert stored.exceptAll(want).isEmpty() and stored.count() == want.count()
+    for month in (200001, 200002, 200003):
+        assert len(files_below(tmp_path / "summed", month)) == 1
+
+
 def test_export_by_value_writes_few_files(spark, tmp_path):
     """A value gets a few files, not one for every task; a hot one is split over writers."""
     report = spark.range(0, 200_000, 1, 40).selectExpr(
